@@ -13,6 +13,8 @@ def local_session(cores: str = "8", app: str = "tripflow", **extra: str) -> Spar
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        # Test tables are tiny: let adaptive execution keep small tasks instead of merging into one.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "32k")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
