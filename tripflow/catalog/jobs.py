@@ -65,12 +65,14 @@ def _q1_sql(t: Inputs):
 
 @register("q1_hourly_profile_udf", _PROFILE, _GEO)
 def _q1_udf(t: Inputs):
-    return _profile(q1.hourly_profile(t["trips_geo"], W, distance=haversine_udf))
+    return _profile(q1.hourly_profile(t["trips_geo"], W, write_rows=True, distance=haversine_udf))
 
 
 @register("q1_hourly_profile_arrow_udf", _PROFILE, _GEO)
 def _q1_arrow(t: Inputs):
-    return _profile(q1.hourly_profile(t["trips_geo"], W, distance=haversine_arrow_udf))
+    return _profile(
+        q1.hourly_profile(t["trips_geo"], W, write_rows=True, distance=haversine_arrow_udf)
+    )
 
 
 @register("q1_hourly_profile_csv", _PROFILE, _GEO)

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tripflow.catalog.jobs import BOUNDS_SQL, KM_SQL, NON_ZERO_SQL, SAMPLE_CAP, SECONDS_SQL
 from tripflow.catalog.registry import register, rounded
 from tripflow.catalog.views import Inputs
 from tripflow.functions.geo import KM_DECIMALS, KM_ORDINAL_BITS
 from tripflow.operators import aggregates, joins, ranking, sampling, selection
 from tripflow.params import TripWindow
 from tripflow.plans.hourly_profile import profile_rows, sampled_p90
-from tripflow.catalog.jobs import BOUNDS_SQL, KM_SQL, NON_ZERO_SQL, SAMPLE_CAP, SECONDS_SQL
+from tripflow.sources.staging import settle
 
 _GEO, _ZONE, _BOTH = ("trips_geo",), ("trips_zone",), ("trips_zone", "zones")
 ALL_HOURS = TripWindow(hour_start=0, hour_count=24)
@@ -257,7 +258,7 @@ def _two_level_mean(t: Inputs):
     _GEO,
 )
 def _p90_bounded(t: Inputs):
-    rows = profile_rows(t["trips_geo"], ALL_HOURS, keep=("trip_id",))
+    rows = settle(profile_rows(t["trips_geo"], ALL_HOURS, keep=("trip_id",)), "profile_rows")
     return sampled_p90(rows, "trip_id", SAMPLE_CAP)
 
 
@@ -269,7 +270,8 @@ def _p90_km(rows):
 
 @register("p90_rate_sample")
 def _p90_rate(t: Inputs):
-    return _p90_km(sampling.rate_sample(profile_rows(t["trips_geo"], ALL_HOURS)))
+    sample = sampling.rate_sample(profile_rows(t["trips_geo"], ALL_HOURS))
+    return _p90_km(settle(sample, "rate_sample"))
 
 
 @register(

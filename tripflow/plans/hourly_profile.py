@@ -58,13 +58,20 @@ def _mean_minutes(seconds: Column, rows: Column) -> Column:
     return (seconds / rows / F.lit(60.0)).alias("avg_duration_min")
 
 
-def hourly_profile(trips: DataFrame, window: TripWindow, **row_options) -> DataFrame:
-    """Exact profile: two scans and small shuffles only, however skewed the hours are.
+def hourly_profile(
+    trips: DataFrame, window: TripWindow, write_rows: bool = False, **row_options
+) -> DataFrame:
+    """Exact profile: two passes over the rows and small shuffles, however skewed the hours are.
 
     There are at most 24 hours, which is the bound that makes the per-hour side broadcastable.
+    By default both passes scan the trips and nothing runs before an action. With ``write_rows``
+    the qualifying rows are first written to the shared folder as three narrow columns, so the
+    trips are scanned, and the distance is computed, only once: for Python distances, and for
+    tables where a second scan costs more than writing the selected hours.
     """
+    rows = profile_rows(trips, window, **row_options)
     per_hour = nearest_rank(
-        profile_rows(trips, window, **row_options),
+        settle(rows, "profile_rows") if write_rows else rows,
         ["pickup_hour"],
         "km",
         PERCENTILE,
