@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripflow.operators.selection import match_keys, select_rank
+from tripflow.operators.selection import match_keys, select_rank, side_keys
 
 # The sample size per key, the sampling rate and its seed.
 SAMPLE_CAP = 50_000
@@ -35,13 +35,12 @@ def smallest_per_key(
         df, keys, ordinal, lambda rows: F.least(rows, F.lit(cap).cast("long")), bits,
         few_keys=few_keys,
     ).select(
-        *keys,
+        *side_keys(keys),
         F.col("ordinal").alias("_cut"),
         (F.col("rank") - F.col("below")).alias("_copies_at_cut"),
     )
     return (
-        match_keys(df, cut, keys, few_keys)
-        .where(F.col(ordinal) <= F.col("_cut"))
+        match_keys(df, cut, keys, few_keys, F.col(ordinal) <= F.col("_cut"))
         .groupBy(*keys, ordinal, "_cut", "_copies_at_cut")
         .agg(F.count("*").alias("_copies"))
         .select(

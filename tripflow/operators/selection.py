@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 DIGIT_BITS = 18
 
-_PREFIX, _COUNT, _RANK, _BELOW, _AT = "_prefix", "_count", "_rank", "_below", "_at"
+_PREFIX, _COUNT, _RANK, _BELOW, _UP_TO = "_prefix", "_count", "_rank", "_below", "_up_to"
 
 
 def quantise(value: Column, decimals: int) -> Column:
@@ -34,18 +34,25 @@ def rank_of(fraction: float) -> Callable[[Column], Column]:
     return lambda total: F.greatest(F.lit(1), F.ceil(F.lit(fraction) * total)).cast("long")
 
 
-def match_keys(df: DataFrame, chosen: DataFrame, keys: list[str], few_keys: bool) -> DataFrame:
-    """Join a one-row-per-key frame back to the rows; null keys match each other.
+def match_keys(
+    df: DataFrame, chosen: DataFrame, keys: list[str], few_keys: bool, *also: Column
+) -> DataFrame:
+    """Join a one-row-per-key frame to the rows; null keys match each other.
 
-    ``few_keys`` states that the number of keys has a fixed bound (24 hours of a day), which is
-    what makes the broadcast safe. Otherwise Spark picks the join by size.
+    The key columns of ``chosen`` carry the suffix ``__side``. ``few_keys`` states that the number
+    of keys has a fixed bound (24 hours of a day), which is what makes the broadcast safe.
+    Otherwise Spark picks the join by size.
     """
-    side = chosen.select([F.col(c).alias(f"{c}__side") if c in keys else F.col(c)
-                          for c in chosen.columns])
-    if few_keys:
-        side = F.broadcast(side)
-    equal = [F.col(key).eqNullSafe(F.col(f"{key}__side")) for key in keys]
-    return df.join(side, equal, "inner").drop(*[f"{key}__side" for key in keys])
+    equal = [F.col(key).eqNullSafe(F.col(side_name(key))) for key in keys]
+    return df.join(F.broadcast(chosen) if few_keys else chosen, [*equal, *also], "inner")
+
+
+def side_name(key: str) -> str:
+    return f"{key}__side"
+
+
+def side_keys(keys: list[str]) -> list[Column]:
+    return [F.col(key).alias(side_name(key)) for key in keys]
 
 
 def select_rank(
@@ -63,64 +70,65 @@ def select_rank(
     ``wanted`` turns the row count of a key into a 1-based rank; ordinals lie within
     ``-2^bits .. 2^bits``; ``totals`` are extra sums per key taken along in the first pass.
     Result: keys, ``rows``, the totals, ``ordinal``, ``below`` (rows with a smaller ordinal),
-    ``at`` (rows with this ordinal) and ``rank``. Rows without an ordinal do not count.
+    ``at`` (rows with this ordinal) and ``rank``. Rows without an ordinal are not ranked or
+    counted; a key that has no others does not come out.
     """
-    rows = df.where(F.col(ordinal).isNotNull())
     totals = totals or {}
-    shift = max(0, bits - digit_bits)
+    carried = ["rows", *totals, _RANK]
     per_key = Window.partitionBy(*keys)
     running = per_key.orderBy(_PREFIX).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    up_to = F.sum(_COUNT).over(running)
+    shift = max(0, bits - digit_bits)
 
-    counted = (
-        rows.groupBy(*keys, F.shiftright(ordinal, shift).alias(_PREFIX))
-        .agg(F.count("*").alias(_COUNT), *[total.alias(name) for name, total in totals.items()])
+    rows = F.sum(_COUNT).over(per_key)
+    ranked = (
+        df.groupBy(*keys, F.shiftright(ordinal, shift).alias(_PREFIX))
+        .agg(
+            F.count(ordinal).alias(_COUNT),
+            *[total.alias(name) for name, total in totals.items()],
+        )
+        .select(
+            *keys,
+            _PREFIX,
+            _COUNT,
+            rows.alias("rows"),
+            *[F.sum(name).over(per_key).alias(name) for name in totals],
+            wanted(rows).alias(_RANK),
+            up_to.alias(_UP_TO),
+        )
     )
-    ranked = counted.select(
-        *keys,
-        _PREFIX,
-        _COUNT,
-        F.sum(_COUNT).over(per_key).alias("rows"),
-        *[F.sum(name).over(per_key).alias(name) for name in totals],
-        F.sum(_COUNT).over(running).alias("_running"),
-    ).withColumn(_RANK, wanted(F.col("rows")))
-    carried = ["rows", *totals, _RANK]
-    below_before = F.lit(0).cast("long")
-
     while True:
         # Keep the one digit per key that the rank falls into.
         chosen = ranked.where(
-            (F.col("_running") - F.col(_COUNT) + below_before < F.col(_RANK))
-            & (F.col("_running") + below_before >= F.col(_RANK))
-        ).select(
-            *keys,
-            *carried,
-            F.col(_PREFIX),
-            (F.col("_running") - F.col(_COUNT) + below_before).alias(_BELOW),
-            F.col(_COUNT).alias(_AT),
+            (F.col(_UP_TO) - F.col(_COUNT) < F.col(_RANK)) & (F.col(_UP_TO) >= F.col(_RANK))
         )
+        below = F.col(_UP_TO) - F.col(_COUNT)
         if shift == 0:
             return chosen.select(
                 *keys,
                 "rows",
                 *totals,
                 F.col(_PREFIX).alias("ordinal"),
-                F.col(_BELOW).alias("below"),
-                F.col(_AT).alias("at"),
+                below.alias("below"),
+                F.col(_COUNT).alias("at"),
                 F.col(_RANK).alias("rank"),
             )
-        narrowed = match_keys(rows.select(*keys, ordinal), chosen.drop(_AT), keys, few_keys).where(
-            F.shiftright(ordinal, shift) == F.col(_PREFIX)
-        )
+        digit = F.shiftright(ordinal, shift) == F.col(_PREFIX)
         shift = max(0, shift - digit_bits)
-        counted = (
-            narrowed.groupBy(
-                *keys, *carried, _BELOW, F.shiftright(ordinal, shift).alias("_next")
+        ranked = (
+            match_keys(
+                df.select(*keys, ordinal),
+                chosen.select(*side_keys(keys), *carried, _PREFIX, below.alias(_BELOW)),
+                keys,
+                few_keys,
+                digit,
             )
+            .groupBy(*keys, *carried, _BELOW, F.shiftright(ordinal, shift).alias(_PREFIX))
             .agg(F.count("*").alias(_COUNT))
-            .withColumnRenamed("_next", _PREFIX)
+            .select(
+                *keys, *carried, _PREFIX, _COUNT, (F.col(_BELOW) + up_to).alias(_UP_TO)
+            )
         )
-        ranked = counted.withColumn("_running", F.sum(_COUNT).over(running))
-        below_before = F.col(_BELOW)
 
 
 def nearest_rank(
@@ -135,7 +143,8 @@ def nearest_rank(
     name: str = "percentile",
 ) -> DataFrame:
     """Exact nearest-rank percentile per key of a measure rounded to ``decimals`` digits."""
-    rows = df.withColumn("_ordinal", quantise(F.col(value), decimals)).drop(value)
+    others = [c for c in df.columns if c != value]
+    rows = df.select(*others, quantise(F.col(value), decimals).alias("_ordinal"))
     chosen = select_rank(rows, keys, "_ordinal", rank_of(fraction), bits, totals, few_keys)
     return chosen.select(
         *keys, "rows", *(totals or {}), dequantise(F.col("ordinal"), decimals).alias(name)
