@@ -22,12 +22,13 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     """Distance in km from built-in functions only, so it stays inside generated code.
 
     The arcsine argument is clamped to 1: rounding can lift it above for antipodal points, which
-    would give NaN.
+    would give NaN. (``least`` would do, but it skips nulls and turns a missing point into 1.)
     """
     across = F.pow(F.sin(F.radians(lat2 - lat1) / 2), F.lit(2.0))
     along = F.pow(F.sin(F.radians(lon2 - lon1) / 2), F.lit(2.0))
     chord = across + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * along
-    return F.lit(2.0 * EARTH_RADIUS_KM) * F.asin(F.sqrt(F.least(F.lit(1.0), chord)))
+    clamped = F.when(chord > 1, F.lit(1.0)).otherwise(chord)
+    return F.lit(2.0 * EARTH_RADIUS_KM) * F.asin(F.sqrt(clamped))
 
 
 def _haversine_row(lat1, lon1, lat2, lon2):

@@ -183,7 +183,8 @@ WITH qualifying AS (
 ),
 measured AS (
   SELECT pickup_hour, seconds,
-         CAST(round(2 * :radius * asin(sqrt(least(1D, chord))) * 1000000D) AS BIGINT) AS micro_km
+         CAST(round(2 * :radius * asin(sqrt(CASE WHEN chord > 1 THEN 1D ELSE chord END))
+                    * 1000000D) AS BIGINT) AS micro_km
   FROM qualifying WHERE seconds > 0
 ),
 slabs AS (
