@@ -71,8 +71,7 @@ def test_trips_are_counted_before_they_meet_a_join(job, zone_trips, zones, plan)
     text = plan(job(zone_trips, zones, W, strategy="merge"))
     assert "SortMergeJoin" in text and "Python" not in text
     lines = text.splitlines()
-    scans = [i for i, line in enumerate(lines) if "FileScan" in line and "event_id" in line
-             or "FileScan" in line and "user_id" in line]
+    scans = [i for i, line in enumerate(lines) if "FileScan" in line and "user_id" in line]
     assert len(scans) == 1
     above = lines[: scans[0]]
     last_join = max(i for i, line in enumerate(above) if "SortMergeJoin" in line)
@@ -82,9 +81,8 @@ def test_trips_are_counted_before_they_meet_a_join(job, zone_trips, zones, plan)
 def test_join_strategies_differ_in_plan_and_agree_in_rows(zone_trips, zones, plan, rows):
     broadcast = zone_imbalance_merged(zone_trips, zones, W, "broadcast")
     merge = zone_imbalance_merged(zone_trips, zones, W, "merge")
-    assert "BroadcastHashJoin LeftOuter" in plan(broadcast).replace("[", "").replace(
-        "id#", ""
-    ) or "BroadcastHashJoin" in plan(broadcast)
-    assert "BroadcastHashJoin [pu_location_id" not in plan(merge)
+    # Two lookups by strategy; the full join of the two aggregates is a sort-merge either way,
+    # and the zones view itself joins two tiny tables.
+    assert plan(broadcast).count("SortMergeJoin") == 1
     assert plan(merge).count("SortMergeJoin") == 3
     assert rows(broadcast) == rows(merge)

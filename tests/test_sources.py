@@ -44,6 +44,11 @@ def test_text_lines(spark, rows):
     ]
 
 
+def test_a_header_given_by_its_text(spark, rows):
+    df = spark.createDataFrame([("ID|X|NOTE",), ("1,2.5,a",)], "value string")
+    assert rows(readers.parse_text_lines(df, SMALL, header="ID|X|NOTE")) == [(1, 2.5, "a")]
+
+
 def test_a_file_of_another_layout_is_refused(spark, inputs):
     path = geo_csv(inputs)
     assert readers.read_csv_typed(spark, path, GEO_FILE_SCHEMA).count() > 0
@@ -106,6 +111,12 @@ def test_date_layout(spark, folder, zone_trips, rows):
     assert spark.read.parquet(folder("e")).select("pickup_date").distinct().count() == 2
 
 
+def test_date_layout_with_a_fixed_number_of_writers(spark, folder, zone_trips):
+    write_by_date(zone_trips, folder("f"), tasks=4)
+    assert 1 < files_in(folder("f"), "pickup_date=2024-01-09") <= 4
+    assert spark.read.parquet(folder("f")).count() == zone_trips.count()
+
+
 def test_a_hot_partition_is_written_by_several_tasks(spark, folder):
     hot = spark.range(0, 200_000, 1, 8).select(
         F.when(F.col("id") % 3 > 0, F.lit("2024-01-11 12:00:00"))

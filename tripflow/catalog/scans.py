@@ -113,7 +113,7 @@ def _tolerant_cast(t: Inputs):
 
 
 _CTES = """
-WITH base AS (SELECT vendor_id, pickup_ts, total_amount FROM trips WHERE pickup_ts IS NOT NULL),
+WITH base AS (SELECT vendor_id, pickup_ts, total_amount FROM tripflow_trips WHERE pickup_ts IS NOT NULL),
 kept AS (SELECT *, hour(pickup_ts) AS h FROM base WHERE total_amount > 10)
 SELECT CAST(h AS INT) AS pickup_hour, vendor_id, count(*) AS trips,
        round(sum(total_amount), 4) AS total
@@ -121,9 +121,9 @@ FROM kept GROUP BY h, vendor_id
 """
 
 
-@register("sql_over_view", _CTES.replace("FROM trips ", "FROM trips_zone "), ("trips_zone",))
+@register("sql_over_view", _CTES.replace("tripflow_trips", "trips_zone"), ("trips_zone",))
 def _sql_over_view(t: Inputs):
-    t["trips_zone"].createOrReplaceTempView("trips")
+    t["trips_zone"].createOrReplaceTempView("tripflow_trips")
     return t.spark.sql(_CTES)
 
 

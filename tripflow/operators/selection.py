@@ -15,6 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tripflow.sources.staging import settle
+
 DIGIT_BITS = 18
 
 _PREFIX, _COUNT, _RANK, _BELOW, _UP_TO = "_prefix", "_count", "_rank", "_below", "_up_to"
@@ -40,11 +42,14 @@ def match_keys(
     """Join a one-row-per-key frame to the rows; null keys match each other.
 
     The key columns of ``chosen`` carry the suffix ``__side``. ``few_keys`` states that the number
-    of keys has a fixed bound (24 hours of a day), which is what makes the broadcast safe.
-    Otherwise Spark picks the join by size.
+    of keys has a fixed bound (24 hours of a day), which is what makes the broadcast safe. For
+    other keys the frame is written first: then Spark knows its true size when it plans the join,
+    and broadcasts or sort-merges (splitting a skewed key) accordingly, instead of shuffling all
+    rows because it had to guess.
     """
     equal = [F.col(key).eqNullSafe(F.col(side_name(key))) for key in keys]
-    return df.join(F.broadcast(chosen) if few_keys else chosen, [*equal, *also], "inner")
+    side = F.broadcast(chosen) if few_keys else settle(chosen, "chosen")
+    return df.join(side, [*equal, *also], "inner")
 
 
 def side_name(key: str) -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tripflow.functions.geo import KM_DECIMALS, KM_ORDINAL_BITS, haversine_km
 from tripflow.functions.times import whole_seconds
-from tripflow.operators.filters import in_hours, positive, present, valid_coordinates
+from tripflow.operators.filters import in_hours, positive, valid_coordinates
 from tripflow.operators.sampling import HASH_BITS, SAMPLE_CAP, shared_hash, smallest_per_key
 from tripflow.operators.selection import (
     dequantise,
@@ -35,9 +35,9 @@ def profile_rows(
 ) -> DataFrame:
     """Qualifying trips as (pickup_hour, seconds, km), plus the columns in ``keep``."""
     seconds = whole_seconds(F.col("pickup_ts"), F.col("dropoff_ts"))
+    # A missing time or coordinate fails these tests, so no separate null guard is needed.
     wanted = (
-        present("pickup_ts", "dropoff_ts")
-        & in_hours(F.col("pickup_ts"), window)
+        in_hours(F.col("pickup_ts"), window)
         & (seconds > 0)
         & valid_coordinates(bounds=bounds)
     )

@@ -50,15 +50,19 @@ def late_cast(df: DataFrame, types: dict[str, str]) -> DataFrame:
 
 
 def parse_text_lines(
-    lines: DataFrame, schema: StructType, required: list[str] | None = None
+    lines: DataFrame,
+    schema: StructType,
+    required: list[str] | None = None,
+    header: str | None = None,
 ) -> DataFrame:
     """Comma-separated lines of one ``value`` column to typed rows; bad lines are dropped.
 
     A line is bad when it has another number of fields than the schema, when a field does not
     parse, or when a required field (all, unless named) is empty. Header lines, recognised by
-    equality, go as well, also those in the middle that joined files bring along.
+    equality with ``header`` (the field names, unless given), go as well, also those in the middle
+    that joined files bring along.
     """
-    header = ",".join(schema.fieldNames())
+    header = ",".join(schema.fieldNames()) if header is None else header
     with_broken = StructType([*schema.fields]).add(_BROKEN, "string")
     fields = F.from_csv(
         F.col("value"),

@@ -39,8 +39,11 @@ def with_date(df: DataFrame, ts: str = "pickup_ts") -> DataFrame:
     return df.withColumn("pickup_date", F.to_date(ts))
 
 
-def _write_partitioned(df: DataFrame, out: str, columns: tuple[str, ...]) -> None:
-    df.hint("rebalance", *columns).write.mode("overwrite").partitionBy(*columns).parquet(out)
+def _write_partitioned(
+    df: DataFrame, out: str, columns: tuple[str, ...], tasks: int | None = None
+) -> None:
+    spread = df.repartition(tasks) if tasks else df.hint("rebalance", *columns)
+    spread.write.mode("overwrite").partitionBy(*columns).parquet(out)
 
 
 def write_by_day_hour(df: DataFrame, out: str, ts: str = "pickup_ts") -> None:
@@ -49,13 +52,21 @@ def write_by_day_hour(df: DataFrame, out: str, ts: str = "pickup_ts") -> None:
 
 
 def write_by_date(
-    df: DataFrame, out: str, dates: list[str] | None = None, ts: str = "pickup_ts"
+    df: DataFrame,
+    out: str,
+    dates: list[str] | None = None,
+    ts: str = "pickup_ts",
+    tasks: int | None = None,
 ) -> None:
-    """Layout ``pickup_date=``, of all dates or of a list of them."""
+    """Layout ``pickup_date=``, of all dates or of a list of them.
+
+    With ``tasks`` the rows are dealt out evenly to that many writers instead, each of which may
+    leave a file in every date.
+    """
     dated = with_date(df, ts)
     if dates is not None:
         dated = dated.where(on_dates(F.col("pickup_date"), dates))
-    _write_partitioned(dated, out, ("pickup_date",))
+    _write_partitioned(dated, out, ("pickup_date",), tasks)
 
 
 def export_csv(
