@@ -65,13 +65,18 @@ def test_nearest_rank_of_doubles_with_totals(spark):
         assert r.ones == r.rows == len(values)
 
 
+@pytest.mark.parametrize("few_keys", [True, False])
+@pytest.mark.parametrize("top,bits", [(200, 8), (2**41 - 1, 41)])
 @pytest.mark.parametrize("cap", [1, 40, 700, 10_000])
-def test_smallest_per_key(spark, cap):
+def test_smallest_per_key(spark, cap, top, bits, few_keys):
     rng = random.Random(3)
-    rows = [(0 if i % 3 == 0 else rng.randint(1, 3), rng.randint(0, 200)) for i in range(3000)]
+    rows = [
+        (0 if i % 3 == 0 else rng.randint(1, 3), 5 if i % 9 == 0 else rng.randint(0, top))
+        for i in range(3000)
+    ]
     df = spark.createDataFrame(rows, "k int, v long")
     got: dict = {}
-    for r in smallest_per_key(df, ["k"], "v", cap, 8, few_keys=True).collect():
+    for r in smallest_per_key(df, ["k"], "v", cap, bits, few_keys=few_keys).collect():
         got.setdefault(r.k, []).extend([r.v] * r.copies)
     for key in range(4):
         assert sorted(got[key]) == sorted(v for k, v in rows if k == key)[:cap]

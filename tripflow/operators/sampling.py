@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripflow.operators.selection import match_keys, select_rank, side_keys
+from tripflow.operators.selection import DIGIT_BITS, match_keys, select_rank, side_keys
+from tripflow.sources.staging import settle
 
 # The sample size per key, the sampling rate and its seed.
 SAMPLE_CAP = 50_000
@@ -27,20 +28,32 @@ def smallest_per_key(
 ) -> DataFrame:
     """The ``cap`` rows of smallest ordinal per key, as (keys, ordinal, copies).
 
-    The cut is found by digit-wise selection and then applied as a filter, so no task ranks a
-    whole key. Copies of the cut ordinal beyond the cap are taken off its count; at most ``cap``
-    rows a key come out.
+    No task ranks a whole key. One pass counts rows by the leading digit of the ordinal and finds
+    the digit the cut falls into; a second writes the rows up to and including that digit, which
+    are the cap and what shares its last digit; the exact cut is then found among those. Copies of
+    the cut ordinal beyond the cap are taken off its count; at most ``cap`` rows a key come out.
     """
-    cut = select_rank(
-        df, keys, ordinal, lambda rows: F.least(rows, F.lit(cap).cast("long")), bits,
-        few_keys=few_keys,
-    ).select(
+
+    def wanted(rows: Column) -> Column:
+        return F.least(rows, F.lit(cap).cast("long"))
+
+    rows = df.select(*keys, ordinal)
+    shift = max(0, bits - DIGIT_BITS)
+    if shift:
+        digit = F.shiftright(ordinal, shift)
+        leading = select_rank(
+            rows.select(*keys, digit.alias("_digit")), keys, "_digit", wanted, DIGIT_BITS,
+            few_keys=few_keys,
+        ).select(*side_keys(keys), F.col("ordinal").alias("_last_digit"))
+        near = match_keys(rows, leading, keys, few_keys, digit <= F.col("_last_digit"))
+        rows = settle(near.select(*keys, ordinal), "near_cut")
+    cut = select_rank(rows, keys, ordinal, wanted, bits, few_keys=few_keys).select(
         *side_keys(keys),
         F.col("ordinal").alias("_cut"),
         (F.col("rank") - F.col("below")).alias("_copies_at_cut"),
     )
     return (
-        match_keys(df, cut, keys, few_keys, F.col(ordinal) <= F.col("_cut"))
+        match_keys(rows, cut, keys, few_keys, F.col(ordinal) <= F.col("_cut"))
         .groupBy(*keys, ordinal, "_cut", "_copies_at_cut")
         .agg(F.count("*").alias("_copies"))
         .select(
