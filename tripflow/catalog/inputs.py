@@ -10,12 +10,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripflow.catalog.views import Inputs
-from tripflow.functions.times import ISO_MILLIS_PATTERN, PLAIN_PATTERN, normalise_iso
-from tripflow.functions.times import parse_timestamp
+from tripflow.functions.times import (
+    ISO_MILLIS_PATTERN,
+    PLAIN_PATTERN,
+    normalise_iso,
+    parse_timestamp,
+)
 from tripflow.schemas import GEO_FILE_SCHEMA, to_geo_trips, to_zone_trips
 from tripflow.sources.readers import late_cast, read_csv_text, read_csv_typed
 from tripflow.sources.staging import written_once
-from tripflow.sources.writers import export_csv, with_day_hour, write_by_date, write_by_day_hour
+from tripflow.sources.writers import (
+    export_csv,
+    with_day_hour,
+    write_by_date,
+    zone_csv_to_day_hour,
+)
 
 STAMPS = ("tpep_pickup_datetime", "tpep_dropoff_datetime")
 
@@ -71,8 +80,12 @@ def trip_lines(t: Inputs) -> str:
 
 
 def by_day_hour(t: Inputs) -> str:
+    """The zone layout by day and hour, made from its CSV."""
     return written_once(
-        t.spark, "by_day_hour", t.sf_dir, lambda out: write_by_day_hour(t["trips_zone"], out)
+        t.spark,
+        "by_day_hour",
+        t.sf_dir,
+        lambda out: zone_csv_to_day_hour(t.spark, zone_csv(t), out),
     )
 
 
@@ -84,7 +97,7 @@ def by_date(t: Inputs, dates: list[str] | None = None) -> str:
 
 
 def layout_by_day_hour(t: Inputs) -> DataFrame:
-    return t.spark.read.parquet(by_day_hour(t))
+    return to_zone_trips(t.spark.read.parquet(by_day_hour(t)))
 
 
 def geo_from_csv(t: Inputs, path: str) -> DataFrame:

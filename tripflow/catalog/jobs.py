@@ -77,7 +77,8 @@ def _q1_arrow(t: Inputs):
 
 @register("q1_hourly_profile_csv", _PROFILE, _GEO)
 def _q1_csv(t: Inputs):
-    return _profile(q1.hourly_profile(geo_from_csv(t, geo_csv(t)), W))
+    # Parsing text twice would cost more than writing the rows that qualify.
+    return _profile(q1.hourly_profile(geo_from_csv(t, geo_csv(t)), W, write_rows=True))
 
 
 @register(

@@ -31,8 +31,9 @@ def _scan_parquet(t: Inputs):
 
 @register(
     "partitioned_scan",
-    """SELECT trip_id, CAST(day(pickup_ts) AS INT) AS pickup_day,
-              CAST(hour(pickup_ts) AS INT) AS pickup_hour, total_amount
+    """SELECT vendor_id, date_trunc('millisecond', pickup_ts) AS pickup_ts,
+              CAST(day(pickup_ts) AS INT) AS pickup_day,
+              CAST(hour(pickup_ts) AS INT) AS pickup_hour, pu_location_id, total_amount
        FROM trips_zone WHERE day(pickup_ts) IN (11, 12, 13)
          AND hour(pickup_ts) IN (11, 12, 13, 14)""",
     ("trips_zone",),
@@ -40,7 +41,7 @@ def _scan_parquet(t: Inputs):
 def _partitioned_scan(t: Inputs):
     df = layout_by_day_hour(t)
     return df.where(in_window(df, W)).select(
-        "trip_id", "pickup_day", "pickup_hour", "total_amount"
+        "vendor_id", "pickup_ts", "pickup_day", "pickup_hour", "pu_location_id", "total_amount"
     )
 
 

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tripflow.functions.times import ISO_MILLIS_PATTERN, normalise_iso
+from tripflow.functions.times import ISO_MILLIS_PATTERN, normalise_iso, parse_timestamp
 from tripflow.operators.filters import on_dates
+from tripflow.schemas import ZONE_FILE_SCHEMA
 from tripflow.sources.readers import read_csv_typed
 
 DAY_HOUR = ("pickup_day", "pickup_hour")
@@ -51,6 +52,15 @@ def write_by_day_hour(df: DataFrame, out: str, ts: str = "pickup_ts") -> None:
     _write_partitioned(with_day_hour(df, ts), out, DAY_HOUR)
 
 
+def zone_csv_to_day_hour(
+    spark: SparkSession, csv_path: str, out: str, pattern: str = ISO_MILLIS_PATTERN
+) -> None:
+    """Zone-layout CSV to the day-and-hour layout, with the pickup time parsed by its pattern."""
+    typed = read_csv_typed(spark, csv_path, ZONE_FILE_SCHEMA)
+    parsed = typed.withColumn("pickup_ts", parse_timestamp(F.col("tpep_pickup_datetime"), pattern))
+    write_by_day_hour(parsed, out)
+
+
 def write_by_date(
     df: DataFrame,
     out: str,
