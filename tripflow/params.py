@@ -16,6 +16,7 @@ class TripWindow:
     contributes the same days.
     """
 
+    # The default parameters of the reports.
     hour_start: int = 11
     hour_count: int = 4
     day_start: int = 11
@@ -35,7 +36,7 @@ class TripWindow:
 
     @classmethod
     def from_id(cls, number: int) -> TripWindow:
-        """The personal parameter set that belongs to an integer id."""
+        """The parameter set that belongs to an integer id. The three moduli."""
         return cls(hour_start=number % 24, day_start=number % 25 + 1, top_k=number % 11 + 10)
 
     @property

@@ -20,7 +20,7 @@ from tripflow.operators.selection import (
 from tripflow.params import TripWindow
 from tripflow.sources.staging import settle
 
-PERCENTILE = 0.9
+PERCENTILE = 0.9  # fixed value: the percentile of the report
 
 Distance = Callable[[Column, Column, Column, Column], Column]
 

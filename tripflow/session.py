@@ -16,6 +16,8 @@ def local_session(cores: str = "8", app: str = "tripflow", **extra: str) -> Spar
         # Test tables are tiny: let adaptive execution keep small tasks instead of merging into one.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "32k")
         .config("spark.ui.enabled", "false")
+        # Recording the call site of every column costs more than building the plans.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in extra.items():
