@@ -32,7 +32,7 @@ def test_scan_reads_only_needed_columns_and_pushes_plain_filters(geo_table, plan
 
 
 def test_profile_broadcasts_hours_only_and_stays_out_of_python(geo_table, plan):
-    text = plan(hourly_profile.hourly_profile(geo_table, W))
+    text = plan(hourly_profile.hourly_profile(geo_table, W, write_rows=False))
     assert "BroadcastHashJoin" in text
     assert "Python" not in text and "Cartesian" not in text and "NestedLoop" not in text
     assert text.count("FileScan") == 2
@@ -40,7 +40,7 @@ def test_profile_broadcasts_hours_only_and_stays_out_of_python(geo_table, plan):
 
 
 def test_written_profile_scans_a_narrow_table(geo_table, plan):
-    text = plan(hourly_profile.hourly_profile(geo_table, W, write_rows=True))
+    text = plan(hourly_profile.hourly_profile(geo_table, W))
     assert "pickup_latitude" not in text
 
 
@@ -48,9 +48,7 @@ def test_udf_forms_go_through_python_once(geo_table, plan):
     rows = hourly_profile.profile_rows
     assert "BatchEvalPython" in plan(rows(geo_table, W, distance=haversine_udf))
     assert "ArrowEvalPython" in plan(rows(geo_table, W, distance=haversine_arrow_udf))
-    written = hourly_profile.hourly_profile(
-        geo_table, W, write_rows=True, distance=haversine_arrow_udf
-    )
+    written = hourly_profile.hourly_profile(geo_table, W, distance=haversine_arrow_udf)
     assert "Python" not in plan(written)
 
 

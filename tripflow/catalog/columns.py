@@ -234,7 +234,8 @@ def _safe_ratio(t: Inputs):
                   LEFT JOIN zones ON do_location_id = location_id
                   WHERE day(pickup_ts) IN (11, 12, 13) AND hour(pickup_ts) IN (11, 12, 13, 14)
                   GROUP BY 1, 2),
-            m AS (SELECT coalesce(p.borough, d.borough) AS borough, coalesce(p.zone, d.zone) AS zone,
+            m AS (SELECT coalesce(p.borough, d.borough) AS borough,
+                         coalesce(p.zone, d.zone) AS zone,
                          coalesce(p.n, 0) AS a, coalesce(d.n, 0) AS b
                   FROM p FULL JOIN d ON p.borough = d.borough AND p.zone = d.zone)
        SELECT borough, zone,

@@ -58,6 +58,11 @@ def _q1(t: Inputs):
     return _profile(q1.hourly_profile(t["trips_geo"], W))
 
 
+@register("q1_hourly_profile_two_scans", _PROFILE, _GEO)
+def _q1_two_scans(t: Inputs):
+    return _profile(q1.hourly_profile(t["trips_geo"], W, write_rows=False))
+
+
 @register("q1_hourly_profile_sql", _PROFILE, _GEO)
 def _q1_sql(t: Inputs):
     return _profile(q1.hourly_profile_sql(t["trips_geo"], W))
@@ -65,20 +70,17 @@ def _q1_sql(t: Inputs):
 
 @register("q1_hourly_profile_udf", _PROFILE, _GEO)
 def _q1_udf(t: Inputs):
-    return _profile(q1.hourly_profile(t["trips_geo"], W, write_rows=True, distance=haversine_udf))
+    return _profile(q1.hourly_profile(t["trips_geo"], W, distance=haversine_udf))
 
 
 @register("q1_hourly_profile_arrow_udf", _PROFILE, _GEO)
 def _q1_arrow(t: Inputs):
-    return _profile(
-        q1.hourly_profile(t["trips_geo"], W, write_rows=True, distance=haversine_arrow_udf)
-    )
+    return _profile(q1.hourly_profile(t["trips_geo"], W, distance=haversine_arrow_udf))
 
 
 @register("q1_hourly_profile_csv", _PROFILE, _GEO)
 def _q1_csv(t: Inputs):
-    # Parsing text twice would cost more than writing the rows that qualify.
-    return _profile(q1.hourly_profile(geo_from_csv(t, geo_csv(t)), W, write_rows=True))
+    return _profile(q1.hourly_profile(geo_from_csv(t, geo_csv(t)), W))
 
 
 @register(

@@ -34,8 +34,9 @@ def _convert(t: Inputs):
 
 @register(
     "write_partition_day_hour",
-    """SELECT CAST(day(pickup_ts) AS INT) AS pickup_day, CAST(hour(pickup_ts) AS INT) AS pickup_hour,
-              count(*) AS trips, round(sum(total_amount), 4) AS total
+    """SELECT CAST(day(pickup_ts) AS INT) AS pickup_day,
+              CAST(hour(pickup_ts) AS INT) AS pickup_hour, count(*) AS trips,
+              round(sum(total_amount), 4) AS total
        FROM trips_zone GROUP BY 1, 2""",
     ("trips_zone",),
 )

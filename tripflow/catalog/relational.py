@@ -115,7 +115,8 @@ def _p90_of(df, keys: list[str], value: str, name: str = "p90"):
 def _agg_left_join_sample(t: Inputs):
     df = _with_hour(t["trips_zone"])
     full = df.groupBy("pickup_hour").agg(F.count("*").alias("trips"))
-    sample = sampling.hash_sample(df, F.col("trip_id"), 50)
+    sample = sampling.hash_sample(df, F.col("trip_id"), 50).select("pickup_hour", "total_amount")
+    sample = settle(sample, "hash_sample")
     p90 = _p90_of(sample, ["pickup_hour"], "total_amount").withColumnRenamed("rows", "sampled")
     return full.join(p90, "pickup_hour", "left")
 
@@ -219,8 +220,9 @@ def _p90_approx(t: Inputs):
     _GEO,
 )
 def _p90_nearest_rank(t: Inputs):
+    fares = _with_hour(t["trips_geo"]).select("vendor_id", "pickup_hour", "fare_amount")
     df = selection.nearest_rank(
-        _with_hour(t["trips_geo"]),
+        settle(fares, "fares"),
         ["vendor_id", "pickup_hour"],
         "fare_amount",
         0.9,
@@ -284,7 +286,7 @@ def _p90_rate(t: Inputs):
 )
 def _p90_hash(t: Inputs):
     rows = profile_rows(t["trips_geo"], ALL_HOURS, keep=("trip_id",))
-    return _p90_km(sampling.hash_sample(rows, F.col("trip_id"), 50))
+    return _p90_km(settle(sampling.hash_sample(rows, F.col("trip_id"), 50), "hash_sample"))
 
 
 _TOP_TRIPS = """

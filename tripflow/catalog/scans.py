@@ -114,7 +114,9 @@ def _tolerant_cast(t: Inputs):
 
 
 _CTES = """
-WITH base AS (SELECT vendor_id, pickup_ts, total_amount FROM tripflow_trips WHERE pickup_ts IS NOT NULL),
+WITH base AS (
+  SELECT vendor_id, pickup_ts, total_amount FROM tripflow_trips WHERE pickup_ts IS NOT NULL
+),
 kept AS (SELECT *, hour(pickup_ts) AS h FROM base WHERE total_amount > 10)
 SELECT CAST(h AS INT) AS pickup_hour, vendor_id, count(*) AS trips,
        round(sum(total_amount), 4) AS total
@@ -135,7 +137,8 @@ def _sql_over_view(t: Inputs):
 )
 def _column_fallback(t: Inputs):
     df = t["zone_file"]
-    return df.select("VendorID", "PULocationID", first_column(df, AIRPORT_FEE_NAMES, "airport_fee"))
+    fee = first_column(df, AIRPORT_FEE_NAMES, "airport_fee")
+    return df.select("VendorID", "PULocationID", fee)
 
 
 _TYPES = {"VendorID": "int", "tpep_pickup_datetime": "timestamp_ntz",

@@ -4,8 +4,11 @@
 Here the value is an integer ordinal, and the wanted rank is narrowed digit by digit: count the
 rows per leading digit (partially aggregated, so a task emits at most 2^digit_bits rows a key),
 find the digit the rank falls into, then count again among that digit's rows only. Each level is
-one scan and one small shuffle whose size does not depend on the number of rows, nor on how many
+one pass and one small shuffle whose size does not depend on the number of rows, nor on how many
 of them share a key or a value.
+
+The rows are read once per level, so they must not change between passes (a random sample must be
+drawn first) and, unless they come straight from a narrow table, are best written with ``settle``.
 """
 
 from __future__ import annotations

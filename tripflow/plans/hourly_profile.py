@@ -59,15 +59,16 @@ def _mean_minutes(seconds: Column, rows: Column) -> Column:
 
 
 def hourly_profile(
-    trips: DataFrame, window: TripWindow, write_rows: bool = False, **row_options
+    trips: DataFrame, window: TripWindow, write_rows: bool = True, **row_options
 ) -> DataFrame:
-    """Exact profile: two passes over the rows and small shuffles, however skewed the hours are.
+    """Exact profile: one scan of the trips and small shuffles, however skewed the hours are.
+
+    Rank selection reads its rows twice. The qualifying rows are a few hours of the day and three
+    narrow columns, so they are written to the shared folder once and read from there: a second
+    scan of six columns of all trips would cost many times that, and the distance is computed
+    once. ``write_rows=False`` scans twice instead and runs nothing before an action.
 
     There are at most 24 hours, which is the bound that makes the per-hour side broadcastable.
-    By default both passes scan the trips and nothing runs before an action. With ``write_rows``
-    the qualifying rows are first written to the shared folder as three narrow columns, so the
-    trips are scanned, and the distance is computed, only once: for Python distances, and for
-    tables where a second scan costs more than writing the selected hours.
     """
     rows = profile_rows(trips, window, **row_options)
     per_hour = nearest_rank(
