@@ -22,7 +22,11 @@ def topk_per_group(df: DataFrame, groups: list[str], order: list[Column], k: int
 def topk_two_level(
     df: DataFrame, groups: list[str], order: list[Column], spread: Column, k: int, buckets: int = 32
 ) -> DataFrame:
-    """The same, ranked inside (group, bucket) first: a hot group is worked on by many tasks."""
+    """The same, ranked inside (group, bucket) first: a hot group is worked on by many tasks.
+
+    Costs a second shuffle and sort. It pays where k rows from every task are too many for the one
+    task that finishes a group; otherwise ``topk_per_group`` is faster.
+    """
     bucketed = df.withColumn("_bucket", F.pmod(F.xxhash64(spread), F.lit(buckets)))
     first = topk_per_group(bucketed, [*groups, "_bucket"], order, k)
     return topk_per_group(first.drop("_bucket", "rn"), groups, order, k)
