@@ -98,6 +98,24 @@ def test_only_chosen_folders_are_scanned(inputs, plan):
     assert "dayofmonth" not in text
 
 
+def scanned_files(df) -> int:
+    """Files the scan really opened, from its metric after the run (plans without a shuffle)."""
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves().iterator()
+    total = 0
+    while leaves.hasNext():
+        total += leaves.next().metrics().apply("numFiles").value()
+    return total
+
+
+def test_only_files_of_the_window_are_opened(inputs):
+    df = layout_by_day_hour(inputs).select("pickup_day", "pickup_hour", "total_amount")
+    window = TripWindow()
+    opened, everything = scanned_files(df.where(in_window(df, window))), scanned_files(df)
+    assert 0 < opened <= len(window.days) * len(window.hours)
+    assert everything > 20 * opened
+
+
 def files_in(path: str, partition: str) -> int:
     return len(glob.glob(f"{path}/{partition}/*.parquet"))
 
