@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripflow.operators.filters import in_window, present
-from tripflow.operators.joins import lookup
+from tripflow.operators.joins import apply_strategy, lookup
 from tripflow.operators.ranking import global_topk
 from tripflow.params import TripWindow
 
@@ -24,12 +24,10 @@ def borough_flows(
         .groupBy("pu_location_id", "do_location_id")
         .agg(F.count("*").alias("pair_trips"))
     )
-    named = lookup(
-        pairs, zones, "pu_location_id", take={"borough": "pickup_borough"}, strategy=strategy
-    )
-    named = lookup(
-        named, zones, "do_location_id", take={"borough": "dropoff_borough"}, strategy=strategy
-    )
+    # Marked once for both roles, so that a size check runs once.
+    boroughs = apply_strategy(zones.select("location_id", "borough"), strategy)
+    named = lookup(pairs, boroughs, "pu_location_id", take={"borough": "pickup_borough"})
+    named = lookup(named, boroughs, "do_location_id", take={"borough": "dropoff_borough"})
     flows = (
         named.where(
             present("pickup_borough", "dropoff_borough")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tripflow.functions.values import imbalance
 from tripflow.operators.filters import in_window
-from tripflow.operators.joins import full_outer_merge, lookup
+from tripflow.operators.joins import apply_strategy, full_outer_merge, lookup
 from tripflow.operators.ranking import global_topk
 from tripflow.params import TripWindow
 
@@ -63,11 +63,9 @@ def zone_imbalance(
     return _report(counts, window)
 
 
-def _per_zone(
-    trips: DataFrame, zones: DataFrame, key: str, alias: str, strategy: str
-) -> DataFrame:
+def _per_zone(trips: DataFrame, zones: DataFrame, key: str, alias: str) -> DataFrame:
     counted = trips.groupBy(key).agg(F.count("*").alias("n"))
-    named = lookup(counted, zones, key, take=_ATTRIBUTES, how="left", strategy=strategy)
+    named = lookup(counted, zones, key, take=_ATTRIBUTES, how="left")
     return named.groupBy("borough", "zone").agg(F.sum("n").alias(alias))
 
 
@@ -76,9 +74,11 @@ def zone_counts_merged(
 ) -> DataFrame:
     """Pickups per zone full-joined to dropoffs per zone; two scans."""
     kept = trips.where(in_window(trips, window))
+    # Marked once for both roles, so that a size check runs once.
+    places = apply_strategy(zones.select("location_id", "borough", "zone"), strategy)
     return full_outer_merge(
-        _per_zone(kept, zones, "pu_location_id", "pickups", strategy),
-        _per_zone(kept, zones, "do_location_id", "dropoffs", strategy),
+        _per_zone(kept, places, "pu_location_id", "pickups"),
+        _per_zone(kept, places, "do_location_id", "dropoffs"),
         ["borough", "zone"],
         ["pickups", "dropoffs"],
     )
