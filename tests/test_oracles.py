@@ -5,9 +5,10 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as contract
+from tripflow import catalog
 from tests.oracle import compare, connect
 
-ORACLES = contract.oracle_sql()
+ORACLES = catalog.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -15,9 +16,9 @@ def duck(sf_dir):
     return connect(sf_dir)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query(spark, sf_dir, duck, name):
-    df = contract.queries()[name](spark, sf_dir)
+    df = catalog.queries()[name](spark, sf_dir)
     if name in ORACLES:
         assert compare(df, duck, ORACLES[name]) is None
     else:
@@ -25,7 +26,7 @@ def test_query(spark, sf_dir, duck, name):
 
 
 def test_only_sketches_and_random_samples_have_no_sql():
-    assert set(contract.queries()) - set(ORACLES) == {
+    assert set(catalog.queries()) - set(ORACLES) == {
         "p90_approx",
         "p90_rate_sample",
         "q1_hourly_profile_approx",
