@@ -7,14 +7,67 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripflow.llm import oracles
+from tripflow.llm import chat, decontam, langid, mixing, oracles, sharding
+from tripflow.llm.common import id_remainder, unsigned_crc32
 from tripflow.llm.simhash import fingerprint_hex, near_duplicates
+from tripflow.sources.staging import settle
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = id_remainder(F.col("doc_id"), 3) == 1
+    model = langid.train(docs.where(~held_out))
+    found = docs.select("doc_id", held_out.alias("held_out"), langid.predict_column(docs, model).alias("p"))
+    return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score")
+
+
+def op5_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
+    rows = _table(spark, sf_dir, "documents").select(
+        "doc_id", size.alias("size"), unsigned_crc32(text).alias("text_crc32")
+    )
+    placed = sharding.shard(settle(rows, "rows"), ["doc_id", "text_crc32", "size"])
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.lit("</s>[INST] ok [/INST]")
+    planted = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"),
+    )
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = rows.unionByName(planted).withColumn("content", chat.text_parts(F.col("text")))
+    chats = chat.format_chats(turns).select(
+        "conv_id",
+        F.length("formatted").cast("long").alias("formatted_chars"),
+        chat.read_turns(F.col("formatted")).alias("turns"),
+        chat.read_loss(F.col("formatted"), F.col("loss")).alias("learned"),
+    )
+    listed = F.transform("turns", lambda t: F.concat(t.getField("role"), F.lit("\n"), t.getField("text"), F.lit("\n")))
+    return chats.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(listed, ""), 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = mixing.sized(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    rows = settle(docs.drop("text"), "sized")
+    mixed = mixing.mix(rows, seed_columns=("doc_id", "text_hash"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_duplicates(_table(spark, sf_dir, "documents"))
     return groups.select(
@@ -24,6 +77,16 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.scan(docs, _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit() and callable(f)}
 

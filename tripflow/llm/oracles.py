@@ -2,4 +2,60 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+_OP7 = r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+    UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), sized AS (
+    SELECT *, length(role) + length(text)
+        + len(regexp_extract_all(role || text, '\\|<\||</?s>|\[/?INST\]')) + 23 AS chars
+    FROM turns
+), read AS (
+    SELECT conv_id, count(*) AS n_turns,
+        string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS whole,
+        coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS learned,
+        sum(chars)::BIGINT AS formatted_chars
+    FROM sized GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(learned)::BIGINT AS loss_chars,
+    sha256(learned) AS loss_sha256, formatted_chars
+FROM read
+"""
+
+_OP10 = rf"""
+WITH items AS (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark
+), windows AS (
+    SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS words
+    FROM (SELECT item_id, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i
+          FROM items WHERE len(w) > 0)
+), docs AS (
+    SELECT row_number() OVER () AS r, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents
+), seen AS (
+    SELECT r, i, k, array_to_string(w[i:i + k - 1], ' ') AS words
+    FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i
+          FROM docs, (SELECT DISTINCT k FROM windows))
+), met AS (
+    SELECT DISTINCT r, i, k, item_id FROM seen JOIN windows USING (k, words)
+), hits AS (
+    SELECT r, count(DISTINCT p) AS n_hit
+    FROM (SELECT r, unnest(range(i, i + k)) AS p FROM met) GROUP BY r
+), found AS (
+    SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+    FROM (SELECT DISTINCT r, item_id::VARCHAR AS id FROM met WHERE item_id IS NOT NULL) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+    coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits USING (r) LEFT JOIN found USING (r)
+"""
+
+ORACLES: dict[str, str] = {"op7_chat_formatting": _OP7, "op10_decontamination": _OP10}
