@@ -4,9 +4,9 @@
    the excess shared again by weight among the rest until none is above (closed form below).
 2. A histogram (source, length) -> documents. Everything that follows reads this, not documents.
 3. Per source: the whole repeats its target holds, then for the remaining budget a number of
-   documents of each length. The bulk is taken in proportion to the histogram, which leaves less
-   than one longest document; that rest is fitted by bounded-knapsack dynamic programming
-   over the documents still free, so the budget is met exactly wherever their lengths allow it.
+   documents of each length. The bulk is taken in proportion to the histogram; the last words,
+   about ``DP_WORDS`` / 2, are fitted by bounded-knapsack dynamic programming over the documents
+   still free, so the budget is met exactly wherever their lengths allow it.
 4. Within a length the documents of smallest seeded hash are taken. A large class is cut by
    hash bucket first, so that only one bucket of about ``BUCKET`` rows has to be ranked.
 """
@@ -76,7 +76,8 @@ def fit_rest(lengths: np.ndarray, free: np.ndarray, rest: int) -> np.ndarray:
     # Bit s of ``reach`` says that s words can be made of the items so far; binary splitting turns
     # a bounded count into a few items.
     reach, steps, mask = 1, [], (1 << (rest + 1)) - 1
-    for i in np.flatnonzero((free > 0) & (lengths > 0) & (lengths <= rest)).tolist():
+    usable = np.flatnonzero((free > 0) & (lengths > 0) & (lengths <= rest))
+    for i in np.random.default_rng(SEED).permutation(usable).tolist():
         if reach >> rest & 1:
             break
         count, lot = min(int(free[i]), rest // int(lengths[i])), 1
@@ -102,10 +103,11 @@ def plan_source(lengths: np.ndarray, counts: np.ndarray, target: float) -> tuple
     budget = round(target)
     repeats, rest = divmod(budget, total)
     # Along the lengths, the words taken so far never fall a whole document behind their share.
-    words = np.cumsum(lengths * counts)
+    # Half of what the programme can fit is left to it, so that it has documents to choose from.
+    bulk, words = max(0, rest - DP_WORDS // 2), np.cumsum(lengths * counts)
     take, taken = np.zeros(len(lengths), dtype=np.int64), 0
     for i in np.flatnonzero(lengths > 0).tolist():
-        due = int(words[i]) * rest // total
+        due = int(words[i]) * bulk // total
         take[i] = min(int(counts[i]), max(0, (due - taken) // int(lengths[i])))
         taken += int(take[i] * lengths[i])
     return repeats, take + fit_rest(lengths, counts - take, rest - taken)
