@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripflow.llm import chat, decontam, langid, mixing, oracles, sharding
+from tripflow.llm import chat, decontam, langid, mixing, oracles, sharding, tagpath, zipwarc
 from tripflow.llm.common import id_remainder, unsigned_crc32
 from tripflow.llm.simhash import fingerprint_hex, near_duplicates
 from tripflow.sources.staging import settle
@@ -17,6 +17,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_tag_path_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tagpath.extract(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", "n_chars")
+
+
+def op3_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packages = zipwarc.archive(_table(spark, sf_dir, "pages"))
+    # A task a package: the list is short and each package is megabytes of reading.
+    paths = packages.repartition(spark.sparkContext.defaultParallelism * 4, "path")
+    read = zipwarc.read_packages(paths, payloads=False)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = id_remainder(F.col("doc_id"), 3) == 1
