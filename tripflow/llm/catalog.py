@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripflow.llm import chat, decontam, langid, mixing, oracles, sharding, tagpath, zipwarc
+from tripflow.llm import chat, decontam, kneser_ney, langid, mixing, oracles, sharding, tagpath, zipwarc
 from tripflow.llm.common import id_remainder, unsigned_crc32
 from tripflow.llm.simhash import fingerprint_hex, near_duplicates
 from tripflow.sources.staging import settle
@@ -51,6 +51,15 @@ def op5_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select(
+        "doc_id", "text", (id_remainder(F.col("doc_id"), 7) == 2).alias("held_out")
+    )
+    model = kneser_ney.train(docs.where(~F.col("held_out")))
+    scored = kneser_ney.score(docs, model, ["doc_id", "held_out"])
+    return scored.withColumn("train_tokens", F.lit(model.tokens).cast("long"))
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.lit("</s>[INST] ok [/INST]")
     planted = spark.range(2).select(
