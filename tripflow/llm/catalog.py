@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripflow.llm import chat, decontam, kneser_ney, langid, mixing, oracles, sharding, tagpath, zipwarc
+from tripflow.llm import chat, decontam, kneser_ney, langid, mixing, oracles, sharding, tagpath, vamana, zipwarc
 from tripflow.llm.common import id_remainder, unsigned_crc32
 from tripflow.llm.simhash import fingerprint_hex, near_duplicates
 from tripflow.sources.staging import settle
@@ -22,6 +22,11 @@ def op1_tag_path_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", "n_chars")
 
 
+def op2_robust_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    valid = settle(vamana.valid_vectors(_table(spark, sf_dir, "embeddings")), "vectors")
+    return vamana.nearest(valid, valid.where("vec_id % 20 = 0"), k=20)
+
+
 def op3_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     packages = zipwarc.archive(_table(spark, sf_dir, "pages"))
     # A task a package: the list is short and each package is megabytes of reading.
