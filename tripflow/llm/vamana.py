@@ -23,7 +23,7 @@ from tripflow.sources.staging import settle
 
 #: Vectors of a shard and queries of a block, on average.
 SHARD, BLOCK = 4096, 1024
-DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 32, 64, 96, 1.2
+DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 32, 64, 128, 1.2
 #: Points searched and pruned at once, and nodes a search expands at once.
 BATCH, EXPAND = 256, 4
 
