@@ -391,7 +391,7 @@ class Scorer:
         base = np.log10((count + 1) / (m.tokens + m.words + 1))
         d = np.array(m.word_discounts)
         seen = np.maximum(follows - d[np.minimum(follows, 3).astype(np.int64)], 0)
-        single = (seen / m.follows if m.follows else 0.0) + m.word_rest / (m.words + 1)
+        single = seen / max(m.follows, 1) + m.word_rest / (m.words + 1)
         context = np.where(words == BEGIN, float(m.texts), count)
         d = m.discounts
         # A left word that training never saw leaves everything to the single words.
