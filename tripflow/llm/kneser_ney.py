@@ -38,8 +38,10 @@ from tripflow.sources.staging import new_path, settle
 
 #: Tokens, and so at most distinct bigrams, of a bucket on average.
 BUCKET_TOKENS = 4 << 20
-#: Tokens that a task sums before it sends them, and scores at once.
+#: Tokens that a task sums before it sends them.
 HELD_TOKENS = 4 << 20
+#: Tokens, counted as six bytes each, that are scored at once.
+SCORED_TOKENS = 2 << 20
 #: Bytes of text turned into words at once.
 PIECE_BYTES = 1 << 21
 END, BEGIN = np.uint64(0), np.uint64(1)
@@ -474,12 +476,12 @@ def score(docs: DataFrame, model: Model, keys: list[str], text: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(restore(Model, state))
         for batch in batches:
-            # As many texts at once as hold about HELD_TOKENS tokens.
+            # As many texts at once as hold about SCORED_TOKENS tokens.
             sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
             at = 0
             while at < batch.num_rows:
                 done = int(sizes[at - 1]) if at else 0
-                stop = max(at + 1, int(np.searchsorted(sizes, done + 6 * HELD_TOKENS)))
+                stop = max(at + 1, int(np.searchsorted(sizes, done + 6 * SCORED_TOKENS)))
                 part = batch.slice(at, stop - at)
                 found = scorer.score(*tokens(part.column("text")))
                 yield pa.RecordBatch.from_arrays(
