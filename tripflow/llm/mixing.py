@@ -3,8 +3,8 @@
 1. Targets: each source's share of all words by weight, capped at ``MAX_REPEATS`` times its size,
    the excess shared again by weight among the rest until none is above (closed form below).
 2. A histogram (source, length) -> documents. Everything that follows reads this, not documents.
-3. Per source: the whole repeats its target holds, then for the remaining budget a number of
-   documents of each length. The bulk is taken in proportion to the histogram; the last words,
+3. Per source: the whole repeats its target holds, then for the remaining budget how many more
+   times documents of each length are taken. The bulk is taken in proportion to the histogram; the last words,
    about ``DP_WORDS`` / 2, are fitted by bounded-knapsack dynamic programming over the documents
    still free, so the budget is met exactly wherever their lengths allow it.
 4. Within a length the documents of smallest seeded hash are taken. A large class is cut by
@@ -64,30 +64,40 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REP
 
 
 def fit_rest(lengths: np.ndarray, free: np.ndarray, rest: int) -> np.ndarray:
-    """How many documents of each length to take so that their words come nearest to ``rest``
-    from below; ``free`` bounds the counts. Exact for rests up to ``DP_WORDS``."""
+    """How many documents of each length to take so that their words come nearest to ``rest``,
+    of two equally near sums the smaller; ``free`` bounds the counts.
+
+    The choice is exact for rests up to ``DP_WORDS``, but for sums that pass the rest by more than
+    the shortest free document; larger rests are first brought down, longest documents first.
+    """
     take, rest = np.zeros(len(lengths), dtype=np.int64), int(rest)
     for i in np.argsort(-lengths, kind="stable"):
         if lengths[i] == 0 or rest <= DP_WORDS:
             break
         take[i] = min(int(free[i]), rest // int(lengths[i]))
         rest -= int(take[i] * lengths[i])
-    free = free - take
+    free = np.where(lengths > 0, free - take, 0)
+    if not free.any():
+        return take
     # Bit s of ``reach`` says that s words can be made of the items so far; binary splitting turns
     # a bounded count into a few items.
-    reach, steps, mask = 1, [], (1 << (rest + 1)) - 1
-    usable = np.flatnonzero((free > 0) & (lengths > 0) & (lengths <= rest))
+    limit = rest + int(lengths[free > 0].min())
+    reach, steps, mask = 1, [], (1 << (limit + 1)) - 1
+    usable = np.flatnonzero((free > 0) & (lengths <= limit))
     for i in np.random.default_rng(SEED).permutation(usable).tolist():
         if reach >> rest & 1:
             break
-        count, lot = min(int(free[i]), rest // int(lengths[i])), 1
+        count, lot = min(int(free[i]), limit // int(lengths[i])), 1
         while count:
             lot = min(lot, count)
             steps.append((i, lot, reach))
             reach |= reach << (lot * int(lengths[i])) & mask
             count -= lot
             lot *= 2
-    at = reach.bit_length() - 1
+    at, above = (reach & (1 << (rest + 1)) - 1).bit_length() - 1, reach >> (rest + 1)
+    over = rest + (above & -above).bit_length()
+    if above and over - rest < rest - at:
+        at = over
     for i, lot, earlier in reversed(steps):
         if not earlier >> at & 1:
             at -= lot * int(lengths[i])
@@ -95,33 +105,48 @@ def fit_rest(lengths: np.ndarray, free: np.ndarray, rest: int) -> np.ndarray:
     return take
 
 
-def plan_source(lengths: np.ndarray, counts: np.ndarray, target: float) -> tuple[int, np.ndarray]:
-    """Whole repeats of all documents, and how many of each length get one more."""
+def plan_source(
+    lengths: np.ndarray, counts: np.ndarray, target: float, max_repeats: int = MAX_REPEATS
+) -> np.ndarray:
+    """How many times documents of each length are taken, over all of the length together."""
     total = int((lengths * counts).sum())
     if not total:
-        return 0, np.zeros(len(lengths), dtype=np.int64)
+        return np.zeros(len(lengths), dtype=np.int64)
     budget = round(target)
-    repeats, rest = divmod(budget, total)
-    # Along the lengths, the words taken so far never fall a whole document behind their share.
-    # Half of what the programme can fit is left to it, so that it has documents to choose from.
-    bulk, words = max(0, rest - DP_WORDS // 2), np.cumsum(lengths * counts)
-    take, taken = np.zeros(len(lengths), dtype=np.int64), 0
-    for i in np.flatnonzero(lengths > 0).tolist():
-        due = int(words[i]) * bulk // total
-        take[i] = min(int(counts[i]), max(0, (due - taken) // int(lengths[i])))
-        taken += int(take[i] * lengths[i])
-    return repeats, take + fit_rest(lengths, counts - take, rest - taken)
+    best = None
+    # One whole repeat less leaves more documents to choose from, should the first try miss.
+    for repeats in dict.fromkeys((budget // total, max(0, budget // total - 1))):
+        rest, most = budget - repeats * total, (max_repeats - repeats) * counts
+        # Along the lengths, the words taken so far never fall a whole document behind their
+        # share. Half of what the programme can fit is left to it, so that it has a choice.
+        bulk, words = max(0, rest - DP_WORDS // 2), np.cumsum(lengths * counts)
+        take, taken = np.zeros(len(lengths), dtype=np.int64), 0
+        for i in np.flatnonzero(lengths > 0).tolist():
+            due = int(words[i]) * bulk // total
+            take[i] = min(int(most[i]), max(0, (due - taken) // int(lengths[i])))
+            taken += int(take[i] * lengths[i])
+        take += fit_rest(lengths, most - take, rest - taken) + repeats * counts
+        missed = abs(int((take * lengths).sum()) - budget)
+        if best is None or missed < best[0]:
+            best = missed, take
+        if not missed:
+            break
+    return best[1]
 
 
 _PLAN = "source string, size long, n long, source_size long, target double, repeats long, more long"
 
 
-def _plan(frame: pd.DataFrame) -> pd.DataFrame:
-    frame = frame.sort_values("size", kind="stable").reset_index(drop=True)
-    repeats, more = plan_source(frame["size"].to_numpy(), frame["n"].to_numpy(), float(frame["target"][0]))
-    return frame.assign(repeats=repeats, more=more)[
-        ["source", "size", "n", "source_size", "target", "repeats", "more"]
-    ]
+def _plan(max_repeats: int):
+    def plan(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("size", kind="stable").reset_index(drop=True)
+        lengths, counts = frame["size"].to_numpy(), frame["n"].to_numpy()
+        times = plan_source(lengths, counts, float(frame["target"][0]), max_repeats)
+        return frame.assign(repeats=times // counts, more=times % counts)[
+            ["source", "size", "n", "source_size", "target", "repeats", "more"]
+        ]
+
+    return plan
 
 
 def mix(
@@ -145,7 +170,7 @@ def mix(
     sizes = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     targets = settle(source_targets(settle(sizes, "sizes"), weights, max_repeats), "targets")
     known = histogram.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-    plan = settle(known.drop("s").groupBy("source").applyInPandas(_plan, _PLAN), "plan")
+    plan = settle(known.drop("s").groupBy("source").applyInPandas(_plan(max_repeats), _PLAN), "plan")
 
     kept = [c for c in docs.columns if c not in ("source_size", "target", "taken")]
     buckets = F.ceil(F.col("p.n") / BUCKET)
