@@ -85,8 +85,12 @@ def test_iso_text(spark):
     texts = {
         "2015-01-15 19:05:39": stamp,
         "2015-01-15T19:05:39": stamp,
-        "2015-01-15T19:05:39.123": stamp,
-        "2015-01-15T19:05:39.000-05:00": stamp,
+        "2015-01-15T19:05:39.123": stamp.replace(microsecond=123000),
+        "2015-01-15 19:05:39.123456": stamp.replace(microsecond=123456),
+        "2015-01-15T19:05:39.250-05:00": stamp.replace(day=16, hour=0, microsecond=250000),
+        "2015-01-15T19:05:39Z": stamp,
+        "2015-01-15 19:05:39+0130": stamp.replace(hour=17, minute=35),
+        "2015-01-15 19:05:39junk": None,
         "2015-01-15T19:05:39+00:00": stamp,
         "2015-02-30 19:05:39": None,
         "2015-01-15": None,
@@ -98,6 +102,24 @@ def test_iso_text(spark):
     assert got == texts
 
 
+def test_offsets_in_a_named_zone_and_as_wall_clock(spark):
+    df = spark.createDataFrame([("2024-07-01T12:00:00+02:00",), ("2024-07-01T12:00:00",)], "t string")
+    zoned = normalise_iso(F.col("t"), zone="America/New_York")
+    read = df.select(zoned, normalise_iso(F.col("t"), wall_clock=True)).collect()
+    noon = dt.datetime(2024, 7, 1, 12)
+    assert [tuple(r) for r in read] == [(noon.replace(hour=6), noon), (noon, noon)]
+
+
+def test_distances_of_nan_and_null(spark):
+    nan = float("nan")
+    rows = [(nan, 1.0, 2.0, 3.0), (1.0, 1.0, nan, 3.0), (None, 1.0, 2.0, 3.0), (1.0, 2.0, 3.0, 4.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    forms = [f(*[F.col(c) for c in "abcd"]) for f in (haversine_km, haversine_udf, haversine_arrow_udf)]
+    for r in df.select(*forms).collect():
+        assert len({v if v is None else round(v, 6) for v in r}) == 1
+    assert [r[0] is None for r in df.select(forms[0]).collect()] == [True, True, True, False]
+
+
 def test_pattern_text(spark):
     data = [("2024-01-15T19:05:39.250",), ("2024-01-15 19:05:39",), ("2024-02-30T00:00:00.000",)]
     df = spark.createDataFrame(data, "t string")

@@ -18,7 +18,9 @@ def test_hours_wrap_past_midnight_or_stop_there():
 
 
 def test_days_after_the_28th_are_left_out():
-    assert TripWindow(day_start=27).days == [27, 28]
+    assert TripWindow(day_start=27).days == [27, 28, 29]
+    assert TripWindow(day_start=30).days == [30, 31]
+    assert TripWindow(day_start=27, common_days=True).days == [27, 28]
 
 
 @pytest.mark.parametrize("number", [0, 23, 24, 25, 999, 123456])
@@ -30,7 +32,7 @@ def test_from_id(number):
 
 
 @pytest.mark.parametrize(
-    "bad", [{"hour_start": 24}, {"hour_count": 0}, {"day_start": 0}, {"top_k": 0}]
+    "bad", [{"hour_start": 24}, {"hour_count": 0}, {"day_start": 0}, {"day_start": 29, "common_days": True}, {"top_k": 0}]
 )
 def test_impossible_values_are_refused(bad):
     with pytest.raises(ValueError):

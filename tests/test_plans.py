@@ -6,11 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tripflow import TripWindow
+from tripflow.catalog.inputs import layout_by_day_hour
 from tripflow.functions.geo import haversine_arrow_udf, haversine_udf
 from tripflow.operators.filters import positive
 from tripflow.operators.ranking import global_topk, topk_per_group
 from tripflow.plans import best_days, hourly_profile
-from tripflow.plans.card_use import card_use
+from tripflow.plans.card_use import card_use, card_use_sql
 from tripflow.plans.flows import borough_flows
 from tripflow.plans.revenue_share import revenue_share
 from tripflow.plans.zone_balance import zone_imbalance, zone_imbalance_merged
@@ -46,7 +47,7 @@ def test_written_profile_scans_a_narrow_table(geo_table, plan):
 
 def test_udf_forms_go_through_python_once(geo_table, plan):
     rows = hourly_profile.profile_rows
-    assert "BatchEvalPython" in plan(rows(geo_table, W, distance=haversine_udf))
+    assert "ArrowEvalPython" in plan(rows(geo_table, W, distance=haversine_udf))
     assert "ArrowEvalPython" in plan(rows(geo_table, W, distance=haversine_arrow_udf))
     written = hourly_profile.hourly_profile(geo_table, W, distance=haversine_arrow_udf)
     assert "Python" not in plan(written)
@@ -84,3 +85,38 @@ def test_join_strategies_differ_in_plan_and_agree_in_rows(zone_trips, zones, pla
     assert plan(broadcast).count("SortMergeJoin") == 1
     assert plan(merge).count("SortMergeJoin") == 3
     assert rows(broadcast) == rows(merge)
+
+
+@pytest.mark.parametrize("job", ["flows", "cards", "cards_sql", "imbalance", "broadcast", "merge", "revenue"])
+def test_zone_jobs_prune_the_layout(inputs, plan, job):
+    laid_out, zones = layout_by_day_hour(inputs), inputs["zones"]
+    df = {
+        "flows": lambda: borough_flows(laid_out, zones, W),
+        "cards": lambda: card_use(laid_out, zones, W),
+        "cards_sql": lambda: card_use_sql(laid_out, zones, W),
+        "imbalance": lambda: zone_imbalance(laid_out, zones, W),
+        "broadcast": lambda: zone_imbalance_merged(laid_out, zones, W, "broadcast"),
+        "merge": lambda: zone_imbalance_merged(laid_out, zones, W, "merge"),
+        "revenue": lambda: revenue_share(laid_out, zones, W),
+    }[job]()
+    text = plan(df)
+    assert "PartitionFilters: [pickup_day" in text and "dayofmonth" not in text
+
+
+def test_join_strategies_without_broadcast_and_adaptive_execution(spark, inputs, plan):
+    """The second run of the comparison: no broadcast by threshold, no plan changed at run time."""
+    trips, zones = inputs["trips_zone"], inputs["zones"]
+    expected = zone_imbalance(trips, zones, W).collect()
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        for strategy, join in (("merge", "SortMergeJoin"), ("auto", "SortMergeJoin"), ("broadcast", "BroadcastHashJoin")):
+            df = zone_imbalance_merged(trips, zones, W, strategy)
+            text = plan(df)
+            assert join in text and "AdaptiveSparkPlan" not in text
+            assert df.collect() == expected
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)

@@ -67,7 +67,7 @@ def test_null_keys_of_a_full_merge_stay_apart(spark, rows):
 
 
 def test_broadcast_only_below_the_bound(spark, plan):
-    big = spark.range(1000).withColumnRenamed("id", "k")
+    big = spark.range(0, 1000, 1, 8).withColumnRenamed("id", "k")
     assert "ResolvedHint" in plan(broadcast_if_small(big, max_rows=1000), "extended")
     assert "ResolvedHint" not in plan(broadcast_if_small(big, max_rows=999), "extended")
     assert "ResolvedHint" not in plan(broadcast_if_small(big, max_bytes=100), "extended")
@@ -89,6 +89,11 @@ def test_conditional_means(spark):
     assert (share, mean, none) == (0.5, 2.0, None)
 
 
+def test_mean_by_join_keeps_the_null_group(spark, rows):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 5.0)], "k string, v double")
+    assert rows(mean_by_join(df, ["k"], "v")) == [("a", 2, 2.0), (None, 1, 5.0)]
+
+
 def test_means_in_three_shapes(zone_trips):
     df = zone_trips.withColumn("h", F.hour("pickup_ts"))
     plain = {r.h: r.m for r in df.groupBy("h").agg(F.avg("total_amount").alias("m")).collect()}
@@ -154,8 +159,7 @@ def test_profile_forms_agree(geo, window):
     assert [r[0] for r in base] == sorted(window.hours)
     assert rounded(hourly_profile.hourly_profile_sql(geo, window)) == base
     assert rounded(hourly_profile.hourly_profile(geo, window, write_rows=False)) == base
-    # A cap above every hour's rows makes the sample the whole.
-    sampled = hourly_profile.hourly_profile_sampled(geo, window, "trip_id").drop("sampled")
+    sampled = hourly_profile.hourly_profile_sampled(geo, window).drop("sampled")
     assert rounded(sampled) == base
     sketch = hourly_profile.hourly_profile_approx(geo, window, accuracy=1_000_000)
     assert rounded(sketch, 6) == rounded(hourly_profile.hourly_profile(geo, window), 6)

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import datetime as dt
 import glob
 
 import pytest
@@ -18,7 +19,13 @@ from tripflow.schemas import (
     to_zones,
 )
 from tripflow.sources import readers, staging
-from tripflow.sources.writers import export_csv, write_by_date, write_by_day_hour
+from tripflow.sources.writers import (
+    SALTS,
+    csv_to_parquet,
+    export_csv,
+    write_by_date,
+    write_by_day_hour,
+)
 
 SMALL = StructType(
     [
@@ -38,9 +45,18 @@ def test_text_lines(spark, rows):
     lines = ["id,x,note", "1,2.5,a", "2,2.5", "x,2.5,a", '3,1.0,"a,b"', "4,1.0,a,b", "id,x,note",
              "5,,a", ""]
     df = spark.createDataFrame([(line,) for line in lines], "value string")
-    assert rows(readers.parse_text_lines(df, SMALL)) == [(1, 2.5, "a"), (3, 1.0, "a,b")]
+    assert rows(readers.parse_text_lines(df, SMALL)) == [
+        (1, 2.5, "a"), (3, 1.0, "a,b"), (4, 1.0, "a"),
+    ]
     assert rows(readers.parse_text_lines(df, SMALL, required=["id"])) == [
-        (1, 2.5, "a"), (3, 1.0, "a,b"), (5, None, "a"),
+        (1, 2.5, "a"), (3, 1.0, "a,b"), (4, 1.0, "a"), (5, None, "a"),
+    ]
+
+
+def test_text_lines_with_unreadable_fields_nobody_asked_for(spark, rows):
+    df = spark.createDataFrame([("1.0,2.5,a",), ("1.5,2.5,b",), ("x,3.5,c",), ("7,y,d",)], "value string")
+    assert rows(readers.parse_text_lines(df, SMALL, required=["x"])) == [
+        (1, 2.5, "a"), (None, 2.5, "b"), (None, 3.5, "c"),
     ]
 
 
@@ -152,6 +168,34 @@ def test_a_hot_partition_is_written_by_several_tasks(spark, folder):
     assert spark.read.parquet(folder("h")).count() == 200_000
 
 
+def test_a_layout_without_adaptive_execution_has_few_files_a_folder(spark, folder):
+    days = spark.range(0, 8000, 1, 8).select(
+        F.expr("timestamp_ntz'2024-01-01 12:00:00' + make_dt_interval(id % 5)").alias("pickup_ts"), "id"
+    )
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        write_by_day_hour(days, folder("n"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert 1 < files_in(folder("n"), "pickup_day=1/pickup_hour=12") <= SALTS
+    assert spark.read.parquet(folder("n")).count() == 8000
+
+
+def test_fractions_and_offsets_survive_conversion_and_export(spark, folder, rows):
+    text = "id,tpep_pickup_datetime\n1,2015-01-15T19:05:39.250-05:00\n2,2015-01-15 01:02:03.123456\n"
+    with open(folder("t.csv"), "w") as out:
+        out.write(text)
+    schema = StructType([StructField("id", IntegerType()), StructField("tpep_pickup_datetime", StringType())])
+    csv_to_parquet(spark, folder("t.csv"), folder("p"), schema, ("tpep_pickup_datetime",))
+    stored = spark.read.parquet(folder("p"))
+    expected = [(1, dt.datetime(2015, 1, 16, 0, 5, 39, 250000)), (2, dt.datetime(2015, 1, 15, 1, 2, 3, 123456))]
+    assert rows(stored) == expected
+    export_csv(stored, folder("e"))
+    csv_to_parquet(spark, folder("e"), folder("q"), schema, ("tpep_pickup_datetime",))
+    assert rows(spark.read.parquet(folder("q"))) == expected
+
+
 def test_export_in_parts_or_one_file(spark, folder):
     df = spark.range(0, 1000, 1, 4)
     export_csv(df, folder("many"))
@@ -189,6 +233,23 @@ def test_no_machine_local_folder_on_a_cluster():
         staging.shared_folder(_Session(**{"spark.master": "yarn", "spark.app.id": "app"}))
 
 
+def test_executors_of_a_local_cluster_share_no_temporary_folder():
+    values = {"spark.master": "local-cluster[2,1,1024]", "spark.app.id": "app"}
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        staging.shared_folder(_Session(**values))
+
+
+def test_clear_removes_what_was_written(spark, tmp_path):
+    class Session:
+        conf = _Conf({"spark.checkpoint.dir": str(tmp_path), "spark.app.id": "one"})
+        sparkContext = spark.sparkContext
+
+    spark.range(3).write.parquet(staging.new_path(Session, "x"))
+    assert [p.name for p in (tmp_path / "tripflow").iterdir()] == ["one"]
+    staging.clear(Session)
+    assert not list((tmp_path / "tripflow").iterdir())
+
+
 def test_settle_keeps_rows_and_types(spark, rows):
     df = spark.range(10).select("id", F.lit("x").alias("s"))
     back = staging.settle(df)

@@ -15,6 +15,7 @@ from tripflow.params import TripWindow
 from tripflow.plans.zone_balance import zone_counts_merged
 
 W = TripWindow()
+ALWAYS = TripWindow(hour_start=0, hour_count=24, day_start=1, day_count=31)
 NIGHT = TripWindow(hour_start=22)
 _GEO, _ZONE = ("trips_geo",), ("trips_zone",)
 _CORNERS = ("pickup_latitude", "pickup_longitude", "dropoff_latitude", "dropoff_longitude")
@@ -61,7 +62,7 @@ def _hour_range(t: Inputs):
 @register(
     "day_hour_filter",
     """SELECT trip_id, pickup_ts FROM trips_zone
-       WHERE day(pickup_ts) IN (27, 28) AND hour(pickup_ts) IN (22, 23, 0, 1)""",
+       WHERE day(pickup_ts) IN (27, 28, 29) AND hour(pickup_ts) IN (22, 23, 0, 1)""",
     _ZONE,
 )
 def _day_hour(t: Inputs):
@@ -144,32 +145,32 @@ def _duration(t: Inputs):
 @register(
     "parse_timestamp",
     """SELECT trip_id, CASE WHEN trip_id % 9 <> 0 AND trip_id % 10 <> 0
-                            THEN date_trunc('millisecond', pickup_ts) END AS parsed
+                            THEN pickup_ts END AS parsed
        FROM trips_zone""",
     _ZONE,
 )
 def _parse_timestamp(t: Inputs):
     text = (
         F.when(F.col("trip_id") % 9 == 0, F.lit("no time"))
-        .when(F.col("trip_id") % 10 == 0, F.lit("2024-02-30T10:00:00.000"))
-        .otherwise(F.date_format("pickup_ts", times.ISO_MILLIS_PATTERN))
+        .when(F.col("trip_id") % 10 == 0, F.lit("2024-02-30T10:00:00.000000"))
+        .otherwise(F.date_format("pickup_ts", times.ISO_MICROS_PATTERN))
     )
     df = t["trips_zone"].select("trip_id", text.alias("text"))
-    return df.select("trip_id", times.parse_timestamp(F.col("text")).alias("parsed"))
+    return df.select("trip_id", times.parse_timestamp(F.col("text"), times.ISO_MICROS_PATTERN).alias("parsed"))
 
 
 def _stamp_text(ts: Column, trip_id: Column) -> Column:
     """The pickup time in the spellings that occur, and some that are no time at all."""
     return (
-        F.when(trip_id % 6 == 0, F.date_format(ts, times.PLAIN_PATTERN))
-        .when(trip_id % 6 == 1, F.date_format(ts, times.ISO_MILLIS_PATTERN))
+        F.when(trip_id % 6 == 0, F.date_format(ts, times.PLAIN_MICROS_PATTERN))
+        .when(trip_id % 6 == 1, F.date_format(ts, times.ISO_MICROS_PATTERN))
         .when(
             trip_id % 6 == 2,
-            F.concat(F.date_format(ts, times.ISO_MILLIS_PATTERN), F.lit("-05:00")),
+            F.concat(F.date_format(ts, times.ISO_MICROS_PATTERN), F.lit("-05:00")),
         )
         .when(
             trip_id % 6 == 3,
-            F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00")),
+            F.concat(F.date_format(ts, times.ISO_MICROS_PATTERN), F.lit("+00:00")),
         )
         .when(trip_id % 6 == 4, F.date_format(ts, "yyyy-MM-dd"))
         .otherwise(F.lit("2024-13-01 00:00:00"))
@@ -178,7 +179,8 @@ def _stamp_text(ts: Column, trip_id: Column) -> Column:
 
 @register(
     "normalise_iso_timestamp",
-    """SELECT trip_id, CASE WHEN trip_id % 6 < 4 THEN date_trunc('second', pickup_ts) END AS parsed
+    """SELECT trip_id, CASE trip_id % 6 WHEN 4 THEN NULL WHEN 5 THEN NULL
+                            WHEN 2 THEN pickup_ts + INTERVAL 5 HOUR ELSE pickup_ts END AS parsed
        FROM trips_zone""",
     _ZONE,
 )
@@ -228,11 +230,9 @@ def _safe_ratio(t: Inputs):
     "imbalance_ratio",
     """WITH p AS (SELECT borough, zone, count(*) AS n FROM trips_zone
                   LEFT JOIN zones ON pu_location_id = location_id
-                  WHERE day(pickup_ts) IN (11, 12, 13) AND hour(pickup_ts) IN (11, 12, 13, 14)
                   GROUP BY 1, 2),
             d AS (SELECT borough, zone, count(*) AS n FROM trips_zone
                   LEFT JOIN zones ON do_location_id = location_id
-                  WHERE day(pickup_ts) IN (11, 12, 13) AND hour(pickup_ts) IN (11, 12, 13, 14)
                   GROUP BY 1, 2),
             m AS (SELECT coalesce(p.borough, d.borough) AS borough,
                          coalesce(p.zone, d.zone) AS zone,
@@ -244,7 +244,7 @@ def _safe_ratio(t: Inputs):
     ("trips_zone", "zones"),
 )
 def _imbalance(t: Inputs):
-    counts = zone_counts_merged(t["trips_zone"], t["zones"], W)
+    counts = zone_counts_merged(t["trips_zone"], t["zones"], ALWAYS)
     ratio = values.imbalance(F.col("pickups"), F.col("dropoffs"))
     return counts.select("borough", "zone", ratio.alias("imbalance"))
 

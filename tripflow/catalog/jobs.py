@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
-from tripflow.catalog.inputs import geo_csv, geo_from_csv, layout_by_day_hour, zone_from_csv_text
+from dataclasses import replace
+
+from pyspark.sql import functions as F
+
+from tripflow.catalog.bounds import within_rank_error
+from tripflow.catalog.inputs import (
+    geo_csv,
+    geo_from_csv,
+    geo_from_inferred_csv,
+    geo_from_lines,
+    layout_by_day_hour,
+    zone_from_csv_text,
+    zones_from_csv,
+)
 from tripflow.catalog.registry import register, rounded
 from tripflow.catalog.views import Inputs
 from tripflow.functions.geo import haversine_arrow_udf, haversine_udf
 from tripflow.params import TripWindow
 from tripflow.plans import best_days as q2
 from tripflow.plans import hourly_profile as q1
-from tripflow.plans.card_use import card_use
+from tripflow.plans.card_use import card_use, card_use_sql
 from tripflow.plans.flows import borough_flows
 from tripflow.plans.revenue_share import revenue_share
 from tripflow.plans.zone_balance import zone_imbalance, zone_imbalance_merged
@@ -90,36 +103,42 @@ def _q1_paid(t: Inputs):
     return _profile(q1.hourly_profile(t["trips_geo"], W, bounds=False, paid_only=True))
 
 
-@register("q1_hourly_profile_approx")
+@register(
+    "q1_hourly_profile_approx",
+    f"""SELECT pickup_hour, trips, avg_duration_min, true AS within_bound FROM ({_PROFILE})""",
+    _GEO,
+)
 def _q1_approx(t: Inputs):
-    return _profile(q1.hourly_profile_approx(t["trips_geo"], W))
-
-
-SAMPLE_CAP = 1000
+    found = q1.hourly_profile_approx(t["trips_geo"], W)
+    km = q1.profile_rows(t["trips_geo"], W).select("pickup_hour", F.col("km").alias("value"))
+    checked = within_rank_error(found.withColumnRenamed("p90_km", "p90"), km, "pickup_hour", "trips")
+    return _profile(checked.select("pickup_hour", "trips", "avg_duration_min", "within_bound"))
 
 
 @register(
     "q1_hourly_profile_sampled",
-    f"""
-WITH measured AS (
-  SELECT CAST(hour(pickup_ts) AS INT) AS pickup_hour, {SECONDS_SQL} AS seconds,
-         round({KM_SQL}, 6) AS km, (trip_id * 7919 + 104729) % 10007 AS hash
-  FROM trips_geo
-  WHERE hour(pickup_ts) IN {HOURS} AND {SECONDS_SQL} > 0 AND {NON_ZERO_SQL} AND {BOUNDS_SQL}
-),
-placed AS (
-  SELECT *, row_number() OVER (PARTITION BY pickup_hour ORDER BY hash, km) AS place FROM measured
-)
-SELECT pickup_hour, count(*) AS trips,
-       round(CAST(sum(seconds) AS DOUBLE) / count(*) / 60, 6) AS avg_duration_min,
-       count(*) FILTER (place <= {SAMPLE_CAP}) AS sampled,
-       quantile_disc(km, 0.9) FILTER (place <= {SAMPLE_CAP}) AS p90_km
-FROM placed GROUP BY pickup_hour
-""",
+    f"SELECT pickup_hour, trips, avg_duration_min, trips AS sampled, p90_km FROM ({_PROFILE})",
     _GEO,
 )
 def _q1_sampled(t: Inputs):
-    return _profile(q1.hourly_profile_sampled(t["trips_geo"], W, "trip_id", SAMPLE_CAP))
+    return _profile(q1.hourly_profile_sampled(t["trips_geo"], W))
+
+
+@register("q1_hourly_profile_lines", _PROFILE, _GEO)
+def _q1_lines(t: Inputs):
+    return _profile(q1.hourly_profile(geo_from_lines(t), W))
+
+
+@register("q1_hourly_profile_sql_csv", _PROFILE, _GEO)
+def _q1_sql_csv(t: Inputs):
+    return _profile(q1.hourly_profile_sql(geo_from_inferred_csv(t), W))
+
+
+@register(
+    "q1_hourly_profile_non_zero", profile_sql("true"), _GEO
+)
+def _q1_non_zero(t: Inputs):
+    return _profile(q1.hourly_profile(t["trips_geo"], W, bounds=False))
 
 
 _BEST_DAYS = f"""
@@ -159,6 +178,11 @@ def _q2_collect(t: Inputs):
     return _best(q2.best_days_collected(t["trips_geo"], W))
 
 
+@register("q2_best_days_lines", _BEST_DAYS, _GEO)
+def _q2_lines(t: Inputs):
+    return _best(q2.best_days(geo_from_lines(t), W))
+
+
 @register("q2_best_days_two_level", _BEST_DAYS, _GEO)
 def _q2_two_level(t: Inputs):
     return _best(q2.best_days_two_level(t["trips_geo"], W))
@@ -168,9 +192,7 @@ IN_WINDOW_SQL = f"day(pickup_ts) IN {DAYS} AND hour(pickup_ts) IN {HOURS}"
 _ZONE = ("trips_zone", "zones")
 
 
-@register(
-    "q3_flows",
-    f"""
+_FLOWS = f"""
 SELECT p.borough AS pickup_borough, d.borough AS dropoff_borough, count(*) AS trips
 FROM trips_zone t
 JOIN zones p ON t.pu_location_id = p.location_id
@@ -178,10 +200,16 @@ JOIN zones d ON t.do_location_id = d.location_id
 WHERE {IN_WINDOW_SQL} AND p.borough <> d.borough
 GROUP BY 1, 2
 ORDER BY trips DESC, pickup_borough, dropoff_borough LIMIT {W.top_k}
-""",
-    _ZONE,
-)
+"""
+
+
+@register("q3_flows", _FLOWS, _ZONE)
 def _q3(t: Inputs):
+    return borough_flows(layout_by_day_hour(t), t["zones"], W)
+
+
+@register("q3_flows_unpruned", _FLOWS, _ZONE)
+def _q3_unpruned(t: Inputs):
     return borough_flows(t["trips_zone"], t["zones"], W)
 
 
@@ -202,9 +230,35 @@ def _card(df):
 
 @register("q4_card_use", _CARD, _ZONE)
 def q4_card_use(t: Inputs):
+    return _card(card_use(layout_by_day_hour(t), t["zones"], W))
+
+
+@register("q4_card_use_unpruned", _CARD, _ZONE)
+def _q4_unpruned(t: Inputs):
     return _card(card_use(t["trips_zone"], t["zones"], W))
 
 
+@register("q4_card_use_sql", _CARD, _ZONE)
+def _q4_sql(t: Inputs):
+    return _card(card_use_sql(layout_by_day_hour(t), t["zones"], W))
+
+
+@register("q4_card_use_sql_csv", _CARD, _ZONE)
+def _q4_sql_csv(t: Inputs):
+    return _card(card_use_sql(zone_from_csv_text(t), zones_from_csv(t), W))
+
+
+@register(
+    "q4_card_use_new_york",
+    _CARD.replace("(pickup_ts)", "(timezone('America/New_York', timezone('UTC', pickup_ts)))"),
+    _ZONE,
+)
+def _q4_zoned(t: Inputs):
+    """Days and hours of a named zone: from a layout written for it."""
+    local = replace(W, zone="America/New_York")
+    return _card(card_use(layout_by_day_hour(t, local.zone), t["zones"], local))
+
+
 @register("q4_card_use_partitioned", _CARD, _ZONE)
 def _q4_partitioned(t: Inputs):
     return _card(card_use(layout_by_day_hour(t), t["zones"], W))
@@ -241,17 +295,22 @@ LIMIT {W.top_k}
 
 @register("q5_imbalance", _IMBALANCE, _ZONE)
 def _q5(t: Inputs):
+    return zone_imbalance(layout_by_day_hour(t), t["zones"], W)
+
+
+@register("q5_imbalance_unpruned", _IMBALANCE, _ZONE)
+def _q5_unpruned(t: Inputs):
     return zone_imbalance(t["trips_zone"], t["zones"], W)
 
 
 @register("join_strategy_broadcast", _IMBALANCE, _ZONE)
 def _q5_broadcast(t: Inputs):
-    return zone_imbalance_merged(t["trips_zone"], t["zones"], W, strategy="broadcast")
+    return zone_imbalance_merged(layout_by_day_hour(t), t["zones"], W, strategy="broadcast")
 
 
 @register("join_strategy_merge", _IMBALANCE, _ZONE)
 def _q5_merge(t: Inputs):
-    return zone_imbalance_merged(t["trips_zone"], t["zones"], W, strategy="merge")
+    return zone_imbalance_merged(layout_by_day_hour(t), t["zones"], W, strategy="merge")
 
 
 _REVENUE = f"""
@@ -279,6 +338,11 @@ def _revenue(df):
 
 @register("q6_revenue_share", _REVENUE, _ZONE)
 def _q6(t: Inputs):
+    return _revenue(revenue_share(layout_by_day_hour(t), t["zones"], W))
+
+
+@register("q6_revenue_share_unpruned", _REVENUE, _ZONE)
+def _q6_unpruned(t: Inputs):
     return _revenue(revenue_share(t["trips_zone"], t["zones"], W))
 
 

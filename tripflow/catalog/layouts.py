@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from tripflow.catalog.inputs import STAMPS, by_date, geo_csv, layout_by_day_hour
 from tripflow.catalog.registry import register, rounded
 from tripflow.catalog.views import Inputs
-from tripflow.functions.times import ISO_MILLIS_PATTERN, normalise_iso
+from tripflow.functions.times import ISO_MICROS_PATTERN, normalise_iso
 from tripflow.operators.filters import on_dates
 from tripflow.schemas import GEO_FILE_SCHEMA
 from tripflow.sources.readers import read_csv_typed
 from tripflow.sources.staging import written_once
 from tripflow.sources.writers import csv_to_parquet, export_csv
 
+# Test parameters: three days of the month that the test tables cover.
 DATES = ["2024-01-09", "2024-01-10", "2024-01-11"]
 DATES_SQL = "(DATE '2024-01-09', DATE '2024-01-10', DATE '2024-01-11')"
 
@@ -79,7 +80,7 @@ def _roundtrip(t: Inputs):
         t.spark,
         "geo_export",
         t.sf_dir,
-        lambda out: export_csv(t.spark.read.parquet(_converted(t)), out, ISO_MILLIS_PATTERN),
+        lambda out: export_csv(t.spark.read.parquet(_converted(t)), out, ISO_MICROS_PATTERN),
     )
     df = read_csv_typed(t.spark, path, GEO_FILE_SCHEMA)
     return df.withColumns({name: normalise_iso(F.col(name)) for name in STAMPS})

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tripflow.catalog.jobs import BOUNDS_SQL, KM_SQL, NON_ZERO_SQL, SAMPLE_CAP, SECONDS_SQL
+from tripflow.catalog.bounds import within_rank_error, within_sample_size
+from tripflow.catalog.jobs import BOUNDS_SQL, KM_SQL, NON_ZERO_SQL, SECONDS_SQL
 from tripflow.catalog.registry import register, rounded
 from tripflow.catalog.views import Inputs
 from tripflow.functions.geo import KM_DECIMALS, KM_ORDINAL_BITS
 from tripflow.operators import aggregates, joins, ranking, sampling, selection
 from tripflow.params import TripWindow
-from tripflow.plans.hourly_profile import profile_rows, sampled_p90
+from tripflow.plans.hourly_profile import p90_by_hour, profile_rows
 from tripflow.sources.staging import settle
 
 _GEO, _ZONE, _BOTH = ("trips_geo",), ("trips_zone",), ("trips_zone", "zones")
@@ -93,7 +94,8 @@ def _agg_join_agg(t: Inputs):
     return rounded(df, mean=6)
 
 
-_SAMPLED = "(trip_id * 7919 + 104729) % 10007 % 50 = 0"
+# The first eight digits of the MD5 of the id, as a number, modulo 50.
+_SAMPLED = "CAST('0x' || substr(md5(CAST(trip_id AS VARCHAR)), 1, 8) AS BIGINT) % 50 = 0"
 
 
 def _p90_of(df, keys: list[str], value: str, name: str = "p90"):
@@ -206,11 +208,19 @@ def _ratio_of_sums(t: Inputs):
     return rounded(df, tip_share=6, fare_per_trip=4)
 
 
-@register("p90_approx")
+@register(
+    "p90_approx",
+    """SELECT CAST(hour(pickup_ts) AS INT) AS pickup_hour, count(*) AS trips, true AS within_bound
+       FROM trips_geo GROUP BY 1""",
+    _GEO,
+)
 def _p90_approx(t: Inputs):
-    return _with_hour(t["trips_geo"]).groupBy("pickup_hour").agg(
+    df = _with_hour(t["trips_geo"])
+    found = df.groupBy("pickup_hour").agg(
         F.count("*").alias("trips"), F.percentile_approx("fare_amount", 0.9).alias("p90")
     )
+    fares = df.select("pickup_hour", F.col("fare_amount").alias("value"))
+    return within_rank_error(found, fares, "pickup_hour", "trips").drop("p90")
 
 
 @register(
@@ -248,20 +258,15 @@ def _two_level_mean(t: Inputs):
 
 @register(
     "p90_bounded_sample",
-    f"""WITH measured AS (
-          SELECT CAST(hour(pickup_ts) AS INT) AS pickup_hour, round({KM_SQL}, 6) AS km,
-                 (trip_id * 7919 + 104729) % 10007 AS hash
-          FROM trips_geo WHERE {SECONDS_SQL} > 0 AND {NON_ZERO_SQL} AND {BOUNDS_SQL}),
-        placed AS (
-          SELECT *, row_number() OVER (PARTITION BY pickup_hour ORDER BY hash, km) AS place
-          FROM measured)
-        SELECT pickup_hour, count(*) AS sampled, quantile_disc(km, 0.9) AS p90_km
-        FROM placed WHERE place <= {SAMPLE_CAP} GROUP BY 1""",
+    f"""SELECT CAST(hour(pickup_ts) AS INT) AS pickup_hour, count(*) AS sampled,
+               quantile_disc(round({KM_SQL}, 6), 0.9) AS p90_km
+        FROM trips_geo WHERE {SECONDS_SQL} > 0 AND {NON_ZERO_SQL} AND {BOUNDS_SQL} GROUP BY 1""",
     _GEO,
 )
 def _p90_bounded(t: Inputs):
-    rows = settle(profile_rows(t["trips_geo"], ALL_HOURS, keep=("trip_id",)), "profile_rows")
-    return sampled_p90(rows, "trip_id", SAMPLE_CAP)
+    """Bounded memory without a sample: rank selection over all rows."""
+    rows = profile_rows(t["trips_geo"], ALL_HOURS).select("pickup_hour", "km")
+    return p90_by_hour(settle(rows, "profile_rows"))
 
 
 def _p90_km(rows):
@@ -270,10 +275,16 @@ def _p90_km(rows):
     ).withColumnRenamed("rows", "sampled")
 
 
-@register("p90_rate_sample")
+@register(
+    "p90_rate_sample",
+    f"""SELECT CAST(hour(pickup_ts) AS INT) AS pickup_hour, count(*) AS trips, true AS within_bound
+        FROM trips_geo WHERE {SECONDS_SQL} > 0 AND {NON_ZERO_SQL} AND {BOUNDS_SQL} GROUP BY 1""",
+    _GEO,
+)
 def _p90_rate(t: Inputs):
-    sample = sampling.rate_sample(profile_rows(t["trips_geo"], ALL_HOURS))
-    return _p90_km(settle(sample, "rate_sample"))
+    rows = profile_rows(t["trips_geo"], ALL_HOURS)
+    found = _p90_km(settle(sampling.rate_sample(rows), "rate_sample"))
+    return within_sample_size(found, rows, "pickup_hour", sampling.SAMPLE_RATE)
 
 
 @register(

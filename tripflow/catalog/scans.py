@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tripflow.catalog.inputs import STAMPS, geo_csv, layout_by_day_hour, trip_lines, zone_csv
 from tripflow.catalog.registry import register
 from tripflow.catalog.views import Inputs
-from tripflow.functions.times import normalise_iso, parse_timestamp
+from tripflow.functions.times import ISO_MICROS_PATTERN, normalise_iso, parse_timestamp
 from tripflow.functions.values import tolerant_double, tolerant_int
 from tripflow.operators.filters import in_window
 from tripflow.params import TripWindow
@@ -20,8 +20,6 @@ from tripflow.schemas import (
 from tripflow.sources import readers
 
 W = TripWindow()
-_MILLIS = ", ".join(f"date_trunc('millisecond', {name}) AS {name}" for name in STAMPS)
-_SECONDS = ", ".join(f"date_trunc('second', {name}) AS {name}" for name in STAMPS)
 
 
 @register("scan_parquet", "SELECT event_id, ts, user_id, event_type, value, props FROM events")
@@ -31,7 +29,7 @@ def _scan_parquet(t: Inputs):
 
 @register(
     "partitioned_scan",
-    """SELECT vendor_id, date_trunc('millisecond', pickup_ts) AS pickup_ts,
+    """SELECT vendor_id, pickup_ts,
               CAST(day(pickup_ts) AS INT) AS pickup_day,
               CAST(hour(pickup_ts) AS INT) AS pickup_hour, pu_location_id, total_amount
        FROM trips_zone WHERE day(pickup_ts) IN (11, 12, 13)
@@ -48,8 +46,8 @@ def _partitioned_scan(t: Inputs):
 @register(
     "csv_explicit_schema",
     """SELECT * REPLACE (
-         strftime(tpep_pickup_datetime, '%Y-%m-%d %H:%M:%S') AS tpep_pickup_datetime,
-         strftime(tpep_dropoff_datetime, '%Y-%m-%d %H:%M:%S') AS tpep_dropoff_datetime)
+         strftime(tpep_pickup_datetime, '%Y-%m-%d %H:%M:%S.%f') AS tpep_pickup_datetime,
+         strftime(tpep_dropoff_datetime, '%Y-%m-%d %H:%M:%S.%f') AS tpep_dropoff_datetime)
        FROM geo_file""",
     ("geo_file",),
 )
@@ -63,17 +61,18 @@ def _csv_inferred(t: Inputs):
     return df.withColumns({name: F.col(name).cast("timestamp_ntz") for name in STAMPS})
 
 
-@register("csv_string_late_cast", f"SELECT * REPLACE ({_MILLIS}) FROM zone_file", ("zone_file",))
+@register("csv_string_late_cast", "SELECT * FROM zone_file", ("zone_file",))
 def _csv_late_cast(t: Inputs):
     types = {field.name: field.dataType.simpleString() for field in ZONE_FILE_SCHEMA.fields}
     df = readers.late_cast(readers.read_csv_text(t.spark, zone_csv(t)), types)
-    return df.withColumns({name: parse_timestamp(F.col(name)) for name in STAMPS})
+    return df.withColumns({name: parse_timestamp(F.col(name), ISO_MICROS_PATTERN) for name in STAMPS})
 
 
 @register(
     "text_line_parse",
-    f"""WITH kept AS (SELECT * FROM zone_base WHERE trip_id % 13 <> 0 AND trip_id % 17 <> 0)
-       SELECT * EXCLUDE (trip_id) REPLACE ({_SECONDS}) FROM kept""",
+    """WITH kept AS (SELECT * FROM zone_base WHERE trip_id % 13 <> 0 AND trip_id % 17 <> 0)
+       SELECT * EXCLUDE (trip_id) REPLACE (
+         CASE WHEN trip_id % 23 <> 0 THEN tolls_amount END AS tolls_amount) FROM kept""",
     ("zone_base",),
 )
 def _text_lines(t: Inputs):

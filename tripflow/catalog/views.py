@@ -15,9 +15,10 @@ _DAY_SECOND = "((l_orderkey * 7919 + l_partkey * 31 + l_linenumber * 1009) % 864
 GEO_BASE = f"""
 SELECT l_orderkey * 10 + l_linenumber AS trip_id,
        CAST(l_suppkey % 4 AS INT) AS VendorID,
-       l_shipdate + INTERVAL '1' SECOND * {_DAY_SECOND} AS tpep_pickup_datetime,
+       l_shipdate + INTERVAL '1' SECOND * {_DAY_SECOND}
+         + INTERVAL '0.015625' SECOND * (l_partkey % 64) AS tpep_pickup_datetime,
        l_shipdate + INTERVAL '1' SECOND * ({_DAY_SECOND} + l_orderkey % 3600 - 60)
-         AS tpep_dropoff_datetime,
+         + INTERVAL '0.015625' SECOND * (l_suppkey % 64) AS tpep_dropoff_datetime,
        CAST(l_linenumber AS INT) AS passenger_count,
        l_quantity - 1 AS trip_distance,
        CAST(-74 AS DOUBLE) + (l_suppkey % 100) / CAST(200 AS DOUBLE) AS pickup_longitude,

@@ -21,19 +21,22 @@ KM_ORDINAL_BITS = 35
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Distance in km from built-in functions only, so it stays inside generated code.
 
+    Null where a coordinate is null or NaN.
+
     The arcsine argument is clamped to 1: rounding can lift it above for antipodal points, which
     would give NaN. (``least`` would do, but it skips nulls and turns a missing point into 1.)
     """
     across = F.pow(F.sin(F.radians(lat2 - lat1) / 2), F.lit(2.0))
     along = F.pow(F.sin(F.radians(lon2 - lon1) / 2), F.lit(2.0))
     chord = across + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * along
-    clamped = F.when(chord > 1, F.lit(1.0)).otherwise(chord)
+    # NaN is greater than 1 to Spark: it has to become null before the clamp.
+    clamped = F.when(~F.isnan(chord), F.when(chord > 1, F.lit(1.0)).otherwise(chord))
     return F.lit(2.0 * EARTH_RADIUS_KM) * F.asin(F.sqrt(clamped))
 
 
 def _haversine_row(lat1, lon1, lat2, lon2):
     corners = (lat1, lon1, lat2, lon2)
-    if any(corner is None or corner == 0 for corner in corners):
+    if any(corner is None or corner == 0 or math.isnan(corner) for corner in corners):
         return None
     phi1, lam1, phi2, lam2 = map(math.radians, corners)
     chord = (
@@ -58,8 +61,9 @@ def _haversine_batch(
 
 
 def haversine_udf(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Row-at-a-time Python form; null where a coordinate is null or zero. Kept for comparison."""
-    return F.udf(_haversine_row, DoubleType())(lat1, lon1, lat2, lon2)
+    """Python form called per row, fed in Arrow batches; null where a coordinate is null, NaN or
+    zero. Kept for comparison."""
+    return F.udf(_haversine_row, DoubleType(), useArrow=True)(lat1, lon1, lat2, lon2)
 
 
 def haversine_arrow_udf(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

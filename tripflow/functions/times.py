@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The two text forms in the trip files.
-PLAIN_PATTERN = "yyyy-MM-dd HH:mm:ss"
+# The text form of times in the trip files; ours keep all six digits.
 ISO_MILLIS_PATTERN = "yyyy-MM-dd'T'HH:mm:ss.SSS"
+ISO_MICROS_PATTERN = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+PLAIN_MICROS_PATTERN = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
-_STAMP_SHAPE = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}"
+_STAMP = r"^(\d{4}-\d{2}-\d{2})[T ](\d{2}:\d{2}:\d{2}(?:\.\d{1,9})?)(?:Z|([+-])(\d{2}):?(\d{2}))?$"
 
 
 def whole_seconds(start: Column, end: Column) -> Column:
@@ -27,13 +28,27 @@ def parse_timestamp(text: Column, pattern: str = ISO_MILLIS_PATTERN) -> Column:
     return F.try_to_timestamp(text, F.lit(pattern)).cast("timestamp_ntz")
 
 
-def normalise_iso(text: Column) -> Column:
-    """Wall-clock time from ISO-like text: ``T`` or blank, fraction and offset are dropped.
+def normalise_iso(text: Column, zone: str = "UTC", wall_clock: bool = False) -> Column:
+    """Wall-clock time from the whole of an ISO-like text; null where the text is anything else.
 
-    Never goes through the session zone, so no daylight-saving gap can move a value.
+    Date and time are parted by ``T`` or a blank; a fraction is kept to the microsecond. A text
+    with an offset (or ``Z``) names an instant, which is shown in ``zone``; with ``wall_clock`` the
+    offset is ignored instead. A text without one is wall-clock time already. The session zone
+    is never used, so no daylight-saving gap can move a value.
     """
-    stamp = F.regexp_replace(F.substring(text, 1, 19), "T", " ").try_cast("timestamp_ntz")
-    return F.when(text.rlike(_STAMP_SHAPE), stamp)
+
+    def part(group: int) -> Column:
+        return F.regexp_extract(text, _STAMP, group)
+
+    stamp = F.concat_ws(" ", part(1), part(2)).try_cast("timestamp_ntz")
+    if not wall_clock:
+        minutes = part(4).try_cast("int") * 60 + part(5).try_cast("int")
+        east = F.when(part(3) == "-", -minutes).otherwise(minutes)
+        offset = F.make_dt_interval(mins=F.coalesce(east, F.lit(0)))
+        shown = F.convert_timezone(F.lit("UTC"), F.lit(zone), stamp - offset)
+        named = (part(3) != "") | text.endswith("Z")
+        stamp = F.when(named, shown).otherwise(stamp)
+    return F.when(text.rlike(_STAMP), stamp)
 
 
 def hour_in_zone(utc_wall_clock: Column, zone: str) -> Column:

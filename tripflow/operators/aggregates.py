@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tripflow.sources.staging import settle
+
 
 def share_where(condition: Column) -> Column:
     """Share of rows meeting a condition; a null condition counts as not met."""
@@ -35,9 +37,15 @@ def two_level_mean(
 
 
 def mean_by_join(df: DataFrame, keys: list[str], value: str, alias: str = "mean") -> DataFrame:
-    """Counts joined to sums. Two scans where one ``groupBy`` would do; kept as its own form."""
-    counts = df.groupBy(*keys).agg(F.count(value).alias("rows"))
-    sums = df.groupBy(*keys).agg(F.sum(value).alias("_sum"))
-    return counts.join(sums, keys).select(
-        *keys, "rows", F.try_divide(F.col("_sum"), F.col("rows")).alias(alias)
+    """Counts joined to sums, null keys to null keys. Both come from one scan's partial sums.
+
+    One ``groupBy`` would do; this is the shape of a join of aggregates that are kept apart.
+    """
+    both = settle(
+        df.groupBy(*keys).agg(F.count(value).alias("rows"), F.sum(value).alias("_sum")), "sums"
     )
+    counts = both.select(*keys, "rows").alias("c")
+    sums = both.select(*keys, "_sum").alias("s")
+    same = [F.col(f"c.{key}").eqNullSafe(F.col(f"s.{key}")) for key in keys]
+    mean = F.try_divide(F.col("_sum"), F.col("rows")).alias(alias)
+    return counts.join(sums, same).select(*[F.col(f"c.{key}") for key in keys], "rows", mean)

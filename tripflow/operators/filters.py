@@ -22,16 +22,26 @@ def _all(conditions: Iterable[Column]) -> Column:
     return reduce(and_, conditions)
 
 
+def local_time(ts: Column, window: TripWindow) -> Column:
+    """Wall-clock time in the window's zone, if it names one."""
+    if window.zone is None:
+        return ts
+    return F.convert_timezone(F.lit("UTC"), F.lit(window.zone), ts)
+
+
 def in_hours(ts: Column, window: TripWindow) -> Column:
-    return F.hour(ts).isin(window.hours)
+    return F.hour(local_time(ts, window)).isin(window.hours)
 
 
 def on_days(ts: Column, window: TripWindow) -> Column:
-    return F.dayofmonth(ts).isin(window.days)
+    return F.dayofmonth(local_time(ts, window)).isin(window.days)
 
 
 def in_window(df: DataFrame, window: TripWindow, ts: str = "pickup_ts") -> Column:
-    """Day and hour test of a zone-layout frame, on layout columns where it has them."""
+    """Day and hour test of a zone-layout frame, on layout columns where it has them.
+
+    A layout must have been written for the zone that the window names (``write_by_day_hour``).
+    """
     if {"pickup_day", "pickup_hour"} <= set(df.columns):
         return F.col("pickup_day").isin(window.days) & F.col("pickup_hour").isin(window.hours)
     return on_days(F.col(ts), window) & in_hours(F.col(ts), window)

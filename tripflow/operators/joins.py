@@ -22,15 +22,12 @@ def broadcast_if_small(
 ) -> DataFrame:
     """Mark for broadcast after measuring rows and bytes; return unmarked when it is too large.
 
-    The measurement reads at most ``max_rows + 1`` rows, whatever the size of the frame.
+    The measurement is a count and a sum with partial aggregation: every task sends one row. It
+    reads the whole frame, a dimension, while the plan is built.
     """
     width = reduce(add, [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 8
                          for c in df.columns])
-    rows, size = (
-        df.limit(max_rows + 1)
-        .agg(F.count("*"), F.coalesce(F.sum(width.cast("long")), F.lit(0)))
-        .first()
-    )
+    rows, size = df.agg(F.count("*"), F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()
     return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df
 
 

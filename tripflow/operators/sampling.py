@@ -1,73 +1,25 @@
-"""Samples taken before a percentile: bounded per key, fixed-rate random, fixed-rate by hash."""
+"""Samples of a fixed rate taken before a percentile: random, and by hash of a key.
+
+A sample is the feature here; no job takes one unless it is asked to.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripflow.operators.selection import DIGIT_BITS, match_keys, select_rank, side_keys
-from tripflow.sources.staging import settle
-
-# The sample size per key, the sampling rate and its seed.
-SAMPLE_CAP = 50_000
+# The sampling rate and its seed.
 SAMPLE_RATE = 0.02
 SAMPLE_SEED = 42
 
-# A repeatable integer hash that SQL engines without a common hash function can share.
-HASH_FACTOR, HASH_OFFSET, HASH_MODULUS = 7919, 104729, 10007
-HASH_BITS = 14
-
 
 def shared_hash(key: Column) -> Column:
-    """A long within 0 .. HASH_MODULUS - 1."""
-    return F.pmod(key * F.lit(HASH_FACTOR) + F.lit(HASH_OFFSET), F.lit(HASH_MODULUS))
-
-
-def smallest_per_key(
-    df: DataFrame, keys: list[str], ordinal: str, cap: int, bits: int, few_keys: bool = False
-) -> DataFrame:
-    """The ``cap`` rows of smallest ordinal per key, as (keys, ordinal, copies).
-
-    No task ranks a whole key. One pass counts rows by the leading digit of the ordinal and finds
-    the digit the cut falls into; a second writes the rows up to and including that digit, which
-    are the cap and what shares its last digit; the exact cut is then found among those. Copies of
-    the cut ordinal beyond the cap are taken off its count; at most ``cap`` rows a key come out.
-    """
-
-    def wanted(rows: Column) -> Column:
-        return F.least(rows, F.lit(cap).cast("long"))
-
-    rows = df.select(*keys, ordinal)
-    shift = max(0, bits - DIGIT_BITS)
-    if shift:
-        digit = F.shiftright(ordinal, shift)
-        leading = select_rank(
-            rows.select(*keys, digit.alias("_digit")), keys, "_digit", wanted, DIGIT_BITS,
-            few_keys=few_keys,
-        ).select(*side_keys(keys), F.col("ordinal").alias("_last_digit"))
-        near = match_keys(rows, leading, keys, few_keys, digit <= F.col("_last_digit"))
-        rows = settle(near.select(*keys, ordinal), "near_cut")
-    cut = select_rank(rows, keys, ordinal, wanted, bits, few_keys=few_keys).select(
-        *side_keys(keys),
-        F.col("ordinal").alias("_cut"),
-        (F.col("rank") - F.col("below")).alias("_copies_at_cut"),
-    )
-    return (
-        match_keys(rows, cut, keys, few_keys, F.col(ordinal) <= F.col("_cut"))
-        .groupBy(*keys, ordinal, "_cut", "_copies_at_cut")
-        .agg(F.count("*").alias("_copies"))
-        .select(
-            *keys,
-            ordinal,
-            F.when(F.col(ordinal) == F.col("_cut"), F.col("_copies_at_cut"))
-            .otherwise(F.col("_copies"))
-            .alias("copies"),
-        )
-    )
+    """A long below 2^32 from the MD5 of the key's text, which other SQL engines can compute too."""
+    return F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
 
 
 def hash_sample(df: DataFrame, key: Column, one_in: int) -> DataFrame:
-    """A repeatable sample of about one row in ``one_in``, by hash of a key."""
+    """A repeatable sample of about one row in ``one_in``, by hash of a key alone."""
     return df.where(shared_hash(key) % one_in == 0)
 
 

@@ -26,8 +26,11 @@ _PREFIX, _COUNT, _RANK, _BELOW, _UP_TO = "_prefix", "_count", "_rank", "_below",
 
 
 def quantise(value: Column, decimals: int) -> Column:
-    """A double as a long counting steps of 10^-decimals, rounded half away from zero."""
-    return F.round(value * F.lit(float(10**decimals))).cast("long")
+    """A double as a long counting steps of 10^-decimals, rounded half away from zero.
+
+    Null where the value is null, NaN or too large for a long.
+    """
+    return F.round(value * F.lit(float(10**decimals))).try_cast("long")
 
 
 def dequantise(ordinal: Column, decimals: int) -> Column:
@@ -150,9 +153,13 @@ def nearest_rank(
     few_keys: bool = False,
     name: str = "percentile",
 ) -> DataFrame:
-    """Exact nearest-rank percentile per key of a measure rounded to ``decimals`` digits."""
+    """Exact nearest-rank percentile per key of a measure rounded to ``decimals`` digits.
+
+    Rows whose measure is null, NaN or too large for a long take no part, in no count either.
+    """
     others = [c for c in df.columns if c != value]
     rows = df.select(*others, quantise(F.col(value), decimals).alias("_ordinal"))
+    rows = rows.where(F.col("_ordinal").isNotNull())
     chosen = select_rank(rows, keys, "_ordinal", rank_of(fraction), bits, totals, few_keys)
     return chosen.select(
         *keys, "rows", *(totals or {}), dequantise(F.col("ordinal"), decimals).alias(name)

@@ -12,8 +12,9 @@ class TripWindow:
     """Hours of the day, days of the month and the K of top-K reports.
 
     With ``wrap`` a window that runs past midnight goes on at hour 0 (22 + 4 gives 22, 23, 0, 1);
-    without it the window ends at 23. Days after the 28th are left out, so that every month
-    contributes the same days.
+    without it the window ends at 23. The days stop at 31; with ``common_days`` at 28, so that every
+    month contributes the same days. ``zone`` names the zone whose hours and days are meant; times
+    are then taken as UTC. Without it they are wall-clock time.
     """
 
     # The default parameters of the reports.
@@ -23,6 +24,8 @@ class TripWindow:
     day_count: int = 3
     top_k: int = 14
     wrap: bool = True
+    common_days: bool = False
+    zone: str | None = None
 
     def __post_init__(self) -> None:
         if not 0 <= self.hour_start <= 23:
@@ -33,6 +36,8 @@ class TripWindow:
             raise ValueError(f"day_start must be within 1..31, got {self.day_start}")
         if self.day_count < 1 or self.top_k < 1:
             raise ValueError("day_count and top_k must be positive")
+        if not self.days:
+            raise ValueError(f"no day from {self.day_start} on is in every month")
 
     @classmethod
     def from_id(cls, number: int) -> TripWindow:
@@ -49,4 +54,4 @@ class TripWindow:
     @property
     def days(self) -> list[int]:
         span = range(self.day_start, self.day_start + self.day_count)
-        return [day for day in span if day <= LAST_COMMON_DAY]
+        return [day for day in span if day <= (LAST_COMMON_DAY if self.common_days else 31)]

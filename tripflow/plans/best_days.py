@@ -17,14 +17,19 @@ def _order() -> list[Column]:
     return [F.desc(MEASURE), F.asc("pickup_date")]
 
 
+def rated_trips(trips: DataFrame, window: TripWindow) -> DataFrame:
+    """Trips that count: paid, of some distance, with vendor and tip, in the window's hours."""
+    return trips.where(
+        present("vendor_id", "pickup_ts", "tip_amount")
+        & positive("trip_distance", "fare_amount")
+        & in_hours(F.col("pickup_ts"), window)
+    )
+
+
 def daily_tips(trips: DataFrame, window: TripWindow) -> DataFrame:
-    """Mean tip per distance by vendor and date; trips without vendor or tip are left out."""
+    """Mean tip per distance by vendor and date."""
     return (
-        trips.where(
-            present("vendor_id", "pickup_ts", "tip_amount")
-            & positive("trip_distance", "fare_amount")
-            & in_hours(F.col("pickup_ts"), window)
-        )
+        rated_trips(trips, window)
         .groupBy("vendor_id", F.to_date("pickup_ts").alias("pickup_date"))
         .agg(F.avg(safe_ratio(F.col("tip_amount"), F.col("trip_distance"))).alias(MEASURE))
     )
@@ -56,31 +61,19 @@ def best_days_collected(trips: DataFrame, window: TripWindow) -> DataFrame:
     )
 
 
+# Ranks over the aggregate in the same select; the trips come filtered by the shared predicates.
 _SQL = """
-WITH qualifying AS (
-  SELECT vendor_id, CAST(pickup_ts AS DATE) AS pickup_date,
-         tip_amount / trip_distance AS tip_per_distance
-  FROM {trips}
-  WHERE vendor_id IS NOT NULL AND tip_amount IS NOT NULL
-    AND trip_distance > 0 AND fare_amount > 0
-    AND array_contains(:hours, hour(pickup_ts))
-),
-daily AS (
-  SELECT vendor_id, pickup_date, avg(tip_per_distance) AS avg_tip_per_distance
-  FROM qualifying GROUP BY vendor_id, pickup_date
-),
-placed AS (
-  SELECT *, row_number() OVER (
-           PARTITION BY vendor_id ORDER BY avg_tip_per_distance DESC, pickup_date) AS place
-  FROM daily
-)
-SELECT vendor_id, pickup_date, avg_tip_per_distance
-FROM placed WHERE place <= :k
-ORDER BY vendor_id, avg_tip_per_distance DESC, pickup_date
+FROM {trips}
+|> AGGREGATE avg(try_divide(tip_amount, trip_distance)) AS avg_tip_per_distance
+   GROUP BY vendor_id, to_date(pickup_ts) AS pickup_date
+|> EXTEND row_number() OVER (
+     PARTITION BY vendor_id ORDER BY avg_tip_per_distance DESC, pickup_date) AS rank
+|> WHERE rank <= :k
+|> DROP rank
+|> ORDER BY vendor_id, avg_tip_per_distance DESC, pickup_date
 """
 
 
 def best_days_sql(trips: DataFrame, window: TripWindow) -> DataFrame:
-    return trips.sparkSession.sql(
-        _SQL, args={"hours": window.hours, "k": window.top_k}, trips=trips
-    )
+    spark = trips.sparkSession
+    return spark.sql(_SQL, args={"k": window.top_k}, trips=rated_trips(trips, window))

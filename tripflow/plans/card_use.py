@@ -42,3 +42,21 @@ def card_use(
         )
         .orderBy(F.desc("avg_tip_rate_card"), "pickup_borough")
     )
+
+
+# Card trips count as 1, so that a mean is the share; rates are of card trips with a fare only.
+_SQL = """
+SELECT borough AS pickup_borough, count(*) AS trips,
+       avg(IF(payment_type = :card, 1D, 0D)) AS card_share,
+       avg(try_divide(tip_amount, fare_amount)) FILTER (WHERE payment_type = :card AND fare_amount > 0)
+         AS avg_tip_rate_card
+FROM {kept} JOIN {zones} ON location_id = pu_location_id
+GROUP BY borough
+ORDER BY avg_tip_rate_card DESC, pickup_borough
+"""
+
+
+def card_use_sql(trips: DataFrame, zones: DataFrame, window: TripWindow) -> DataFrame:
+    """The report as SQL text over the trips of the window and the zone lookup."""
+    kept = trips.where(in_window(trips, window))
+    return trips.sparkSession.sql(_SQL, args={"card": CARD}, kept=kept, zones=zones)

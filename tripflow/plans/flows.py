@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,11 +16,12 @@ from tripflow.params import TripWindow
 def borough_flows(
     trips: DataFrame, zones: DataFrame, window: TripWindow, strategy: str = "auto"
 ) -> DataFrame:
-    """Top K pairs of different boroughs by number of trips.
+    """Top K pairs of different boroughs by number of trips, on days that every month has.
 
     Trips are counted per pair of zone ids before the lookups: what reaches the joins is at most
     one row per pair of zones, so a hot zone cannot skew them under any join strategy.
     """
+    window = replace(window, common_days=True)
     pairs = (
         trips.where(in_window(trips, window) & present("pu_location_id", "do_location_id"))
         .groupBy("pu_location_id", "do_location_id")

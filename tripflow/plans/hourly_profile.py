@@ -10,13 +10,7 @@ from pyspark.sql import functions as F
 from tripflow.functions.geo import KM_DECIMALS, KM_ORDINAL_BITS, haversine_km
 from tripflow.functions.times import whole_seconds
 from tripflow.operators.filters import in_hours, positive, valid_coordinates
-from tripflow.operators.sampling import HASH_BITS, SAMPLE_CAP, shared_hash, smallest_per_key
-from tripflow.operators.selection import (
-    dequantise,
-    nearest_rank,
-    nearest_rank_of_tally,
-    quantise,
-)
+from tripflow.operators.selection import nearest_rank, quantise
 from tripflow.params import TripWindow
 from tripflow.sources.staging import settle
 
@@ -111,51 +105,27 @@ def hourly_profile_approx(
     )
 
 
-def sampled_p90(rows: DataFrame, sample_key: str, cap: int = SAMPLE_CAP) -> DataFrame:
-    """Nearest-rank p90 per hour over the ``cap`` rows of smallest (hash, km) of the hour.
-
-    Expects (pickup_hour, km, sample_key); gives (pickup_hour, sampled, p90_km).
-    """
-    step = 1 << KM_ORDINAL_BITS
-    ordinal = shared_hash(F.col(sample_key)) * F.lit(step) + quantise(F.col("km"), KM_DECIMALS)
-    sample = smallest_per_key(
-        rows.select("pickup_hour", ordinal.alias("ordinal")),
-        ["pickup_hour"],
-        "ordinal",
-        cap,
-        HASH_BITS + KM_ORDINAL_BITS,
-        few_keys=True,
-    )
-    tally = sample.groupBy("pickup_hour", F.pmod("ordinal", F.lit(step)).alias("km_steps")).agg(
-        F.sum("copies").alias("copies")
-    )
-    return nearest_rank_of_tally(
-        tally, ["pickup_hour"], "km_steps", "copies", PERCENTILE
-    ).select(
-        "pickup_hour",
-        F.col("rows").alias("sampled"),
-        dequantise(F.col("ordinal"), KM_DECIMALS).alias("p90_km"),
-    )
+def p90_by_hour(rows: DataFrame) -> DataFrame:
+    """(pickup_hour, sampled, p90_km): exact percentile of all of (pickup_hour, km), which should
+    be a written table; ``sampled`` is the number of rows it stands on."""
+    return nearest_rank(
+        rows, ["pickup_hour"], "km", PERCENTILE, KM_DECIMALS, KM_ORDINAL_BITS,
+        few_keys=True, name="p90_km",
+    ).withColumnRenamed("rows", "sampled")
 
 
-def hourly_profile_sampled(
-    trips: DataFrame,
-    window: TripWindow,
-    sample_key: str,
-    cap: int = SAMPLE_CAP,
-    **row_options,
-) -> DataFrame:
-    """Exact counts and means, percentile from a bounded sample per hour, joined on the hour.
+def hourly_profile_sampled(trips: DataFrame, window: TripWindow, **row_options) -> DataFrame:
+    """Counts and means joined on the hour with a percentile that is found on its own.
 
-    The qualifying rows are read by several passes, so they are written once as three narrow
-    columns to the shared folder.
+    The percentile stands on every row of the hour: rank selection needs no bounded sample, and
+    one that grows less than the hour would not be faster.
     """
-    rows = settle(profile_rows(trips, window, keep=(sample_key,), **row_options), "profile_rows")
+    rows = settle(profile_rows(trips, window, **row_options), "profile_rows")
     full = rows.groupBy("pickup_hour").agg(
         F.count("*").alias("trips"), F.sum("seconds").alias("seconds")
     )
     return (
-        full.join(sampled_p90(rows, sample_key, cap), "pickup_hour", "left")
+        full.join(p90_by_hour(rows.select("pickup_hour", "km")), "pickup_hour", "left")
         .select(
             "pickup_hour",
             "trips",
@@ -167,63 +137,40 @@ def hourly_profile_sampled(
     )
 
 
+# Rank by rank in one text: steps of 2^18 micro-kilometres are counted first, then the single
+# distances of the one step that holds the wanted rank.
 _SQL = """
-WITH qualifying AS (
-  SELECT hour(pickup_ts) AS pickup_hour,
-         unix_timestamp(dropoff_ts) - unix_timestamp(pickup_ts) AS seconds,
-         pow(sin(radians(dropoff_latitude - pickup_latitude) / 2), 2D)
-           + cos(radians(pickup_latitude)) * cos(radians(dropoff_latitude))
-             * pow(sin(radians(dropoff_longitude - pickup_longitude) / 2), 2D) AS chord
-  FROM {trips}
-  WHERE pickup_ts IS NOT NULL AND dropoff_ts IS NOT NULL
-    AND array_contains(:hours, hour(pickup_ts))
-    AND pickup_latitude <> 0 AND pickup_longitude <> 0
-    AND dropoff_latitude <> 0 AND dropoff_longitude <> 0
-    AND pickup_latitude BETWEEN -90 AND 90 AND dropoff_latitude BETWEEN -90 AND 90
-    AND pickup_longitude BETWEEN -180 AND 180 AND dropoff_longitude BETWEEN -180 AND 180
-),
-measured AS (
-  SELECT pickup_hour, seconds,
-         CAST(round(2 * :radius * asin(sqrt(CASE WHEN chord > 1 THEN 1D ELSE chord END))
-                    * 1000000D) AS BIGINT) AS micro_km
-  FROM qualifying WHERE seconds > 0
-),
-slabs AS (
-  SELECT pickup_hour, shiftright(micro_km, 18) AS slab, count(*) AS n, sum(seconds) AS seconds
-  FROM measured GROUP BY pickup_hour, shiftright(micro_km, 18)
-),
-placed AS (
-  SELECT pickup_hour, slab, n,
-         sum(n) OVER (PARTITION BY pickup_hour) AS trips,
-         sum(seconds) OVER (PARTITION BY pickup_hour) AS seconds,
-         sum(n) OVER (PARTITION BY pickup_hour ORDER BY slab) AS up_to
-  FROM slabs
-),
-target AS (
-  SELECT pickup_hour, slab, trips, seconds, up_to - n AS below, ceil(:p * trips) AS wanted
-  FROM placed WHERE up_to >= ceil(:p * trips) AND up_to - n < ceil(:p * trips)
-),
-steps AS (
-  SELECT /*+ BROADCAST(t) */ m.pickup_hour, t.trips, t.seconds, t.below, t.wanted, m.micro_km,
-         count(*) AS n
-  FROM measured m JOIN target t
-    ON m.pickup_hour = t.pickup_hour AND shiftright(m.micro_km, 18) = t.slab
-  GROUP BY m.pickup_hour, t.trips, t.seconds, t.below, t.wanted, m.micro_km
-),
-walked AS (
-  SELECT *, below + sum(n) OVER (PARTITION BY pickup_hour ORDER BY micro_km) AS up_to FROM steps
+FROM (
+  SELECT pickup_hour, micro_km, any_value(rows_below) AS rows_below, any_value(trips) AS trips,
+         any_value(all_seconds) AS seconds, count(*) AS here
+  FROM {rows} JOIN (
+    SELECT pickup_hour AS hour, step AS wanted_step, rows_up_to - n AS rows_below, trips,
+           all_seconds
+    FROM (
+      SELECT pickup_hour, micro_km >> 18 AS step, count(*) AS n,
+             sum(count(*)) OVER steps AS rows_up_to,
+             sum(count(*)) OVER hours AS trips, sum(sum(seconds)) OVER hours AS all_seconds
+      FROM {rows} GROUP BY ALL
+      WINDOW hours AS (PARTITION BY pickup_hour),
+             steps AS (PARTITION BY pickup_hour ORDER BY micro_km >> 18)
+    ) WHERE ceil(:p * trips) BETWEEN rows_up_to - n + 1 AND rows_up_to
+  ) ON pickup_hour = hour AND micro_km >> 18 = wanted_step
+  GROUP BY pickup_hour, micro_km
 )
-SELECT pickup_hour, trips, seconds / trips / 60D AS avg_duration_min,
-       micro_km / 1000000D AS p90_km
-FROM walked WHERE up_to >= wanted AND up_to - n < wanted
-ORDER BY pickup_hour
+|> EXTEND rows_below + sum(here) OVER (PARTITION BY pickup_hour ORDER BY micro_km) AS rank
+|> WHERE ceil(:p * trips) BETWEEN rank - here + 1 AND rank
+|> SELECT pickup_hour, trips, seconds / trips / 60D AS avg_duration_min,
+          micro_km / 1000000D AS p90_km
+|> ORDER BY pickup_hour
 """
 
 
-def hourly_profile_sql(trips: DataFrame, window: TripWindow) -> DataFrame:
-    """The exact profile as one SQL text; the broadcast side has at most 24 rows."""
+def hourly_profile_sql(trips: DataFrame, window: TripWindow, **row_options) -> DataFrame:
+    """The exact profile with its ranking as SQL, over the written qualifying rows."""
+    rows = profile_rows(trips, window, **row_options)
+    narrow = rows.select(
+        "pickup_hour", "seconds", quantise(F.col("km"), KM_DECIMALS).alias("micro_km")
+    ).where("micro_km IS NOT NULL")
     return trips.sparkSession.sql(
-        _SQL,
-        args={"hours": window.hours, "p": PERCENTILE, "radius": 6371.0},
-        trips=trips,
+        _SQL, args={"p": PERCENTILE}, rows=settle(narrow, "profile_rows")
     )

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
-
-_BROKEN = "_broken_line"
+from pyspark.sql.types import DataType, IntegralType, StringType, StructField, StructType
 
 
 def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -57,27 +55,33 @@ def parse_text_lines(
 ) -> DataFrame:
     """Comma-separated lines of one ``value`` column to typed rows; bad lines are dropped.
 
-    A line is bad when it has another number of fields than the schema, when a field does not
-    parse, or when a required field (all, unless named) is empty. Header lines, recognised by
-    equality with ``header`` (the field names, unless given), go as well, also those in the middle
-    that joined files bring along.
+    A line is bad when it has fewer fields than the schema, or when a required field (all, unless
+    named) is empty or does not parse. Fields beyond the schema are ignored; a field that is not
+    required and does not parse is null. A whole number may be written with a point (``1.0``).
+    Header lines, recognised by equality with ``header`` (the field names, unless given), go as
+    well, also those in the middle that joined files bring along.
     """
     header = ",".join(schema.fieldNames()) if header is None else header
-    with_broken = StructType([*schema.fields]).add(_BROKEN, "string")
-    fields = F.from_csv(
-        F.col("value"),
-        with_broken.toDDL(),
-        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN},
-    )
+    texts = StructType([StructField(name, StringType()) for name in schema.fieldNames()])
+    fields = F.from_csv(F.col("value"), texts.toDDL(), {"mode": "PERMISSIVE"})
+    unquoted = F.regexp_replace(F.col("value"), '"[^"]*"', "")
+    enough = F.size(F.split(unquoted, ",", -1)) >= len(schema)
     return (
-        lines.where(F.col("value") != header)
+        lines.where((F.col("value") != header) & enough)
         .select(fields.alias("_line"))
-        .where(F.col(f"_line.{_BROKEN}").isNull())
-        .select([F.col(f"_line.{name}") for name in schema.fieldNames()])
+        .select([_typed(F.col(f"_line.{f.name}"), f.dataType).alias(f.name) for f in schema])
         .dropna(subset=required or schema.fieldNames())
     )
 
 
+def _typed(text: Column, kind: DataType) -> Column:
+    value = text.try_cast(kind)
+    if isinstance(kind, IntegralType):
+        number = text.try_cast("double")
+        value = F.coalesce(value, F.when(number == F.floor(number), number.try_cast(kind)))
+    return value
+
+
 def read_text_lines(
     spark: SparkSession, path: str, schema: StructType, required: list[str] | None = None
 ) -> DataFrame:

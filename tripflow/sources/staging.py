@@ -1,12 +1,13 @@
 """Intermediate tables in the shared folder of the cluster.
 
 A table written there cuts lineage and survives the loss of any executor. The folder is the one
-the session names in ``spark.checkpoint.dir``. Only a local session that names none gets a
-temporary folder of its own.
+the session names in ``spark.checkpoint.dir``. Only a session that runs in one process and names
+none gets a temporary folder of its own. ``clear`` removes what an application has written.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -21,7 +22,8 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get(_FOLDER_SETTING, None)
     if folder:
         return folder
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    # ``local-cluster`` has executors of its own and is no exception.
+    if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
         raise RuntimeError(f"set {_FOLDER_SETTING} to a folder that all executors can reach")
     key = ("folder", spark.conf.get("spark.app.id"))
     if key not in _written:
@@ -30,8 +32,24 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path nobody has used yet; leftovers are the folder's retention rule to remove."""
-    return f"{shared_folder(spark).rstrip('/')}/tripflow/{uuid.uuid4().hex}/{name}"
+    """A path nobody has used yet, in the application's part of the shared folder."""
+    return f"{_own_folder(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/tripflow/{spark.conf.get('spark.app.id', 'app')}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all that this application has written with ``settle`` and ``written_once``.
+
+    For the end of a job: frames that read those tables are of no use afterwards. An application
+    that dies before leaves its folder, named by its id, to the shared folder's retention rule.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for key in [k for k in _written if k[0] == spark.conf.get("spark.app.id")]:
+        del _written[key]
 
 
 def settle(df: DataFrame, name: str = "settled") -> DataFrame:

@@ -2,7 +2,7 @@
 
 Partitioned writes go through a rebalance on the partition columns: every partition gets few
 files of the advisory size, small partitions share tasks, and one that holds a third of all rows
-is split over many tasks (adaptive execution splits it; the hint is a no-op without it).
+is split over many tasks. Without adaptive execution a salted repartition stands in for it.
 """
 
 from __future__ import annotations
@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tripflow.functions.times import ISO_MILLIS_PATTERN, normalise_iso, parse_timestamp
+from tripflow.functions.times import ISO_MICROS_PATTERN, ISO_MILLIS_PATTERN, normalise_iso, parse_timestamp
 from tripflow.operators.filters import on_dates
 from tripflow.schemas import ZONE_FILE_SCHEMA
 from tripflow.sources.readers import read_csv_typed
 
 DAY_HOUR = ("pickup_day", "pickup_hour")
+#: Tasks that share a folder where adaptive execution, which would decide by size, is off.
+SALTS = 4
 
 
 def csv_to_parquet(
@@ -25,15 +27,21 @@ def csv_to_parquet(
     out: str,
     schema: StructType,
     timestamps: tuple[str, ...] = ("tpep_pickup_datetime", "tpep_dropoff_datetime"),
+    zone: str = "UTC",
 ) -> None:
-    """Typed CSV to Parquet with the text timestamps parsed, replacing what is at ``out``."""
+    """Typed CSV to Parquet with the text timestamps parsed, replacing what is at ``out``.
+
+    Fractions are kept; a time with an offset is shown in ``zone`` (see ``normalise_iso``).
+    """
     typed = read_csv_typed(spark, csv_path, schema)
-    parsed = typed.withColumns({name: normalise_iso(F.col(name)) for name in timestamps})
+    parsed = typed.withColumns({name: normalise_iso(F.col(name), zone) for name in timestamps})
     parsed.write.mode("overwrite").parquet(out)
 
 
-def with_day_hour(df: DataFrame, ts: str = "pickup_ts") -> DataFrame:
-    return df.withColumns({"pickup_day": F.dayofmonth(ts), "pickup_hour": F.hour(ts)})
+def with_day_hour(df: DataFrame, ts: str = "pickup_ts", zone: str | None = None) -> DataFrame:
+    """Day and hour columns, of UTC times in a named zone if one is given."""
+    time = F.col(ts) if zone is None else F.convert_timezone(F.lit("UTC"), F.lit(zone), F.col(ts))
+    return df.withColumns({"pickup_day": F.dayofmonth(time), "pickup_hour": F.hour(time)})
 
 
 def with_date(df: DataFrame, ts: str = "pickup_ts") -> DataFrame:
@@ -43,22 +51,36 @@ def with_date(df: DataFrame, ts: str = "pickup_ts") -> DataFrame:
 def _write_partitioned(
     df: DataFrame, out: str, columns: tuple[str, ...], tasks: int | None = None
 ) -> None:
-    spread = df.repartition(tasks) if tasks else df.hint("rebalance", *columns)
+    if tasks:
+        spread = df.repartition(tasks)
+    elif df.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true":
+        spread = df.hint("rebalance", *columns)
+    else:
+        # Without adaptive execution the hint does nothing. A salt keeps a large folder in a few
+        # tasks instead of one, and a small one in a few instead of all.
+        salt = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))
+        spread = df.repartition(*columns, salt)
     spread.write.mode("overwrite").partitionBy(*columns).parquet(out)
 
 
-def write_by_day_hour(df: DataFrame, out: str, ts: str = "pickup_ts") -> None:
+def write_by_day_hour(
+    df: DataFrame, out: str, ts: str = "pickup_ts", zone: str | None = None
+) -> None:
     """Layout ``pickup_day=/pickup_hour=``: a 3-day, 4-hour question opens 12 of 744 folders."""
-    _write_partitioned(with_day_hour(df, ts), out, DAY_HOUR)
+    _write_partitioned(with_day_hour(df, ts, zone), out, DAY_HOUR)
 
 
 def zone_csv_to_day_hour(
-    spark: SparkSession, csv_path: str, out: str, pattern: str = ISO_MILLIS_PATTERN
+    spark: SparkSession,
+    csv_path: str,
+    out: str,
+    pattern: str = ISO_MILLIS_PATTERN,
+    zone: str | None = None,
 ) -> None:
     """Zone-layout CSV to the day-and-hour layout, with the pickup time parsed by its pattern."""
     typed = read_csv_typed(spark, csv_path, ZONE_FILE_SCHEMA)
     parsed = typed.withColumn("pickup_ts", parse_timestamp(F.col("tpep_pickup_datetime"), pattern))
-    write_by_day_hour(parsed, out)
+    write_by_day_hour(parsed, out, zone=zone)
 
 
 def write_by_date(
@@ -80,9 +102,9 @@ def write_by_date(
 
 
 def export_csv(
-    df: DataFrame, out: str, pattern: str = ISO_MILLIS_PATTERN, single_file: bool = False
+    df: DataFrame, out: str, pattern: str = ISO_MICROS_PATTERN, single_file: bool = False
 ) -> None:
-    """CSV with header and one stated timestamp pattern.
+    """CSV with header and one stated timestamp pattern, by default to the microsecond.
 
     ``single_file`` runs the whole export through one task; leave it off for anything large.
     """
