@@ -261,6 +261,7 @@ def test_graph_keeps_degree_and_reaches_all():
         seen.update(near)
         todo.extend(near)
     assert len(seen) > 590
+    assert set(edges[edges >= 0].tolist()) | {start} == set(range(600))
 
 
 @pytest.mark.parametrize("zip64", [False, True])

@@ -116,9 +116,27 @@ def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM
             found, expanded = beam_search(points, edges, start, points[own], beam)
             edges[own] = robust_prune(points, own, np.hstack([found, expanded, edges[own]]), degree, factor)
             _link_back(points, edges, own, factor)
+    _adopt(edges, start)
     return edges, start
 
 
+def _adopt(edges: np.ndarray, start: int) -> None:
+    """Give every node without an incoming edge one from its nearest neighbour that can spare one."""
+    incoming = np.bincount(edges[edges >= 0], minlength=len(edges))
+    for node in np.flatnonzero(incoming == 0).tolist():
+        for near in [] if node == start else edges[node][edges[node] >= 0].tolist():
+            row = edges[near]
+            spare = np.flatnonzero((row < 0) | (incoming[row] > 1))
+            if len(spare):
+                # The last that can go: empty, or the farthest that others lead to as well.
+                place = int(spare[-1])
+                if row[place] >= 0:
+                    incoming[row[place]] -= 1
+                row[place] = node
+                incoming[node] = 1
+                break
+
+
 def _link_back(points: np.ndarray, edges: np.ndarray, own: np.ndarray, alpha: float) -> None:
     """Give the new neighbours of ``own`` an edge back; those with too many are pruned."""
     degree = edges.shape[1]
