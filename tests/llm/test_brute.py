@@ -293,6 +293,12 @@ def test_archives_hold_every_payload(spark, sf_dir):
          "Top\n\nLong, plain text. More of it, here.\n\none\n\ntwo"),
         ("<article><h1>T</h1><script>if (a < b) { x('</p>') }</script><p>Body &amp; soul &copy</p><!-- no --></article>",
          "T\n\nBody & soul ©"),
+        ("<body><div class='menu'><a>Home</a></div><article><h1>Head</h1><div class='body'><p>Long, plain text, first.</p>"
+         "<p>Long, plain text, second.</p></div><div><p>Short end.</p></div></article><div class='ad'>Buy, now.</div></body>",
+         "Head\n\nLong, plain text, first.\n\nLong, plain text, second.\n\nShort end."),
+        ("<body><div><h1>Head</h1><div><p>Long, plain text, first.</p><p>Long, plain text, second.</p></div></div>"
+         "<div class='footer'>End, of page.</div></body>",
+         "Head\n\nLong, plain text, first.\n\nLong, plain text, second."),
         ("<div>" * 3000 + "deep, deep text." + "</div>" * 3000, "deep, deep text."),
     ],
 )

@@ -5,8 +5,8 @@ length outside links and the punctuation are added up and divided by the number
 paths carry long, punctuated text, menus and notices many short bits. Both ratios are laid out
 in page order, smoothed with a Gaussian window, fused by multiplication, averaged again per path,
 and paths of at least one standard deviation (the best path always) are content paths. The
-main element is the lowest one that holds nearly all text of content paths; its blocks are the
-result. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
+main element is the lowest one that holds nearly all text of content paths, or the article it is
+the body of; its blocks are the result. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
 comments are known by their tags, roles, classes and ids and are never part of it.
 """
 
@@ -61,14 +61,18 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _P_STOPS = frozenset("table td th button object article section div main body".split())
 
 
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
 class _Element:
-    __slots__ = ("tag", "parent", "path", "depth", "skipped", "link", "size")
+    __slots__ = ("tag", "parent", "path", "depth", "skipped", "link", "heading", "size")
 
     def __init__(self, tag: str, parent: _Element | None, path: int, skipped: bool):
         self.tag, self.parent, self.path = tag, parent, path
         self.depth = parent.depth + 1 if parent else 0
         self.skipped = skipped
         self.link = tag == "a" or bool(parent and parent.link)
+        self.heading = tag if tag in _HEADINGS else parent.heading if parent else ""
         self.size = 0
 
 
@@ -228,6 +232,7 @@ def main_text(source: str | None) -> str:
             at = at.parent
         if at is not None and at.depth > depth:
             main, depth = at, at.depth
+    main = _whole_article(main, [n[0] for n in page.nodes if n[1] and not n[1].isspace()])
     within = {id(main): True}
 
     def inside(element: _Element | None) -> bool:
@@ -249,23 +254,46 @@ def main_text(source: str | None) -> str:
         if element.skipped or not inside(element):
             continue
         k = index.get(id(node))
-        fits = whole or k is None or stats[k][0] in chosen or (taken[0] <= k <= taken[-1]) or _heads(element)
+        fits = whole or k is None or stats[k][0] in chosen or (taken[0] <= k <= taken[-1]) or element.heading
         blocks.setdefault(block, []).append(text)
         sound[block] = sound.get(block, False) or (k is not None and fits)
     joined = (" ".join("".join(parts).split()) for b, parts in blocks.items() if sound[b])
     return "\n\n".join(b for b in joined if b)
 
 
+def _whole_article(main: _Element, texts: list[_Element]) -> _Element:
+    """The article that ``main`` is the body of, so that its headline and shorter parts stay.
+
+    Without such an element, the lowest one below the page's body that holds a first-level heading.
+    """
+    around = list(_ancestors(main))
+    for a in around:
+        if a.tag == "article":
+            return a
+    for a in around:
+        if a.tag == "main":
+            return a
+    above: set[int] = set()
+    for e in texts:
+        if e.heading == "h1" and not e.skipped:
+            for a in _ancestors(e):
+                if id(a) in above:
+                    break
+                above.add(id(a))
+    for a in around:
+        if a.tag in ("body", "html", ""):
+            break
+        if id(a) in above:
+            return a
+    return main
+
+
 def _ancestors(element: _Element | None) -> Iterator[_Element]:
     while element is not None:
         yield element
         element = element.parent
 
 
-def _heads(element: _Element) -> bool:
-    return any(a.tag in ("h1", "h2", "h3", "h4", "h5", "h6") for a in _ancestors(element))
-
-
 @F.pandas_udf(StringType())
 def _main_texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in batches:
