@@ -4,6 +4,26 @@ from __future__ import annotations
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+# Base32: five hexadecimal digits are four characters.
+_OP3 = """
+WITH payloads AS (
+    SELECT page_id, coalesce(html, '') AS payload FROM pages
+), groups AS (
+    SELECT payload, strlen(payload) AS payload_bytes, min(page_id) AS first, sha1(payload) AS hex
+    FROM payloads GROUP BY payload
+), digests AS (
+    SELECT *, array_to_string(list_transform(range(32), lambda i: substr(
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        ((('0x' || substr(hex, 5 * (i // 4) + 1, 5))::INTEGER >> (15 - 5 * (i % 4))::INTEGER) & 31) + 1, 1
+    )), '') AS payload_digest
+    FROM groups
+)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+    CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN first IS NULL OR page_id = first THEN NULL ELSE first END AS refers_to
+FROM payloads JOIN digests USING (payload)
+"""
+
 _OP7 = r"""
 WITH turns AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -58,4 +78,6 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM docs LEFT JOIN hits USING (r) LEFT JOIN found USING (r)
 """
 
-ORACLES: dict[str, str] = {"op7_chat_formatting": _OP7, "op10_decontamination": _OP10}
+ORACLES: dict[str, str] = {
+    "op3_zip_warc": _OP3, "op7_chat_formatting": _OP7, "op10_decontamination": _OP10,
+}
