@@ -183,8 +183,8 @@ def _windows(words, size):
     )
 
 
-def scan_by_join(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, text: str = "text") -> DataFrame:
-    """``docs`` with n_words, n_hit and items, for a benchmark of any size: windows are joined."""
+def _join_windows(docs: DataFrame, benchmark: DataFrame, width: int, text: str) -> tuple[DataFrame, ...]:
+    """(row, doc), (row, words), (item_id, size, window) and the occurrences (row, size, at, window)."""
     # Written with its row number, which a second run of the expression could give anew.
     rows = settle(
         docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "rows"
@@ -208,8 +208,19 @@ def scan_by_join(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, text
         ),
         "met",
     )
-    hit = met.select("row", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("size") - 1)).alias("at"))
-    n_hit = hit.distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
+    return rows, words, item_windows, met
+
+
+def _hit_words(met: DataFrame) -> DataFrame:
+    """(row, at) of every word inside an occurrence, once."""
+    place = F.explode(F.sequence(F.col("at"), F.col("at") + F.col("size") - 1))
+    return met.select("row", place.alias("at")).distinct()
+
+
+def scan_by_join(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, text: str = "text") -> DataFrame:
+    """``docs`` with n_words, n_hit and items, for a benchmark of any size: windows are joined."""
+    rows, words, item_windows, met = _join_windows(docs, benchmark, width, text)
+    n_hit = _hit_words(met).groupBy("row").agg(F.count("*").alias("n_hit"))
     items = (
         met.select("row", "size", "window").distinct().join(item_windows, ["size", "window"])
         .select("row", F.col("item_id").cast("string").alias("item"))
@@ -223,6 +234,31 @@ def scan_by_join(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, text
     )
 
 
+@F.pandas_udf(ArrayType(_SPAN))
+def _spans_of(texts: pd.Series, places: pd.Series) -> pd.Series:
+    """Spans of the hit words whose numbers are in ``places``."""
+    found = []
+    for text, at in zip(texts, places, strict=True):
+        hit = np.zeros(len(words_of(text)), dtype=bool)
+        hit[at] = True
+        found.append([{"start": a, "stop": b} for a, b in hit_spans(text, hit)])
+    return pd.Series(found, dtype=object)
+
+
+def _with_spans(docs: DataFrame, benchmark: DataFrame, width: int, text: str) -> DataFrame:
+    """(doc, spans): the rows of ``docs`` and the ranges to cut, none if nothing is hit."""
+    if _fits(benchmark, "text"):
+        spans = scan_by_broadcast(docs, benchmark, width, text).getField("spans")
+        return docs.select(F.struct("*").alias("doc"), spans.alias("spans"))
+    rows, _, _, met = _join_windows(docs, benchmark, width, text)
+    # A document has no more hit words than words: one row holds their numbers.
+    places = _hit_words(met).groupBy("row").agg(F.collect_list("at").alias("places"))
+    value = F.col("doc").getField(text)
+    hit = rows.join(places, "row").select("doc", _spans_of(value, F.col("places")).alias("spans"))
+    none = F.array().cast(ArrayType(_SPAN)).alias("spans")
+    return hit.unionByName(rows.join(places, "row", "left_anti").select("doc", none))
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, text: str = "text") -> DataFrame:
     """(docs' columns, n_words, n_hit, items) for every row.
 
@@ -246,17 +282,15 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH,
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, text: str = "text") -> DataFrame:
     """``docs`` with the runs of hit words cut out of the text; the rest of it stays as it is."""
-    if not _fits(benchmark, "text"):
-        raise ValueError("cutting spans needs a benchmark that can be broadcast; drop documents instead")
-
-    spans = scan_by_broadcast(docs, benchmark, width, text).getField("spans")
-    starts = F.concat(F.array(F.lit(0).cast("long")), F.col("scan").getField("stop"))
-    stops = F.concat(F.col("scan").getField("start"), F.array(F.length(F.col("doc").getField(text)).cast("long")))
+    starts = F.concat(F.array(F.lit(0).cast("long")), F.col("spans").getField("stop"))
+    stops = F.concat(
+        F.col("spans").getField("start"), F.array(F.length(F.col("doc").getField(text)).cast("long"))
+    )
     pieces = F.zip_with(
         starts, stops,
         lambda a, b: F.substring(F.col("doc").getField(text), (a + 1).cast("int"), (b - a).cast("int")),
     )
-    scanned = docs.select(F.struct("*").alias("doc"), spans.alias("scan"))
+    scanned = _with_spans(docs, benchmark, width, text)
     kept = F.when(F.col("doc").getField(text).isNotNull(), F.array_join(pieces, ""))
     return scanned.select(
         *[kept.alias(c) if c == text else F.col("doc").getField(c).alias(c) for c in docs.columns]
