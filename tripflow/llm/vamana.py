@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from tripflow.sources.staging import settle
 
-#: Vectors of a shard and queries of a block, on average.
-SHARD, BLOCK = 4096, 1024
+#: Vectors of a shard and queries of a block, on average. A graph travels once a block and a block
+#: once a shard, so they are about equally heavy.
+SHARD, BLOCK = 4096, 4096
 DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 32, 64, 128, 1.2
 #: Points searched and pruned at once, and nodes a search expands at once.
 BATCH, EXPAND = 256, 4
