@@ -104,6 +104,15 @@ def test_shards_do_not_depend_on_the_layout(spark, sf_dir):
     assert sorted(one) == sorted(two)
 
 
+def test_a_row_repeated_very_often_gets_every_number_once(spark):
+    often, once = 2 * sharding.COPIES + 5, 7
+    rows = spark.range(often).select(F.lit(None).cast("long").alias("doc_id")).unionByName(spark.range(once).toDF("doc_id"))
+    found = sharding.shard(rows, ["doc_id"]).collect()
+    assert sorted(r.number for r in found) == list(range(often + once))
+    assert sum(r.doc_id is None for r in found) == often
+    assert sorted((r.shard, r.slot) for r in found) == sorted((i % 8, i // 8) for i in range(often + once))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 30), st.integers(1, 4)), max_size=6), st.integers(0, 120))
 def test_knapsack(items, rest):
@@ -343,7 +352,9 @@ def test_chat_plan_has_no_python(spark, sf_dir, plan):
     assert not any(word in plan(catalog.op7_chat_formatting(spark, sf_dir)) for word in ("Python", "Pandas", "Arrow"))
 
 
-def test_spans_are_cut(spark):
+@pytest.mark.parametrize("broadcast_bytes", [decontam.MAX_BROADCAST_BYTES, 0])
+def test_spans_are_cut(spark, monkeypatch, broadcast_bytes):
+    monkeypatch.setattr(decontam, "MAX_BROADCAST_BYTES", broadcast_bytes)
     item = "one two three four five six seven eight nine ten eleven"
     docs = [(1, f"Start, {item.upper()}! and the rest."), (2, "nothing here"), (3, None)]
     frame = spark.createDataFrame(docs, "doc_id long, text string")

@@ -25,6 +25,8 @@ SEED = 11
 SHARDS = 8
 #: Rows numbered together in one task.
 BLOCK = 20_000
+#: Copies of a row that are written out together.
+COPIES = 10_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -113,9 +115,21 @@ def numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
     inside = Window.partitionBy("block").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     first = counted.withColumn("inside", F.coalesce(F.sum("times").over(inside), F.lit(0)))
     start = F.col("start") + F.col("inside")
-    return first.join(starts, "block").select(
-        *keys, F.explode(F.sequence(start, start + F.col("times") - 1)).alias("number")
+    runs = settle(first.join(starts, "block").select(*keys, start.alias("number"), "times"), "runs")
+    # A long run is cut first and its pieces are dealt to tasks, so that none writes all copies.
+    ends = F.sequence(F.col("number"), F.col("number") + F.col("times") - 1, F.lit(COPIES).cast("long"))
+    left = F.col("last") - F.col("number") + 1
+    pieces = (
+        runs.where(F.col("times") > COPIES)
+        .withColumn("last", F.col("number") + F.col("times") - 1)
+        .withColumn("number", F.explode(ends))
+        .withColumn("times", F.least(left, F.lit(COPIES).cast("long")))
+        .drop("last")
+        .repartition("number")
     )
+    every = F.explode(F.sequence(F.col("number"), F.col("number") + F.col("times") - 1))
+    whole = runs.where(F.col("times") <= COPIES).unionByName(pieces)
+    return whole.select(*keys, every.alias("number"))
 
 
 def _places(n: int, seed: int):
