@@ -54,6 +54,7 @@ _SIGNS = re.compile(
     r"dialog)(?=$|[\s_-])",
     re.IGNORECASE,
 )
+_LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
@@ -144,10 +145,10 @@ class _Page:
             if s.startswith("<!--", lt):
                 end = s.find("-->", lt + 4)
                 at = n if end < 0 else end + 3
-            elif after in ("!", "?") or (after == "/" and not s[lt + 2 : lt + 3].isalpha()):
+            elif after in ("!", "?") or (after == "/" and s[lt + 2 : lt + 3] not in _LETTERS):
                 end = s.find(">", lt)
                 at = n if end < 0 else end + 1
-            elif after == "/" or ("a" <= after.lower() <= "z"):
+            elif after == "/" or after in _LETTERS:
                 at = self._tag(s, lt)
             else:
                 self._text("<")
