@@ -20,3 +20,14 @@ LONG = "Long, plain text, of a sentence or two, with more than enough to say."
 )
 def test_other_letters_after_brackets(html, text):
     assert tagpath.main_text(html) == text
+
+
+def test_div_page_keeps_its_closing_blocks():
+    html = f"<body><div><h1>Head</h1><p>Lead</p><p>{LONG}</p><p>{LONG}</p><ul><li>one</li><li>two</li></ul></div></body>"
+    assert tagpath.main_text(html) == f"Head\n\nLead\n\n{LONG}\n\n{LONG}\n\none\n\ntwo"
+
+
+def test_div_page_keeps_a_small_section():
+    parts = "".join(f"<p>{LONG}</p>" for _ in range(9))
+    html = f"<body><div><div>{parts}</div><div><p>{LONG}</p></div></div><div class='ad'>Buy, now.</div></body>"
+    assert tagpath.main_text(html) == "\n\n".join([LONG] * 10)

@@ -5,8 +5,8 @@ length outside links and the punctuation are added up and divided by the number
 paths carry long, punctuated text, menus and notices many short bits. Both ratios are laid out
 in page order, smoothed with a Gaussian window, fused by multiplication, averaged again per path,
 and paths of at least one standard deviation (the best path always) are content paths. The
-main element is the lowest one that holds nearly all text of content paths, or the article it is
-the body of; its blocks are the result. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
+main element is the article or main that holds nearly all text of content paths or, without one, the
+lowest element that holds all of it; all its blocks are the result. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
 comments are known by their tags, roles, classes and ids and are never part of it.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Share of the content paths' text that the main element has to hold.
+#: Share of the content paths' text that an article or main has to hold.
 HOLDS = 0.8
 #: Standard deviation of the smoothing window, in nodes.
 SIGMA = 1.0
@@ -225,14 +225,10 @@ def main_text(source: str | None) -> str:
     if not total:
         return ""
     # The lowest element with most of the content: from any content node the one farthest down.
-    main = page.root
-    depth = -1
-    for (element, _, _), (path, _, _) in zip(nodes, stats, strict=True):
-        at = element if path in chosen else None
-        while at is not None and (at.tag in _INLINE or at.tag == "p" or at.size < HOLDS * total):
-            at = at.parent
-        if at is not None and at.depth > depth:
-            main, depth = at, at.depth
+    # Only an article or main around it says that the rest is no part of it; else it holds all.
+    main = _lowest(nodes, stats, chosen, HOLDS * total) or page.root
+    if not any(a.tag in ("article", "main") for a in _ancestors(main)):
+        main = _lowest(nodes, stats, chosen, total) or page.root
     main = _whole_article(main, [n[0] for n in page.nodes if n[1] and not n[1].isspace()])
     within = {id(main): True}
 
@@ -245,23 +241,26 @@ def main_text(source: str | None) -> str:
         within.update(dict.fromkeys(passed, found))
         return found
 
-    whole = any(a.tag in ("article", "main") for a in _ancestors(main))
-    taken = [k for k, (p, _, _) in enumerate(stats) if p in chosen and not nodes[k][0].skipped and inside(nodes[k][0])]
     blocks: dict[int, list[str]] = {}
-    sound: dict[int, bool] = {}
-    index = {id(n): k for k, n in enumerate(nodes)}
-    for node in page.nodes:
-        element, text, block = node
-        if element.skipped or not inside(element):
-            continue
-        k = index.get(id(node))
-        fits = whole or k is None or stats[k][0] in chosen or (taken[0] <= k <= taken[-1]) or element.heading
-        blocks.setdefault(block, []).append(text)
-        sound[block] = sound.get(block, False) or (k is not None and fits)
-    joined = (" ".join("".join(parts).split()) for b, parts in blocks.items() if sound[b])
+    for element, text, block in page.nodes:
+        if not element.skipped and inside(element):
+            blocks.setdefault(block, []).append(text)
+    joined = (" ".join("".join(parts).split()) for parts in blocks.values())
     return "\n\n".join(b for b in joined if b)
 
 
+def _lowest(nodes: list, stats: list, chosen: set[int], least: float) -> _Element | None:
+    """The element farthest down, no part of a line or paragraph, with ``least`` of the content paths' text."""
+    lowest = None
+    for (element, _, _), (path, _, _) in zip(nodes, stats, strict=True):
+        at = element if path in chosen else None
+        while at is not None and (at.tag in _INLINE or at.tag == "p" or at.size < least):
+            at = at.parent
+        if at is not None and (lowest is None or at.depth > lowest.depth):
+            lowest = at
+    return lowest
+
+
 def _whole_article(main: _Element, texts: list[_Element]) -> _Element:
     """The article that ``main`` is the body of, so that its headline and shorter parts stay.
 
