@@ -31,3 +31,26 @@ def test_div_page_keeps_a_small_section():
     parts = "".join(f"<p>{LONG}</p>" for _ in range(9))
     html = f"<body><div><div>{parts}</div><div><p>{LONG}</p></div></div><div class='ad'>Buy, now.</div></body>"
     assert tagpath.main_text(html) == "\n\n".join([LONG] * 10)
+
+
+BODY = f"<h1>Head</h1><p>{LONG}</p><p>{LONG}</p>"
+TEXT = f"Head\n\n{LONG}\n\n{LONG}"
+
+
+@pytest.mark.parametrize("name", ["content no-sidebar", "site has-sidebar", "with-header", "share-page", "pageWithSidebar", "menu"])
+@pytest.mark.parametrize("tag", ["div", "article", "main"])
+def test_layout_names_do_not_hide_the_article(name, tag):
+    inner = f"<{tag}>{BODY}</{tag}><div class='site-footer'>End, of page.</div>"
+    assert tagpath.main_text(f"<body><div class='{name}'>{inner}</div></body>") == TEXT
+
+
+def test_signed_parts_stay_out():
+    ads, notes = "<div class='ad'>Buy, now.</div>", f"<section id='comments'><article>{LONG * 9}</article></section>"
+    assert tagpath.main_text(f"<div class='share-page'><main>{BODY}{ads}{notes}</main></div>") == TEXT
+    assert tagpath.main_text(f"<body><div>{BODY}{ads}</div><div id='comments'><p>{LONG * 9}</p></div></body>") == TEXT
+
+
+def test_other_articles_do_not_hide_the_article():
+    notes = f"<section id='comments'><article>{LONG * 9}</article></section>"
+    assert tagpath.main_text(f"<body><div class='share-page'><article>{BODY}</article></div>{notes}</body>") == TEXT
+    assert tagpath.main_text(f"<body><div>{BODY}</div>{notes}</body>") == TEXT

@@ -46,7 +46,7 @@ _ENDS = {
     "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select"),
 }
 _SIGNS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|sponsor(?:ed)?|promo(?:tion)?|banner|"
+    r"(?:^|[\s_-])(?<!\bno[_-])(?<!\bhas[_-])(?<!\bwith[_-])(?<!\bwithout[_-])(?:ads?|adverts?|advertisement|advertising|adsense|sponsor(?:ed)?|promo(?:tion)?|banner|"
     r"cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|nav|navbar|navigation|menu|"
     r"breadcrumbs?|sidebar|side|aside|footer|header|masthead|comments?|disqus|replies|"
     r"respond|newsletter|subscribe|subscription|signup|login|search|share|sharing|social|"
@@ -54,6 +54,8 @@ _SIGNS = re.compile(
     r"dialog)(?=$|[\s_-])",
     re.IGNORECASE,
 )
+#: Comments and other articles, which may be longer than the article.
+_BESIDES = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|replies|respond|related|recommended)(?=$|[\s_-])", re.IGNORECASE)
 _LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -66,38 +68,43 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "path", "depth", "skipped", "link", "heading", "size")
+    __slots__ = ("tag", "parent", "path", "depth", "never", "sign", "skipped", "link", "heading", "size")
 
-    def __init__(self, tag: str, parent: _Element | None, path: int, skipped: bool):
+    def __init__(self, tag: str, parent: _Element | None, path: int, never: bool, sign: str):
         self.tag, self.parent, self.path = tag, parent, path
         self.depth = parent.depth + 1 if parent else 0
-        self.skipped = skipped
+        # Never text, with all inside it; or only by the names it bears, which a layout may bear too.
+        self.never = never or bool(parent and parent.never)
+        self.sign = sign
+        self.skipped = self.never or bool(sign) or bool(parent and parent.skipped)
         self.link = tag == "a" or bool(parent and parent.link)
         self.heading = tag if tag in _HEADINGS else parent.heading if parent else ""
         self.size = 0
 
 
-def _is_boilerplate(tag: str, attributes: str) -> bool:
+def _boilerplate(tag: str, attributes: str) -> tuple[bool, str]:
+    """Whether an element is boilerplate by its tag or hidden, and its names if they say that it is."""
     if tag in _BOILERPLATE:
-        return True
+        return True, ""
     if tag in ("html", "body", "article", "main") or not attributes.strip():
-        return False
+        return False, ""
     found = {}
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         found.setdefault(name.lower(), a or b or c)
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true":
-        return True
+        return True, ""
     if re.search(r"display\s*:\s*none", found.get("style", ""), re.IGNORECASE):
-        return True
-    signs = " ".join(found.get(k, "") for k in ("class", "id", "role"))
-    return bool(_SIGNS.search(_CAMEL.sub("-", signs)))
+        return True, ""
+    signs = _CAMEL.sub("-", " ".join(found.get(k, "") for k in ("class", "id", "role")))
+    return False, signs if _SIGNS.search(signs) else ""
 
 
 class _Page:
     """Text nodes (element, text, block number) of a page, in order."""
 
     def __init__(self, source: str):
-        self.top = self.root = _Element("", None, 0, False)
+        self.top = self.root = _Element("", None, 0, False, "")
+        self.elements = [self.root]
         # A path is numbered by its parent's number and its last tag; a page may nest very deep.
         self.paths: dict[tuple[int, str], int] = {}
         self.nodes: list[tuple[_Element, str, int]] = []
@@ -128,9 +135,9 @@ class _Page:
             self.nodes.append((self.top, " ", self.block))
         if tag in _VOID:
             return
-        skipped = self.top.skipped or _is_boilerplate(tag, attributes)
         path = self.paths.setdefault((self.top.path, tag), len(self.paths) + 1)
-        self.top = _Element(tag, self.top, path, skipped)
+        self.top = _Element(tag, self.top, path, *_boilerplate(tag, attributes))
+        self.elements.append(self.top)
 
     def _read(self, s: str) -> None:
         at, n = 0, len(s)
@@ -209,6 +216,7 @@ def main_text(source: str | None) -> str:
     """The blocks of the main text, white space inside a block as one space, two line feeds between."""
     page = _Page(source or "")
     nodes = [n for n in page.nodes if n[1] and not n[1].isspace()]
+    _clear_layout(page.elements, nodes)
     stats = []
     for element, text, _ in nodes:
         own = 0 if element.link or element.skipped else len(" ".join(text.split()))
@@ -249,6 +257,47 @@ def main_text(source: str | None) -> str:
     return "\n\n".join(b for b in joined if b)
 
 
+def _clear_layout(elements: list[_Element], nodes: list[tuple[_Element, str, int]]) -> None:
+    """Take back the signs of elements around every article and main, or around most of the text.
+
+    From the outside in, so that signed parts of the article stay signed. Elements are in page order.
+    """
+    if not any(e.sign and not e.never for e in elements):
+        return
+    size = dict.fromkeys(map(id, elements), 0)
+    besides = {id(elements[0]): False}
+    for e in elements[1:]:
+        besides[id(e)] = besides[id(e.parent)] or bool(_BESIDES.search(e.sign))
+    stats = []
+    for element, text, _ in nodes:
+        own = 0 if element.link or element.never or besides[id(element)] else len(" ".join(text.split()))
+        stats.append((element.path, own, len(_PUNCTUATION.findall(text)) if own else 0))
+    chosen = content_paths(stats)
+    for (element, _, _), (path, own, _) in zip(nodes, stats, strict=True):
+        size[id(element)] += own if path in chosen else 0
+    # Articles in an element, and those no signed element in it holds; on pages with a main, mains.
+    tag = "main" if any(e.tag == "main" and not e.never for e in elements) else "article"
+    articles = {id(e): int(e.tag == tag and not e.never) for e in elements}
+    clear = dict(articles)
+    for e in reversed(elements[1:]):
+        size[id(e.parent)] += size[id(e)]
+        articles[id(e.parent)] += articles[id(e)]
+        clear[id(e.parent)] += 0 if e.sign else clear[id(e)]
+    total = size[id(elements[0])]
+    lost = {id(elements[0]): not clear[id(elements[0])]}
+    for e in elements[1:]:
+        lost[id(e)] = lost[id(e.parent)]
+        if e.sign and not e.parent.skipped:
+            if _BESIDES.search(e.sign):
+                around = not total and not besides[id(e.parent)]
+            else:
+                around = 2 * size[id(e)] > total or (lost[id(e)] and articles[id(e)])
+            if around:
+                e.sign = ""
+                lost[id(e)] = not clear[id(e)]
+        e.skipped = e.never or bool(e.sign) or e.parent.skipped
+
+
 def _lowest(nodes: list, stats: list, chosen: set[int], least: float) -> _Element | None:
     """The element farthest down, no part of a line or paragraph, with ``least`` of the content paths' text."""
     lowest = None
