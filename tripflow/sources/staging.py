@@ -10,11 +10,13 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _FOLDER_SETTING = "spark.checkpoint.dir"
+_CLEANUP_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: dict[tuple[str, ...], str] = {}
 
 
@@ -52,14 +54,41 @@ def clear(spark: SparkSession) -> None:
         del _written[key]
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for the length of a block; what it was before holds again after it."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def settle(df: DataFrame, name: str = "settled") -> DataFrame:
-    """Write a frame that several passes will read, and return it read back."""
+    """Write a frame that several passes will read, and return it read back.
+
+    The shuffle files of the write go once it has ended: nothing reads them again, and a chain of
+    written tables would otherwise hold those of all its steps until the driver collects garbage.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    with setting(spark, _CLEANUP_SETTING, "true"):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(settled: DataFrame) -> None:
+    """Remove a table that ``settle`` returned, once nothing reads it any more."""
+    spark = settled.sparkSession
+    for folder in {name.rpartition("/")[0] for name in settled.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written_once(
     spark: SparkSession, name: str, source: str, write: Callable[[str], None]
 ) -> str:
