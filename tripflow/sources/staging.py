@@ -82,9 +82,13 @@ def settle(df: DataFrame, name: str = "settled") -> DataFrame:
 
 
 def drop(settled: DataFrame) -> None:
-    """Remove a table that ``settle`` returned, once nothing reads it any more."""
+    """Remove a table that ``settle`` returned, once nothing reads it any more.
+
+    Only folders that this application has written are touched.
+    """
     spark = settled.sparkSession
-    for folder in {name.rpartition("/")[0] for name in settled.inputFiles()}:
+    mine = f"/tripflow/{spark.conf.get('spark.app.id', 'app')}/"
+    for folder in {name.rpartition("/")[0] for name in settled.inputFiles() if mine in name}:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
