@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripflow.llm import chat, decontam, kneser_ney, langid, mixing, oracles, sharding, tagpath, vamana, zipwarc
+from tripflow.llm import chat, decontam, kneser_ney, langid, mixing, oracles, sharding, substrings, tagpath, vamana, zipwarc
 from tripflow.llm.common import id_remainder, unsigned_crc32
 from tripflow.llm.simhash import fingerprint_hex, near_duplicates
 from tripflow.sources.staging import settle
@@ -114,6 +114,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit() and callable(f)}
 

@@ -78,6 +78,32 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM docs LEFT JOIN hits USING (r) LEFT JOIN found USING (r)
 """
 
+_OP13 = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), seen AS (
+    SELECT r, doc_id, i, array_to_string(w[i:i + 19], ' ') AS words
+    FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM docs)
+), earliest AS (
+    SELECT words, (min((coalesce(doc_id, 9223372036854775807), i))) AS first, count(*) AS n FROM seen GROUP BY words
+), marks AS (
+    SELECT r, i FROM seen JOIN earliest USING (words)
+    WHERE n > 1 AND (coalesce(doc_id, 9223372036854775807), i) > first
+), gone AS (
+    SELECT r, list(DISTINCT p) AS places FROM (SELECT r, unnest(range(i, i + 20)) AS p FROM marks) GROUP BY r
+), kept AS (
+    SELECT doc_id, w, CASE WHEN places IS NULL THEN w
+        ELSE list_transform(list_filter(range(1, len(w) + 1), lambda p: NOT list_contains(places, p)), lambda p: w[p])
+        END AS k
+    FROM docs LEFT JOIN gone USING (r)
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - len(k))::BIGINT AS n_removed,
+    sha256(array_to_string(k, ' ')) AS kept_sha256
+FROM kept
+"""
+
 ORACLES: dict[str, str] = {
     "op3_zip_warc": _OP3, "op7_chat_formatting": _OP7, "op10_decontamination": _OP10,
+    "op13_substring_dedup": _OP13,
 }
