@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripflow.llm import chat, decontam, kneser_ney, langid, mixing, oracles, sharding, substrings, tagpath, vamana, zipwarc
+from tripflow.llm import chat, decontam, filter_audit, hard_negatives, kneser_ney, langid, mixing, oracles, sharding, substrings, tagpath, vamana, zipwarc
 from tripflow.llm.common import id_remainder, unsigned_crc32
 from tripflow.llm.simhash import fingerprint_hex, near_duplicates
 from tripflow.sources.staging import settle
@@ -114,6 +114,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    found = hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+    return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return filter_audit.audit_filters(docs, _table(spark, sf_dir, "labels"))
+
+
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substrings.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

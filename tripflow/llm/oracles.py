@@ -78,6 +78,73 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM docs LEFT JOIN hits USING (r) LEFT JOIN found USING (r)
 """
 
+_OP11 = """
+WITH vectors AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same,
+        list_dot_product(a.v, r.v)::BIGINT AS score
+    FROM vectors a JOIN vectors r ON len(a.v) = len(r.v) AND a.vec_id <> r.vec_id
+    WHERE a.vec_id % 100 = 0
+), positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+    (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INT AS rank
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= 5
+"""
+
+# Orders are made by joining the letters; a document's fate comes from its place in each.
+_OP12 = r"""
+WITH words AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), firsts AS (
+    SELECT coalesce(text, '') AS t, min(doc_id) AS first FROM documents GROUP BY 1
+), flags AS (
+    SELECT doc_id, max(quality = 1) AS is_good, max(toxic = 1) AS is_toxic FROM labels GROUP BY doc_id
+), failed AS (
+    SELECT part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+        100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) AS c,
+        regexp_matches(t, '[#$%&*|]') AS d, coalesce(doc_id > first, false) AS e,
+        coalesce(is_good, false) AS is_good, coalesce(is_toxic, false) AS is_toxic
+    FROM words JOIN firsts USING (t) LEFT JOIN flags USING (doc_id)
+), cells AS (
+    SELECT part, concat(CASE WHEN a THEN 'A' ELSE '' END, CASE WHEN b THEN 'B' ELSE '' END,
+        CASE WHEN c THEN 'C' ELSE '' END, CASE WHEN d THEN 'D' ELSE '' END,
+        CASE WHEN e THEN 'E' ELSE '' END) AS fails,
+        count(*) AS n, count(*) FILTER (is_good) AS good, count(*) FILTER (is_toxic) AS toxic
+    FROM failed GROUP BY ALL
+), letters AS (
+    SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+    SELECT concat(p.x, q.x, r.x, s.x, t.x) AS filter_order
+    FROM letters p, letters q, letters r, letters s, letters t
+    WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5
+), steps AS (
+    SELECT part, filter_order, step, fails, n, good, toxic, contains(fails, filter_order[step]) AS now,
+        regexp_matches(fails, concat('[-', filter_order[1:step - 1], ']')) AS gone
+    FROM cells, orders, (SELECT unnest(range(1, 6))::INT AS step)
+), summed AS (
+    SELECT part, filter_order, step, coalesce(sum(n) FILTER (NOT gone AND NOT now), 0)::BIGINT AS kept,
+        coalesce(sum(n) FILTER (NOT gone AND now), 0)::BIGINT AS removed,
+        coalesce(sum(n) FILTER (gone AND now), 0)::BIGINT AS redundant,
+        coalesce(sum(n) FILTER (fails = filter_order[step]), 0)::BIGINT AS unique_fails,
+        coalesce(sum(good) FILTER (NOT gone AND now), 0)::BIGINT AS good_lost,
+        coalesce(sum(toxic) FILTER (NOT gone AND now), 0)::BIGINT AS toxic_lost
+    FROM steps GROUP BY part, filter_order, step
+)
+SELECT *, (sum(removed) OVER (PARTITION BY part, filter_order[step]))::BIGINT AS shapley FROM summed
+"""
+
 _OP13 = r"""
 WITH docs AS (
     SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
@@ -105,5 +172,5 @@ FROM kept
 
 ORACLES: dict[str, str] = {
     "op3_zip_warc": _OP3, "op7_chat_formatting": _OP7, "op10_decontamination": _OP10,
-    "op13_substring_dedup": _OP13,
+    "op11_hard_negatives": _OP11, "op12_filter_audit": _OP12, "op13_substring_dedup": _OP13,
 }
