@@ -106,7 +106,7 @@ def test_large_components_are_exact(spark):
 
 def test_scores_beyond_a_long_are_clipped(spark):
     most = 2**63 - 1
-    data = [(0, [3e38], 1), (1, [2e38], 1), (2, [3e38], 2), (3, [1e300], 2), (4, [-3e38], 2)]
+    data = [(0, [3e38], 1), (1, [2e38], 1), (2, [3e38], 2), (3, [1e298], 2), (5, [1e300], 2), (4, [-3e38], 2)]
     assert _found(spark.createDataFrame(data, _SCHEMA)) == [(0, 1, most, 1, 2, most), (0, 1, most, 2, 3, most)]
 
 
