@@ -3,7 +3,8 @@
 A word is a 64-bit number made from its bytes; a window's hash is the polynomial of its words'
 numbers modulo 2^64, built for all windows of many texts at once by joining shorter windows (1, 2,
 4, ... words). Equal windows meet by hash, and every window whose words also start earlier (smaller
-key, or same key and earlier start) is marked. Marked windows merge into maximal runs of words.
+key, or same key and earlier start) is marked. Marks are dealt anew by slices of documents, where those
+of a document merge into maximal runs of words.
 
 Windows travel in pages, which are ranges of the hash, about ``PAGE_WINDOWS`` windows each, so the
 number of pages follows the text and no page grows. A task holds ``HELD_WINDOWS`` windows, sorts
@@ -23,7 +24,6 @@ one window is to be expected from some 6 thousand million windows on.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +41,7 @@ from tripflow.sources.staging import settle
 WIDTH = 20
 #: Windows of a page on average, and windows that a task sorts at once.
 PAGE_WINDOWS = 2 << 20
-HELD_WINDOWS = 4 << 20
+HELD_WINDOWS = 2 << 20
 #: Bytes of text whose windows are made at once; a longer text is a piece of its own.
 PIECE_BYTES = 1 << 21
 #: Bytes of text that hold a word, at least, for the number of pages.
@@ -225,48 +225,99 @@ def repeats(hashes: np.ndarray, keys: np.ndarray, starts: np.ndarray) -> np.ndar
     return (keys != keys[lead]) | (starts != starts[lead])
 
 
-_MARKS = "key long, text_key long, starts array<int>"
+_MARKS = "slice int, docs binary, entries binary"
 
 
-def _meet(table: pa.Table) -> pa.Table:
-    """The marks of a page: windows with an earlier equal one, as start lists by document."""
-    parts, marks = [], []
-    for docs, entries, known in zip(*(table.column(c).to_pylist() for c in ("docs", "entries", "known")), strict=True):
+def _entries(table: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
+    """(hash, key, text key, start) of the entries of each blob, without the hash for marks."""
+    names = table.column_names
+    known = table.column("known").to_pylist() if "known" in names else [True] * table.num_rows
+    for docs, entries, mark in zip(table.column("docs").to_pylist(), table.column("entries").to_pylist(), known, strict=True):
         keys, texts = _unpack(docs, 2)
         keys, texts = (keys ^ _SIGN).view(np.int64), texts.view(np.int64)
-        *hashes, rows, starts = _unpack(entries, 2 if known else 3)
-        rows, starts = rows.astype(np.int64), starts.astype(np.int64)
-        (marks if known else parts).append((*hashes, keys[rows], texts[rows], starts))
-    if parts:
-        hashes, keys, texts, starts = (np.concatenate(c) for c in zip(*parts, strict=True))
-        del parts
-        by = np.argsort(hashes, kind="stable")
-        again = np.zeros(len(by), dtype=bool)
-        again[1:] = hashes[by[1:]] == hashes[by[:-1]]
-        again[:-1] |= again[1:]
-        by = by[again]  # most windows are alone
-        hashes, keys, texts, starts = hashes[by], keys[by], texts[by], starts[by]
-        by = np.lexsort((starts, keys, hashes))
-        hashes, keys, texts, starts = hashes[by], keys[by], texts[by], starts[by]
-        mark = repeats(hashes, keys, starts)
-        marks.append((keys[mark], texts[mark], starts[mark]))
-    keys, texts, starts = (np.concatenate(c) for c in zip(*marks, strict=True))
-    by = np.lexsort((starts, texts, keys))
-    keys, texts, starts = keys[by], texts[by], starts[by].astype(np.int32)
-    fresh = np.ones(len(keys), dtype=bool)
-    fresh[1:] = (keys[1:] != keys[:-1]) | (texts[1:] != texts[:-1])
-    at = np.flatnonzero(fresh)
-    lists = pa.ListArray.from_arrays(np.append(at, len(keys)).astype(np.int32), pa.array(starts))
-    return pa.table({"key": keys[at], "text_key": texts[at], "starts": lists})
-
-
-def marked_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """(key, text_key, starts): windows to remove, in several rows a document; a written table."""
+        *hashes, rows, starts = _unpack(entries, 2 if mark else 3)
+        rows = rows.astype(np.int64)
+        yield *hashes, keys[rows], texts[rows], starts.astype(np.int64)
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Which rows differ from the one before in any column; the first does."""
+    fresh = np.ones(len(columns[0]), dtype=bool)
+    fresh[1:] = False
+    for c in columns:
+        fresh[1:] |= c[1:] != c[:-1]
+    return fresh
+
+
+def _meet(slices: int):
+    """The marks of a page, windows with an earlier equal one, in one blob for each slice of documents."""
+
+    def run(table: pa.Table) -> pa.Table:
+        parts, marks = [], []
+        for columns in _entries(table):
+            (parts if len(columns) == 4 else marks).append(columns)
+        if parts:
+            hashes, keys, texts, starts = (np.concatenate(c) for c in zip(*parts, strict=True))
+            del parts
+            by = np.argsort(hashes, kind="stable")
+            again = np.zeros(len(by), dtype=bool)
+            again[1:] = hashes[by[1:]] == hashes[by[:-1]]
+            again[:-1] |= again[1:]
+            by = by[again]  # most windows are alone
+            hashes, keys, texts, starts = hashes[by], keys[by], texts[by], starts[by]
+            by = np.lexsort((starts, keys, hashes))
+            hashes, keys, texts, starts = hashes[by], keys[by], texts[by], starts[by]
+            mark = repeats(hashes, keys, starts)
+            marks.append((keys[mark], texts[mark], starts[mark]))
+        keys, texts, starts = (np.concatenate(c) for c in zip(*marks, strict=True))
+        part = page_of(_scramble(keys.view(np.uint64) ^ _scramble(texts.view(np.uint64))), slices)
+        by = np.lexsort((starts, texts, keys, part))
+        keys, texts, starts, part = keys[by], texts[by], starts[by], part[by]
+        rank = np.cumsum(_changes(keys, texts, part)) - 1
+        at = np.flatnonzero(_changes(keys, texts, part))
+        docs = keys[at], texts[at]
+        edges = np.append(np.flatnonzero(_changes(part)), len(part))
+        rows = [_blob(int(part[a]), docs, None, rank[a:b], starts[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return pa.table({
+            "slice": pa.array([r[0] for r in rows], pa.int32()), "docs": pa.array([r[1] for r in rows], pa.binary()),
+            "entries": pa.array([r[2] for r in rows], pa.binary()),
+        })
+
+    return run
+
+
+_SPANS = "key long, text_key long, starts array<int>, stops array<int>"
+
+
+def _merge(width: int):
+    """The maximal runs of marked words of every document of a slice, one row a document."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, texts, starts = (np.concatenate(c) for c in zip(*_entries(table), strict=True))
+        by = np.lexsort((starts, texts, keys))
+        keys, texts, starts = keys[by], texts[by], starts[by]
+        doc = _changes(keys, texts)
+        new = doc.copy()
+        new[1:] |= np.diff(starts) > width  # windows that touch are one run
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(starts)) - 1
+        at = np.flatnonzero(doc)
+        ends = np.append(np.searchsorted(first, at), len(first)).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (starts[first], starts[last] + width)]
+        return pa.table({"key": keys[at], "text_key": texts[at], "starts": lists[0], "stops": lists[1]})
+
+    return run
+
+
+def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
+    """(key, text_key, starts, stops): the runs of words to remove of every document that has any."""
     rows = docs.select(_key(key), _text_key(text), F.col(text).alias("text"))
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     pages = max(1, round(size / WORD_BYTES / PAGE_WINDOWS))
     sent = rows.where(F.col("text").isNotNull()).mapInArrow(_send(pages, width), _SENT)
-    return settle(sent.groupBy("page").applyInArrow(_meet, _MARKS), "marks")
+    # Written, so that the shuffled windows are gone before texts are joined.
+    marks = settle(sent.groupBy("page").applyInArrow(_meet(pages), _MARKS), "marks")
+    return marks.groupBy("slice").applyInArrow(_merge(width), _SPANS)
 
 
 def _key(key: str) -> Column:
@@ -277,35 +328,22 @@ def _text_key(text: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key")
 
 
-_WORD = re.compile(rb"[^ \t-\r]+")
 _CUT = "n_words long, n_removed long, spans array<struct<start:int,stop:int>>, kept string"
 
 
-def spans_of(starts: np.ndarray, width: int) -> list[tuple[int, int]]:
-    """Maximal runs of words [start, stop) covered by windows at ``starts`` (ascending)."""
-    if not len(starts):
-        return []
-    new = np.flatnonzero(np.diff(starts) > width)  # windows that touch are one run
-    return [*zip(starts[np.append(0, new + 1)].tolist(), (starts[np.append(new, -1)] + width).tolist(), strict=True)]
-
-
-def _cut(width: int):
-    @F.pandas_udf(_CUT)
-    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, marks in batches:
-            rows = []
-            for text, starts in zip(texts, marks, strict=True):
-                words = text.encode().split() if text else []
-                spans = [] if starts is None else spans_of(np.unique(starts), width)
-                kept, at = [], 0
-                for a, b in spans:
-                    kept += words[at:a]
-                    at = b
-                kept += words[at:]
-                rows.append((len(words), len(words) - len(kept), [{"start": a, "stop": b} for a, b in spans], b" ".join(kept).decode()))
-            yield pd.DataFrame(rows, columns=["n_words", "n_removed", "spans", "kept"], index=texts.index)
-
-    return cut
+def _cut(spans: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    for texts, starts, stops in spans:
+        rows = []
+        for text, begin, end in zip(texts, starts, stops, strict=True):
+            words = text.encode().split() if text else []
+            runs = [] if begin is None else [*zip(begin.tolist(), end.tolist(), strict=True)]
+            kept, at = [], 0
+            for a, b in runs:
+                kept += words[at:a]
+                at = b
+            kept += words[at:]
+            rows.append((len(words), len(words) - len(kept), [{"start": a, "stop": b} for a, b in runs], b" ".join(kept).decode()))
+        yield pd.DataFrame(rows, columns=["n_words", "n_removed", "spans", "kept"], index=texts.index)
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
@@ -321,11 +359,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     document as far as order goes: windows at the same place of two of them don't remove each other.
     Repeated rows get equal results. Columns of ``docs`` named like a result are replaced.
     """
-    marks = marked_windows(docs, key, text, width)
-    lists = marks.groupBy("key", "text_key").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    spans = repeated_spans(docs, key, text, width)
     whole = docs.select(F.struct("*").alias("doc"), _key(key), _text_key(text))
-    joined = whole.join(lists, ["key", "text_key"], "left")
-    cut = joined.select("doc", _cut(width)(F.col("doc").getField(text), F.col("starts")).alias("cut"))
+    joined = whole.join(spans, ["key", "text_key"], "left")
+    cut = F.pandas_udf(_cut, _CUT)(F.col("doc").getField(text), F.col("starts"), F.col("stops"))
+    cut = joined.select("doc", cut.alias("cut"))
     names = ("n_words", "n_removed", "spans", "kept")
     kept = docs.select([c for c in docs.columns if c not in names])
     return cut.select(*others(kept, ()), *[F.col("cut").getField(c).alias(c) for c in names])
