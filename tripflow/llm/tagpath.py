@@ -6,8 +6,15 @@ paths carry long, punctuated text, menus and notices many short bits. Both ratio
 in page order, smoothed with a Gaussian window, fused by multiplication, averaged again per path,
 and paths of at least one standard deviation (the best path always) are content paths. The
 main element is the article or main that holds nearly all text of content paths or, without one, the
-lowest element that holds all of it; all its blocks are the result. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments are known by their tags, roles, classes and ids and are never part of it.
+lowest element that holds all of it. Its blocks are the result; without an article or main, blocks of
+links alone before its first and after its last block of a content path or heading are none of it.
+
+Menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
+are known by their tags, or by a class, id or role of a block that says so as a whole name: each part of
+the name must be such a word or one that goes with it, as in ``site-footer``, so ``section-header``
+or ``side-by-side`` says nothing. Names that a layout also uses (``widget``, ``banner``) are overruled by
+text on a content path inside. Names of headings, lines and code are not judged. Hidden elements and
+formulas are text like any other.
 """
 
 from __future__ import annotations
@@ -31,29 +38,39 @@ _TAG = re.compile(r"</?([a-zA-Z][^\s/>]*+)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template iframe textarea title xmp noembed noframes svg math".split())
+_RAW = frozenset("script style noscript template iframe textarea title xmp noembed noframes svg".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s "
-    "samp small span strike strong sub sup time tt u var wbr img br".split()
+    "samp small span strike strong sub sup time tt u var wbr img br svg "
+    "math mi mn mo ms mtext mrow mfrac msqrt mroot msup msub msubsup mover munder munderover mtable mtr "
+    "mtd mspace mpadded mphantom mstyle menclose semantics annotation annotation-xml".split()
 )
+#: Never text. A ``header`` is one outside of articles and mains only; an annotation is a formula again.
 _BOILERPLATE = frozenset(
-    "head nav header footer aside form script style noscript template iframe button select "
-    "textarea menu dialog object svg math title input".split()
+    "head nav footer aside form fieldset legend label datalist output option script style noscript "
+    "template iframe button select textarea menu dialog object svg title input annotation annotation-xml".split()
 )
 #: Elements that a new element of the same group ends.
 _ENDS = {
     "li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"),
     "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select"),
 }
-_SIGNS = re.compile(
-    r"(?:^|[\s_-])(?<!\bno[_-])(?<!\bhas[_-])(?<!\bwith[_-])(?<!\bwithout[_-])(?:ads?|adverts?|advertisement|advertising|adsense|sponsor(?:ed)?|promo(?:tion)?|banner|"
-    r"cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|nav|navbar|navigation|menu|"
-    r"breadcrumbs?|sidebar|side|aside|footer|header|masthead|comments?|disqus|replies|"
-    r"respond|newsletter|subscribe|subscription|signup|login|search|share|sharing|social|"
-    r"related|recommended|widgets?|pagination|pager|toolbar|skip|complementary|contentinfo|"
-    r"dialog)(?=$|[\s_-])",
-    re.IGNORECASE,
+#: Words that say what a block is, those that a layout may bear as well, and words beside them.
+_STRONG = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion cookie cookies "
+    "consent gdpr notice notices popup newsletter subscribe subscription signup comment comments disqus replies "
+    "respond related recommended sidebar breadcrumb breadcrumbs pagination pager footer contentinfo nav navbar "
+    "navigation share sharing".split()
 )
+_WEAK = frozenset(
+    "banner alert modal overlay menu side aside header masthead login search social widget widgets toolbar "
+    "skip complementary dialog".split()
+)
+_BESIDE = frozenset(
+    "site main page top bottom left right global primary secondary container wrapper wrap box block area list "
+    "bar slot unit inner outer item items button buttons link links posts stories articles more form".split()
+)
+_MORE = re.compile(r"(?:more|related|recommended|popular|trending|latest)[-_](?:stories|posts|articles|news|links)")
 #: Comments and other articles, which may be longer than the article.
 _BESIDES = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|replies|respond|related|recommended)(?=$|[\s_-])", re.IGNORECASE)
 _LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
@@ -67,44 +84,71 @@ _P_STOPS = frozenset("table td th button object article section div main body".s
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
+#: Groups of tags that end each other, by the tags that they don't reach out of.
+_SCOPES = {"p": _P_STOPS} | {names: frozenset(stops.split()) for names, stops in _ENDS.values()}
+
+
 class _Element:
-    __slots__ = ("tag", "parent", "path", "depth", "never", "sign", "skipped", "link", "heading", "size")
+    __slots__ = ("tag", "parent", "path", "depth", "never", "sign", "weak", "skipped", "link", "heading", "size", "inside", "scopes")
 
-    def __init__(self, tag: str, parent: _Element | None, path: int, never: bool, sign: str):
+    def __init__(self, tag: str, parent: _Element | None, path: int, never: bool, signs: list[str]):
         self.tag, self.parent, self.path = tag, parent, path
         self.depth = parent.depth + 1 if parent else 0
         # Never text, with all inside it; or only by the names it bears, which a layout may bear too.
         self.never = never or bool(parent and parent.never)
-        self.sign = sign
-        self.skipped = self.never or bool(sign) or bool(parent and parent.skipped)
+        self.sign = " ".join(signs)
+        self.weak = bool(signs) and not any(_MORE.fullmatch(x.lower()) or _STRONG & {*_parts(x)} for x in signs)
+        self.skipped = self.never or bool(signs) or bool(parent and parent.skipped)
         self.link = tag == "a" or bool(parent and parent.link)
         self.heading = tag if tag in _HEADINGS else parent.heading if parent else ""
         self.size = 0
+        self.inside = tag in ("article", "main") or bool(parent and parent.inside)
+        # The innermost open element of each group in reach, shared with the parent where alike.
+        self.scopes: dict[str, _Element] = parent.scopes if parent else {}
+        for names, stops in _SCOPES.items():
+            if tag in names.split():
+                self.scopes = self.scopes | {names: self}
+            elif tag in stops and names in self.scopes:
+                self.scopes = {k: v for k, v in self.scopes.items() if k != names}
+
+
+def _parts(name: str) -> list[str]:
+    return [w for w in re.split(r"[-_]+", _CAMEL.sub("-", name).lower()) if w]
+
+
+def _is_sign(name: str) -> bool:
+    words = _parts(name)
+    said = any(w in _STRONG or w in _WEAK for w in words)
+    return bool(_MORE.fullmatch(name.lower())) or (said and all(w in _STRONG or w in _WEAK or w in _BESIDE for w in words))
 
 
-def _boilerplate(tag: str, attributes: str) -> tuple[bool, str]:
-    """Whether an element is boilerplate by its tag or hidden, and its names if they say that it is."""
-    if tag in _BOILERPLATE:
-        return True, ""
-    if tag in ("html", "body", "article", "main") or not attributes.strip():
-        return False, ""
+def _boilerplate(tag: str, attributes: str, parent: _Element) -> tuple[bool, list[str]]:
+    """Whether an element is boilerplate by its tag, and those of its names that say that it is."""
+    if tag in _BOILERPLATE or (tag == "header" and not parent.inside):
+        return True, []
+    if tag in ("html", "body", "article", "main", "pre", "header") or tag in _INLINE or tag in _HEADINGS or not attributes.strip():
+        return False, []
     found = {}
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         found.setdefault(name.lower(), a or b or c)
-    if "hidden" in found or found.get("aria-hidden", "").lower() == "true":
-        return True, ""
-    if re.search(r"display\s*:\s*none", found.get("style", ""), re.IGNORECASE):
-        return True, ""
-    signs = _CAMEL.sub("-", " ".join(found.get(k, "") for k in ("class", "id", "role")))
-    return False, signs if _SIGNS.search(signs) else ""
+    names = " ".join(found.get(k, "") for k in ("class", "id", "role")).split()
+    signs = [n for n in names if _is_sign(n)]
+    if parent.inside:
+        # An article has a headline of its own.
+        signs = [n for n in signs if not {"header", "masthead"} & set(_parts(n))]
+    if tag == "p":
+        signs = [n for n in signs if n.lower() in _STRONG]
+    return False, signs
 
 
 class _Page:
     """Text nodes (element, text, block number) of a page, in order."""
 
     def __init__(self, source: str):
-        self.top = self.root = _Element("", None, 0, False, "")
+        self.top = self.root = _Element("", None, 0, False, [])
         self.elements = [self.root]
+        # Open elements by tag, so that an end tag that ends none costs nothing.
+        self.open: dict[str, int] = {}
         # A path is numbered by its parent's number and its last tag; a page may nest very deep.
         self.paths: dict[tuple[int, str], int] = {}
         self.nodes: list[tuple[_Element, str, int]] = []
@@ -115,28 +159,34 @@ class _Page:
         if text:
             self.nodes.append((self.top, references.unescape(text) if "&" in text else text, self.block))
 
-    def _close(self, names: set[str], stops: frozenset[str] | set[str]) -> None:
-        """End the innermost open element of ``names``, with what is open in it."""
-        at = self.top
-        while at.parent is not None and at.tag not in stops:
-            if at.tag in names:
-                self.top = at.parent
-                return
-            at = at.parent
+    def _leave(self, element: _Element) -> None:
+        """End an open element, with what is open in it."""
+        while self.top is not element.parent:
+            self.open[self.top.tag] -= 1
+            self.top = self.top.parent
+
+    def _close(self, tag: str) -> None:
+        """End the innermost open element of a tag, if there is one."""
+        if self.open.get(tag):
+            at = self.top
+            while at.tag != tag:
+                at = at.parent
+            self._leave(at)
 
     def _open(self, tag: str, attributes: str) -> None:
         if tag not in _INLINE:
             self.block += 1
-            self._close({"p"}, _P_STOPS)
-        if tag in _ENDS:
-            names, stops = _ENDS[tag]
-            self._close(set(names.split()), set(stops.split()))
+            if "p" in self.top.scopes:
+                self._leave(self.top.scopes["p"])
+        if tag in _ENDS and _ENDS[tag][0] in self.top.scopes:
+            self._leave(self.top.scopes[_ENDS[tag][0]])
         if tag == "br":
             self.nodes.append((self.top, " ", self.block))
         if tag in _VOID:
             return
         path = self.paths.setdefault((self.top.path, tag), len(self.paths) + 1)
-        self.top = _Element(tag, self.top, path, *_boilerplate(tag, attributes))
+        self.top = _Element(tag, self.top, path, *_boilerplate(tag, attributes, self.top))
+        self.open[tag] = self.open.get(tag, 0) + 1
         self.elements.append(self.top)
 
     def _read(self, s: str) -> None:
@@ -175,7 +225,7 @@ class _Page:
         if s[lt + 1] == "/":
             if name not in _INLINE:
                 self.block += 1
-            self._close({name}, set())
+            self._close(name)
             return stop
         if name in _RAW:
             if not rest.rstrip().endswith("/"):
@@ -212,49 +262,72 @@ def content_paths(nodes: list[tuple[int, int, int]]) -> set[int]:
     return {path for path, k in number.items() if score[k] >= least and score[k] > 0}
 
 
+def _doubted(elements: list[_Element], nodes: list[tuple[_Element, str, int]]) -> tuple[list, set[int]]:
+    """Statistics of the text nodes, and their content paths; weak names are judged by these.
+
+    Text under weak names counts like any other at first. An element of such a name that holds text of a
+    content path is none of what its name says; the others are skipped, with all inside.
+    """
+    strong = {id(elements[0]): False}
+    for e in elements[1:]:
+        strong[id(e)] = strong[id(e.parent)] or e.never or (bool(e.sign) and not e.weak)
+    stats = []
+    for element, text, _ in nodes:
+        own = 0 if element.link or strong[id(element)] else len(" ".join(text.split()))
+        stats.append((element.path, own, len(_PUNCTUATION.findall(text)) if own else 0))
+    chosen = content_paths(stats)
+    holds: set[int] = set()
+    for (element, _, _), (path, own, _) in zip(nodes, stats, strict=True):
+        while own and path in chosen and element is not None and id(element) not in holds:
+            holds.add(id(element))
+            element = element.parent
+    for e in elements[1:]:
+        if e.weak and id(e) in holds:
+            e.sign, e.weak = "", False
+        e.skipped = e.never or bool(e.sign) or e.parent.skipped
+    return stats, chosen
+
+
 def main_text(source: str | None) -> str:
     """The blocks of the main text, white space inside a block as one space, two line feeds between."""
     page = _Page(source or "")
     nodes = [n for n in page.nodes if n[1] and not n[1].isspace()]
     _clear_layout(page.elements, nodes)
-    stats = []
-    for element, text, _ in nodes:
-        own = 0 if element.link or element.skipped else len(" ".join(text.split()))
-        stats.append((element.path, own, len(_PUNCTUATION.findall(text)) if own else 0))
-    chosen = content_paths(stats)
+    stats, chosen = _doubted(page.elements, nodes)
     total = 0
     for (element, _, _), (path, size, _) in zip(nodes, stats, strict=True):
         if path in chosen and not element.skipped:
             total += size
-            at = element
-            while at is not None:
-                at.size += size
-                at = at.parent
+            element.size += size
     if not total:
         return ""
+    for e in reversed(page.elements[1:]):
+        e.parent.size += e.size
     # The lowest element with most of the content: from any content node the one farthest down.
     # Only an article or main around it says that the rest is no part of it; else it holds all.
     main = _lowest(nodes, stats, chosen, HOLDS * total) or page.root
     if not any(a.tag in ("article", "main") for a in _ancestors(main)):
         main = _lowest(nodes, stats, chosen, total) or page.root
-    main = _whole_article(main, [n[0] for n in page.nodes if n[1] and not n[1].isspace()])
-    within = {id(main): True}
-
-    def inside(element: _Element | None) -> bool:
-        passed = []
-        while element is not None and id(element) not in within:
-            passed.append(id(element))
-            element = element.parent
-        found = element is not None and within[id(element)]
-        within.update(dict.fromkeys(passed, found))
-        return found
-
-    blocks: dict[int, list[str]] = {}
+    main = _whole_article(main, [n[0] for n in nodes])
+    within = {id(page.root): main is page.root}
+    for e in page.elements[1:]:
+        within[id(e)] = e is main or within[id(e.parent)]
+    blocks: dict[int, list[tuple[_Element, str]]] = {}
     for element, text, block in page.nodes:
-        if not element.skipped and inside(element):
-            blocks.setdefault(block, []).append(text)
-    joined = (" ".join("".join(parts).split()) for parts in blocks.values())
-    return "\n\n".join(b for b in joined if b)
+        if not element.skipped and within[id(element)]:
+            blocks.setdefault(block, []).append((element, text))
+    joined = []
+    for parts in blocks.values():
+        if text := " ".join("".join(t for _, t in parts).split()):
+            own = [e for e, t in parts if t.strip()]
+            joined.append((text, all(e.link for e in own), any(e.heading or e.path in chosen for e in own)))
+    if not main.inside:
+        # Menus before and lists of other pages after, where no article or main sets them apart.
+        while joined and joined[0][1] and not joined[0][2]:
+            del joined[0]
+        while joined and joined[-1][1] and not joined[-1][2]:
+            del joined[-1]
+    return "\n\n".join(b[0] for b in joined)
 
 
 def _clear_layout(elements: list[_Element], nodes: list[tuple[_Element, str, int]]) -> None:
@@ -300,12 +373,13 @@ def _clear_layout(elements: list[_Element], nodes: list[tuple[_Element, str, int
 
 def _lowest(nodes: list, stats: list, chosen: set[int], least: float) -> _Element | None:
     """The element farthest down, no part of a line or paragraph, with ``least`` of the content paths' text."""
-    lowest = None
+    lowest, seen = None, set()
     for (element, _, _), (path, _, _) in zip(nodes, stats, strict=True):
         at = element if path in chosen else None
-        while at is not None and (at.tag in _INLINE or at.tag == "p" or at.size < least):
+        while at is not None and id(at) not in seen and (at.tag in _INLINE or at.tag == "p" or at.size < least):
+            seen.add(id(at))
             at = at.parent
-        if at is not None and (lowest is None or at.depth > lowest.depth):
+        if at is not None and id(at) not in seen and (lowest is None or at.depth > lowest.depth):
             lowest = at
     return lowest
 
