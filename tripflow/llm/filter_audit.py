@@ -11,6 +11,8 @@ orders share; a last join lays them out by order and step.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,7 +112,7 @@ WITH RECURSIVE prefixes AS (
          {_total('n', 'x.mask = bit')},
          {_total('good', f'{_REACHED} AND {_FAILS}')},
          {_total('toxic', f'{_REACHED} AND {_FAILS}')}
-  FROM prefixes JOIN {{cells}} USING (part) JOIN {{letters}} ON applied & bit = 0
+  FROM prefixes JOIN {{cells}} USING (part) JOIN {{unused}} USING (applied)
 )
 SELECT * FROM prefixes WHERE step > 0
 """
@@ -130,12 +132,15 @@ def audit(cells: DataFrame, letters: str = "ABCDE") -> DataFrame:
     ``cells`` has (part, mask, n, good, toxic), one row a part and mask, none null. No cells: no rows.
     """
     spark = cells.sparkSession
-    known = spark.createDataFrame([(c, bit_of(c)) for c in letters], "letter string, bit int")
+    # The letters that a set of applied bits leaves: a table of its own, so that they join by equality.
+    sets = [sum(map(bit_of, some)) for n in range(len(letters)) for some in itertools.combinations(letters, n)]
+    left = [(bits, c, bit_of(c)) for bits in sets for c in letters if not bits & bit_of(c)]
+    unused = spark.createDataFrame(left, "applied int, letter string, bit int")
     listed = cells.groupBy("part").agg(F.collect_list(F.struct("mask", "n", "good", "toxic")).alias("cells"))
     listed = settle(listed, "cells")
     # The limit on rows is for queries that may not end; this one has as many levels as letters.
     with setting(spark, _ROW_LIMIT, "-1"):
-        prefixes = settle(spark.sql(_PREFIXES, cells=listed, letters=known), "prefixes")
+        prefixes = settle(spark.sql(_PREFIXES, cells=listed, unused=unused), "prefixes")
     return spark.sql(_ORDERS.replace("{last}", str(len(letters))), prefixes=prefixes)
 
 
