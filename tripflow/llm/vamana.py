@@ -1,12 +1,20 @@
 """Approximate nearest neighbours by inner product over robust-pruned directed graphs.
 
-Distinct vectors are dealt to shards of about ``SHARD`` vectors by a hash; equal vectors are one
-node that lists its smallest ids, as many as a result can hold. One task builds a shard's graph:
-greedy beam searches from the middle propose neighbours, and pruning keeps the nearest and then only
-those to which no kept neighbour is nearer by the factor ``ALPHA``, so that edges point in all
-directions. Inner products become distances by one more coordinate that levels all norms. The query
-set is searched in blocks in every shard, scores are computed anew in double precision on the
-original vectors, and the best of all shards are kept.
+Distinct vectors are dealt by length into bands and by a hash into shards of about ``SHARD`` vectors of
+one band; equal vectors are one node that lists its smallest ids, as many as a result can hold. One
+task builds a shard's graph: greedy beam searches from the middle propose neighbours, and pruning
+keeps the nearest and then only those to which no kept neighbour is nearer by the factor ``ALPHA``, so
+that edges point in all directions.
+
+Inner products become distances by one more coordinate that levels the lengths. Over lengths that
+differ much that coordinate would outweigh all others and the graph would order vectors by length
+alone; within a band lengths differ by the factor ``BAND`` at most, and a vector far longer than the
+rest has a band of its own. Distances are relative to the longest of the shard and the query, so that
+no length overflows.
+
+The query set is searched in blocks in every shard: a task reads a shard's graph once and then the
+blocks one after the other. Scores are computed anew in double precision on the original vectors, and
+the best of all shards are kept.
 """
 
 from __future__ import annotations
@@ -16,23 +24,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tripflow.operators.joins import broadcast_if_small
 from tripflow.sources.staging import settle
 
-#: Vectors of a shard and queries of a block, on average. A graph travels once a block and a block
-#: once a shard, so they are about equally heavy.
+#: Vectors of a shard and queries of a block, on average. A block travels once a shard.
 SHARD, BLOCK = 4096, 4096
+#: Ratio of the longest to the shortest vector of a band; lengths of 1 are in the middle of one.
+BAND = 1.25
 DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 32, 64, 128, 1.2
 #: Points searched and pruned at once, and nodes a search expands at once.
 BATCH, EXPAND = 256, 4
 
 
+def _lengths(vectors: np.ndarray) -> np.ndarray:
+    """Euclidean lengths, without overflow of the squares."""
+    top = np.maximum(np.abs(vectors).max(axis=1, initial=0), np.finfo(np.float64).tiny)
+    return top * np.sqrt(((vectors / top[:, None]) ** 2).sum(axis=1))
+
+
 def _levelled(vectors: np.ndarray) -> np.ndarray:
-    """Vectors of one norm: nearest in them is largest in inner product with (query, 0)."""
-    square = (vectors.astype(np.float64) ** 2).sum(axis=1)
-    last = np.sqrt(np.maximum(square.max() - square, 0))
+    """Vectors of length 1: nearest in them is largest in inner product with (query, 0)."""
+    vectors = vectors / _lengths(vectors).max()
+    last = np.sqrt(np.maximum(1 - (vectors**2).sum(axis=1), 0))
     return np.hstack([vectors, last[:, None]]).astype(np.float32)
 
 
@@ -176,7 +193,7 @@ def _build(table: pa.Table) -> pa.Table:
         counts=members.value_lengths().to_numpy(zero_copy_only=False),
     )
     return pa.table({
-        "dim": table.column("dim").slice(0, 1), "shard": table.column("shard").slice(0, 1),
+        "number": table.column("number").slice(0, 1), "dim": table.column("dim").slice(0, 1),
         "graph": pa.array([blob], pa.binary()),
     })
 
@@ -187,28 +204,33 @@ def _matrix(column, n: int) -> np.ndarray:
 
 
 def search_shard(graph: dict, ids: np.ndarray, queries: np.ndarray, k: int, beam: int):
-    """(query place, vec_id, score) of the ``k`` best in a shard for each query but itself."""
+    """(query place, vec_id, score) of the ``k`` best in a shard for each query but its own row."""
     vectors, counts, members = graph["vectors"], graph["counts"], graph["members"]
     offsets = np.concatenate([[0], np.cumsum(counts)])
-    points = _levelled(vectors)
-    targets = np.hstack([queries, np.zeros((len(queries), 1))]).astype(np.float32)
+    points, edges = _levelled(vectors), graph["edges"].astype(np.int64)
+    targets = np.hstack([queries / _lengths(queries)[:, None], np.zeros((len(queries), 1))]).astype(np.float32)
+    everyone = np.tile(np.arange(len(vectors)), (BATCH, 1)) if len(vectors) <= beam else None
     out = []
     for at in range(0, len(queries), BATCH):
-        found, _ = beam_search(points, graph["edges"].astype(np.int64), int(graph["start"]), targets[at : at + BATCH], beam)
+        some = targets[at : at + BATCH]
+        # A beam that holds the whole shard needs no search.
+        found = beam_search(points, edges, int(graph["start"]), some, beam)[0] if everyone is None else everyone[: len(some)]
         for i, row in enumerate(found, start=at):
             row = row[row >= 0]
             # Ids of equal vectors share a score; one more than k, as one may be the query's.
             score = np.repeat(vectors[row] @ queries[i], counts[row])
             names = np.concatenate([members[offsets[r] : offsets[r + 1]] for r in row])
-            other = names != ids[i]
-            score, names = score[other], names[other]
+            own = names == ids[i]
+            if own.any():
+                own &= np.repeat((vectors[row] == queries[i]).all(axis=1), counts[row])
+                score, names = score[~own], names[~own]
             best = np.lexsort((names, -score))[:k]
             out.append((np.full(len(best), i), names[best], score[best]))
     return [np.concatenate(c) for c in zip(*out, strict=True)]
 
 
 def valid_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(vec_id, embedding, dim): a row for each id with a usable vector, of several the smallest.
+    """(vec_id, embedding, dim): every row with a usable vector; rows alike in id and vector are one.
 
     Null ids, and vectors that are null, empty, all zero or hold null, NaN or infinity, are left out.
     """
@@ -217,56 +239,83 @@ def valid_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding
     kept = rows.select(F.col(key).alias("vec_id"), value.alias("embedding"), bad.alias("bad")).where(
         F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~F.col("bad")
     )
-    kept = kept.where(F.exists("embedding", lambda x: x != 0.0))
-    return kept.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("dim", F.size("embedding"))
+    # Adding 0 turns -0 into 0, so that equal vectors are equal in every component's bits.
+    plain = F.transform("embedding", lambda x: x + 0.0)
+    kept = kept.where(F.exists("embedding", lambda x: x != 0.0)).select("vec_id", plain.alias("embedding")).distinct()
+    return kept.withColumn("dim", F.size("embedding"))
+
+
+def _banded(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with the band of their length."""
+    top = F.array_max(F.transform("embedding", F.abs))
+    nodes = nodes.withColumn("top", top)
+    share = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + (x / F.col("top")) * (x / F.col("top")))
+    log = F.ln("top") + F.ln(share) / 2
+    return nodes.withColumn("band", F.floor(log / float(np.log(BAND)) + 0.5).cast("int")).drop("top")
 
 
 def build_index(valid: DataFrame, k: int, shard: int = SHARD) -> DataFrame:
-    """(dim, shard, graph) of all of ``valid``; vectors of different lengths never share a graph."""
+    """(number, dim, graph) of all of ``valid``; vectors of different dimensions or bands never share a
+    graph, and shards are numbered from 0 without gaps."""
     same = Window.partitionBy("embedding").orderBy("vec_id")
     # No result can hold more than k others of equal vectors, and one may be the query itself.
     first = valid.withColumn("place", F.row_number().over(same)).where(F.col("place") <= k + 1)
     nodes = first.groupBy("embedding").agg(
         F.array_sort(F.collect_list("vec_id")).alias("members"), F.first("dim").alias("dim")
     )
-    nodes = settle(nodes, "nodes")
-    shards = nodes.count() // shard + 1
-    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("embedding"), F.lit(shards)).cast("int"))
-    # More partitions than shards, so that few shards share a task.
-    dealt = dealt.repartition(3 * shards, "dim", "shard")
-    graphs = dealt.groupBy("dim", "shard").applyInArrow(_build, "dim int, shard int, graph binary")
-    return settle(graphs, "graphs")
+    nodes = settle(_banded(nodes), "nodes")
+    sizes = nodes.groupBy("dim", "band").agg((F.floor(F.count("*") / shard) + 1).cast("int").alias("shards"))
+    # One row a dimension and band: as few as lengths have powers of the ratio.
+    before = F.sum("shards").over(Window.orderBy("dim", "band").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = settle(sizes.withColumn("before", F.coalesce(before, F.lit(0)).cast("int")), "bands")
+    within = F.pmod(F.xxhash64("embedding"), F.col("shards")).cast("int")
+    dealt = nodes.join(broadcast_if_small(sizes), ["dim", "band"]).withColumn("number", F.col("before") + within)
+    total = sizes.agg(F.sum("shards")).first()[0] or 1
+    # By range of the number, with more ranges than numbers, so that every shard has a task of its own.
+    placed = dealt.select("number", "dim", "embedding", "members").repartitionByRange(2 * total, "number")
+    return settle(placed.groupBy("number").applyInArrow(_build, "number int, dim int, graph binary"), "graphs")
 
 
 def nearest(valid: DataFrame, queries: DataFrame, k: int, shard: int = SHARD, beam: int = SEARCH_BEAM) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found for every row of ``queries``.
 
-    Both frames are ``valid_vectors``. Ties go to the smaller id; with fewer candidates, fewer rows.
+    Both frames are ``valid_vectors``. Ties go to the smaller id; with fewer candidates, fewer rows. Rows
+    that share an id are queries of their own, and candidates of each other.
     """
     graphs = build_index(valid, k, shard)
-    shards = (graphs.agg(F.max("shard")).first()[0] or 0) + 1
+    total = (graphs.agg(F.max("number")).first()[0] or 0) + 1
     blocks = queries.count() // BLOCK + 1
     packed = (
-        queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+        queries.withColumn("block", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(blocks)).cast("int"))
         .groupBy("dim", "block")
         .agg(F.collect_list("vec_id").alias("ids"), F.flatten(F.collect_list("embedding")).alias("flat"))
     )
-    everywhere = settle(packed, "blocks").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    pairs = everywhere.join(graphs, ["dim", "shard"]).repartition(3 * shards * blocks, "dim", "shard", "block")
+    # Numbers of shards by dimension; the blocks are sent to each, the graphs are not copied.
+    everywhere = settle(packed, "blocks").join(graphs.select("number", "dim"), "dim")
+    both = everywhere.select("number", "block", "ids", "flat", F.lit(None).cast("binary").alias("graph")).unionByName(
+        graphs.select("number", F.lit(-1).alias("block"), "graph"), allowMissingColumns=True
+    )
+    placed = both.repartitionByRange(2 * total, "number").sortWithinPartitions("number", "block")
     width = max(beam, 2 * (k + 1))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph = None
         for batch in batches:
             for i in range(batch.num_rows):
-                graph = dict(np.load(io.BytesIO(batch.column("graph")[i].as_py())))
+                blob = batch.column("graph")[i].as_py()
+                if blob is not None:
+                    graph = dict(np.load(io.BytesIO(blob)))
+                    continue
                 ids = batch.column("ids")[i].values.to_numpy(zero_copy_only=False)
-                flat = batch.column("flat")[i].values.to_numpy(zero_copy_only=False)
-                rows, names, scores = search_shard(graph, ids, flat.reshape(len(ids), -1), k, width)
+                flat = batch.column("flat")[i].values.to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+                rows, names, scores = search_shard(graph, ids, flat, k, width)
+                own = np.array([xxhash.xxh64_intdigest(v.tobytes(), 0) >> 1 for v in flat], dtype=np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[rows]), pa.array(names), pa.array(scores)], names=["query_id", "vec_id", "score"]
+                    [pa.array(ids[rows]), pa.array(own[rows]), pa.array(names), pa.array(scores)],
+                    names=["query_id", "own", "vec_id", "score"],
                 )
 
-    found = pairs.select("ids", "flat", "graph").mapInArrow(search, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = placed.mapInArrow(search, "query_id long, own long, vec_id long, score double")
+    best = Window.partitionBy("query_id", "own").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
