@@ -159,8 +159,9 @@ def test_profile_forms_agree(geo, window):
     assert [r[0] for r in base] == sorted(window.hours)
     assert rounded(hourly_profile.hourly_profile_sql(geo, window)) == base
     assert rounded(hourly_profile.hourly_profile(geo, window, write_rows=False)) == base
-    sampled = hourly_profile.hourly_profile_sampled(geo, window).drop("sampled")
-    assert rounded(sampled) == base
+    sampled = hourly_profile.hourly_profile_sampled(geo, window)
+    # So few trips an hour that the sample holds all.
+    assert rounded(sampled.drop("sampled", "rank_error")) == base
     sketch = hourly_profile.hourly_profile_approx(geo, window, accuracy=1_000_000)
     assert rounded(sketch, 6) == rounded(hourly_profile.hourly_profile(geo, window), 6)
 

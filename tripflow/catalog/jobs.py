@@ -19,6 +19,7 @@ from tripflow.catalog.inputs import (
 from tripflow.catalog.registry import register, rounded
 from tripflow.catalog.views import Inputs
 from tripflow.functions.geo import haversine_arrow_udf, haversine_udf
+from tripflow.operators.filters import prune_to_local
 from tripflow.params import TripWindow
 from tripflow.plans import best_days as q2
 from tripflow.plans import hourly_profile as q1
@@ -115,15 +116,6 @@ def _q1_approx(t: Inputs):
     return _profile(checked.select("pickup_hour", "trips", "avg_duration_min", "within_bound"))
 
 
-@register(
-    "q1_hourly_profile_sampled",
-    f"SELECT pickup_hour, trips, avg_duration_min, trips AS sampled, p90_km FROM ({_PROFILE})",
-    _GEO,
-)
-def _q1_sampled(t: Inputs):
-    return _profile(q1.hourly_profile_sampled(t["trips_geo"], W))
-
-
 @register("q1_hourly_profile_lines", _PROFILE, _GEO)
 def _q1_lines(t: Inputs):
     return _profile(q1.hourly_profile(geo_from_lines(t), W))
@@ -254,7 +246,18 @@ def _q4_sql_csv(t: Inputs):
     _ZONE,
 )
 def _q4_zoned(t: Inputs):
-    """Days and hours of a named zone: from a layout written for it."""
+    """Days and hours of a named zone, from the one layout in UTC."""
+    local = replace(W, zone="America/New_York")
+    return _card(card_use(prune_to_local(layout_by_day_hour(t), local), t["zones"], local))
+
+
+@register(
+    "q4_card_use_new_york_layout",
+    _CARD.replace("(pickup_ts)", "(timezone('America/New_York', timezone('UTC', pickup_ts)))"),
+    _ZONE,
+)
+def _q4_zone_layout(t: Inputs):
+    """The same from a layout written for that zone."""
     local = replace(W, zone="America/New_York")
     return _card(card_use(layout_by_day_hour(t, local.zone), t["zones"], local))
 
@@ -303,6 +306,17 @@ def _q5_unpruned(t: Inputs):
     return zone_imbalance(t["trips_zone"], t["zones"], W)
 
 
+@register(
+    "q5_imbalance_kathmandu",
+    _IMBALANCE.replace("(pickup_ts)", "(timezone('Asia/Kathmandu', timezone('UTC', pickup_ts)))"),
+    _ZONE,
+)
+def _q5_zoned(t: Inputs):
+    """A zone that is 5 hours and 45 minutes ahead, from the same layout in UTC."""
+    local = replace(W, zone="Asia/Kathmandu")
+    return zone_imbalance(prune_to_local(layout_by_day_hour(t), local), t["zones"], local)
+
+
 @register("join_strategy_broadcast", _IMBALANCE, _ZONE)
 def _q5_broadcast(t: Inputs):
     return zone_imbalance_merged(layout_by_day_hour(t), t["zones"], W, strategy="broadcast")

@@ -11,7 +11,7 @@ from tripflow.catalog.views import Inputs
 from tripflow.functions.geo import KM_DECIMALS, KM_ORDINAL_BITS
 from tripflow.operators import aggregates, joins, ranking, sampling, selection
 from tripflow.params import TripWindow
-from tripflow.plans.hourly_profile import p90_by_hour, profile_rows
+from tripflow.plans.hourly_profile import profile_rows
 from tripflow.sources.staging import settle
 
 _GEO, _ZONE, _BOTH = ("trips_geo",), ("trips_zone",), ("trips_zone", "zones")
@@ -256,19 +256,6 @@ def _two_level_mean(t: Inputs):
     return rounded(df, mean=6)
 
 
-@register(
-    "p90_bounded_sample",
-    f"""SELECT CAST(hour(pickup_ts) AS INT) AS pickup_hour, count(*) AS sampled,
-               quantile_disc(round({KM_SQL}, 6), 0.9) AS p90_km
-        FROM trips_geo WHERE {SECONDS_SQL} > 0 AND {NON_ZERO_SQL} AND {BOUNDS_SQL} GROUP BY 1""",
-    _GEO,
-)
-def _p90_bounded(t: Inputs):
-    """Bounded memory without a sample: rank selection over all rows."""
-    rows = profile_rows(t["trips_geo"], ALL_HOURS).select("pickup_hour", "km")
-    return p90_by_hour(settle(rows, "profile_rows"))
-
-
 def _p90_km(rows):
     return selection.nearest_rank(
         rows, ["pickup_hour"], "km", 0.9, KM_DECIMALS, KM_ORDINAL_BITS, few_keys=True, name="p90_km"

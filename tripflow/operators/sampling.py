@@ -18,6 +18,12 @@ def shared_hash(key: Column) -> Column:
     return F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
 
 
+def seeded_hash(key: Column, seed: int = SAMPLE_SEED) -> Column:
+    """A long from 0 to 2^60 - 1 for a key and a seed, by MD5, which other SQL engines can compute too."""
+    text = F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary")
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def hash_sample(df: DataFrame, key: Column, one_in: int) -> DataFrame:
     """A repeatable sample of about one row in ``one_in``, by hash of a key alone."""
     return df.where(shared_hash(key) % one_in == 0)
