@@ -119,6 +119,17 @@ def by_date(t: Inputs, dates: list[str] | None = None) -> str:
     )
 
 
+def calendar(t: Inputs) -> DataFrame:
+    """(pickup_date, weekday) of all days from the first to the last trip; Monday is 1."""
+
+    def write(out: str) -> None:
+        ends = t["trips_zone"].agg(F.min("pickup_ts").alias("a"), F.max("pickup_ts").alias("b"))
+        days = ends.select(F.explode(F.sequence(F.to_date("a"), F.to_date("b"))).alias("pickup_date"))
+        days.withColumn("weekday", F.weekday("pickup_date") + 1).write.parquet(out)
+
+    return t.spark.read.parquet(written_once(t.spark, "calendar", t.sf_dir, write))
+
+
 def layout_by_day_hour(t: Inputs, zone: str | None = None) -> DataFrame:
     return to_zone_trips(t.spark.read.parquet(by_day_hour(t, zone)))
 

@@ -85,6 +85,30 @@ def _text_lines(t: Inputs):
     return df.withColumns({name: normalise_iso(F.col(name)) for name in STAMPS})
 
 
+@register(
+    "text_line_outcomes",
+    """WITH lines AS (
+         SELECT CASE WHEN trip_id % 13 = 0 THEN 'too few fields' WHEN trip_id % 17 = 0 THEN 'unreadable: trip_distance'
+                ELSE 'kept' END AS outcome FROM zone_base
+         UNION ALL SELECT 'header' FROM zone_base WHERE trip_id % 1000 = 0)
+       SELECT outcome, count(*) AS lines FROM lines GROUP BY 1""",
+    ("zone_base",),
+)
+def _line_outcomes(t: Inputs):
+    """All lines by what became of them: rows kept, and lines rejected with their reason."""
+    required = ["VendorID", *STAMPS, "trip_distance", "fare_amount", "tip_amount"]
+    kept, rejected = readers.split_text_lines(t.spark.read.text(trip_lines(t)), ZONE_FILE_SCHEMA, required)
+    outcomes = kept.select(F.lit("kept").alias("outcome")).unionByName(rejected.select(F.col("reason").alias("outcome")))
+    return outcomes.groupBy("outcome").agg(F.count("*").alias("lines"))
+
+
+@register("csv_remembered_schema", "SELECT * FROM geo_file", ("geo_file",))
+def _csv_remembered(t: Inputs):
+    """Types inferred in one pass by the first read, and kept beside the file for this one."""
+    readers.read_csv_remembered(t.spark, geo_csv(t))
+    return readers.read_csv_remembered(t.spark, geo_csv(t))
+
+
 @register(
     "tolerant_cast",
     """SELECT trip_id, CASE WHEN trip_id % 4 = 1 THEN CAST(trip_id AS INT) END AS as_int,

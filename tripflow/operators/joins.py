@@ -10,7 +10,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_MAX_ROWS = 200_000
@@ -62,6 +62,16 @@ def lookup(
     return fact.join(apply_strategy(side, strategy), fact_key, how)
 
 
+def on_calendar(trips: DataFrame, calendar: DataFrame, wanted: Column, day: str = "pickup_date") -> DataFrame:
+    """Trips of the days that the calendar's condition picks, with the calendar's columns.
+
+    ``trips`` are laid out by ``day``. The condition is on the calendar alone, so which folders are wanted
+    is known only when the query runs: Spark evaluates the calendar first and opens those folders
+    (dynamic partition pruning). A calendar has a row a day; it is broadcast after a check of its size.
+    """
+    return trips.join(broadcast_if_small(calendar.where(wanted)), day)
+
+
 def full_outer_merge(
     left: DataFrame, right: DataFrame, keys: list[str], counts: list[str]
 ) -> DataFrame:

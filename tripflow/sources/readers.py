@@ -1,10 +1,26 @@
-"""Scans: Parquet, CSV under four schema regimes, text lines; schema report and preview."""
+"""Scans: Parquet, CSV under five schema regimes, text lines; schema report and preview."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, IntegralType, StringType, StructField, StructType
+from pyspark.sql.types import (
+    BooleanType,
+    DataType,
+    DateType,
+    DoubleType,
+    IntegerType,
+    IntegralType,
+    LongType,
+    StringType,
+    StructField,
+    StructType,
+    TimestampNTZType,
+)
+
+from tripflow.sources.staging import new_path
 
 
 def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -37,6 +53,61 @@ def read_csv_inferred(spark: SparkSession, path: str, **options: str) -> DataFra
     )
 
 
+_INTEGER, _NUMBER = r"^\s*[+-]?\d+\s*$", r"^\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*$"
+_DATE = r"^\d{4}-\d{2}-\d{2}$"
+_TIME = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?$"
+#: What a value can be, with its form: casts alone accept more, such as "1" for a date.
+_KINDS = (
+    (IntegerType(), _INTEGER), (LongType(), _INTEGER), (DoubleType(), _NUMBER), (DateType(), _DATE),
+    (TimestampNTZType(), _TIME), (BooleanType(), r"^(?i:true|false)$"),
+)
+#: A column's type by the kinds of its values, as bits in the order above: the first that covers them.
+_TYPES = (
+    (0b1, IntegerType()), (0b11, LongType()), (0b111, DoubleType()), (0b1000, DateType()),
+    (0b11000, TimestampNTZType()), (0b100000, BooleanType()),
+)
+
+
+def _kind(value: Column) -> Column:
+    """The bit of the narrowest kind that a value is of; that of text if of none."""
+    found = F.when(value.isNull(), None)
+    for i, (kind, form) in enumerate(_KINDS):
+        found = found.when(value.rlike(form) & value.try_cast(kind).isNotNull(), 1 << i)
+    return found.otherwise(1 << len(_KINDS))
+
+
+def infer_types(texts: DataFrame) -> StructType:
+    """The narrowest type of every text column, from all rows in one pass.
+
+    The kinds that a column's values are of are a set, and sets of any split of the rows merge by union:
+    tasks send one row of bits. Whole numbers widen to longs and doubles, dates to times; any other
+    mixture is text, and so is a column without values. Dates and times are in ISO form.
+    """
+    merged = [F.bit_or(_kind(F.col(f"`{name}`"))).alias(str(i)) for i, name in enumerate(texts.columns)]
+    found = texts.agg(*merged).first()
+
+    def resolved(bits: int | None) -> DataType:
+        return next((kind for cover, kind in _TYPES if bits and not bits & ~cover), StringType())
+
+    return StructType([StructField(name, resolved(found[i])) for i, name in enumerate(texts.columns)])
+
+
+def read_csv_remembered(spark: SparkSession, path: str) -> DataFrame:
+    """CSV with header under types that are inferred once and kept beside it, in ``<path>.schema``.
+
+    The first read looks at all rows in one pass; every later one, of any session, finds the types there
+    and reads nothing but what it selects. Remove the file to infer anew.
+    """
+    kept = f"{path.rstrip('/')}.schema"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(kept)
+    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        schema = StructType.fromJson(json.loads("".join(r.value for r in spark.read.text(kept, wholetext=True).collect())))
+    else:
+        schema = infer_types(read_csv_text(spark, path))
+        spark.createDataFrame([(schema.json(),)], "value string").coalesce(1).write.text(kept)
+    return read_csv_typed(spark, path, schema)
+
+
 def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
     """CSV with header, every column as text, to be cast afterwards with ``late_cast``."""
     return spark.read.option("header", "true").csv(path)
@@ -61,17 +132,58 @@ def parse_text_lines(
     Header lines, recognised by equality with ``header`` (the field names, unless given), go as
     well, also those in the middle that joined files bring along.
     """
+    checked = check_text_lines(lines, schema, required, header)
+    return checked.where("reason IS NULL").select("row.*")
+
+
+def check_text_lines(
+    lines: DataFrame,
+    schema: StructType,
+    required: list[str] | None = None,
+    header: str | None = None,
+) -> DataFrame:
+    """(value, row, reason) of every line: the typed row and a null, or why the line is none.
+
+    The reasons are ``header``, ``too few fields`` and ``unreadable:`` with the required fields that
+    are empty or don't parse. See ``parse_text_lines``.
+    """
     header = ",".join(schema.fieldNames()) if header is None else header
     texts = StructType([StructField(name, StringType()) for name in schema.fieldNames()])
     fields = F.from_csv(F.col("value"), texts.toDDL(), {"mode": "PERMISSIVE"})
     unquoted = F.regexp_replace(F.col("value"), '"[^"]*"', "")
     enough = F.size(F.split(unquoted, ",", -1)) >= len(schema)
-    return (
-        lines.where((F.col("value") != header) & enough)
-        .select(fields.alias("_line"))
-        .select([_typed(F.col(f"_line.{f.name}"), f.dataType).alias(f.name) for f in schema])
-        .dropna(subset=required or schema.fieldNames())
+    typed = F.struct(*[_typed(F.col(f"_line.{f.name}"), f.dataType).alias(f.name) for f in schema])
+    parsed = lines.select("value", fields.alias("_line")).select("value", typed.alias("row"))
+    unread = F.array_compact(F.array(*[
+        F.when(F.col("row").getField(name).isNull(), F.lit(name)) for name in required or schema.fieldNames()
+    ]))
+    reason = (
+        F.when(F.col("value") == header, "header")
+        .when(~enough, "too few fields")
+        .when(F.size(unread) > 0, F.concat(F.lit("unreadable: "), F.array_join(unread, " ")))
+    )
+    return parsed.select("value", "row", reason.alias("reason"))
+
+
+def split_text_lines(
+    lines: DataFrame,
+    schema: StructType,
+    required: list[str] | None = None,
+    header: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Typed rows, and (value, reason) of all other lines, both from one pass over the lines.
+
+    The pass writes every line to one of two folders of the shared folder, which the frames then read.
+    """
+    checked = check_text_lines(lines, schema, required, header)
+    bad = F.col("reason").isNotNull()
+    out = new_path(lines.sparkSession, "lines")
+    both = checked.select(
+        F.when(bad, F.col("value")).alias("value"), F.when(~bad, F.col("row")).alias("row"), "reason", bad.alias("rejected")
     )
+    both.write.partitionBy("rejected").parquet(out)
+    read = lines.sparkSession.read.schema(both.schema).parquet(out)
+    return read.where("NOT rejected").select("row.*"), read.where("rejected").select("value", "reason")
 
 
 def _typed(text: Column, kind: DataType) -> Column:

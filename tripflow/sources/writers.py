@@ -7,7 +7,7 @@ is split over many tasks. Without adaptive execution a salted repartition stands
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -15,6 +15,7 @@ from tripflow.functions.times import ISO_MICROS_PATTERN, ISO_MILLIS_PATTERN, nor
 from tripflow.operators.filters import on_dates
 from tripflow.schemas import ZONE_FILE_SCHEMA
 from tripflow.sources.readers import read_csv_typed
+from tripflow.sources.staging import settle
 
 DAY_HOUR = ("pickup_day", "pickup_hour")
 #: Tasks that share a folder where adaptive execution, which would decide by size, is off.
@@ -101,6 +102,42 @@ def write_by_date(
     _write_partitioned(dated, out, ("pickup_date",), tasks)
 
 
+def load_by_date(df: DataFrame, out: str, load: str, ts: str = "pickup_ts") -> None:
+    """Write the dates that are in ``df`` to the layout ``pickup_date=``, each replacing what it had.
+
+    For daily loads, reruns and late data: folders of other dates are not touched. When the files are in
+    place, a list of them with their rows is appended to ``<out>_loads`` under the name ``load``; a load
+    that fails in between leaves the list as it was, and ``loaded`` doesn't read its files.
+    """
+    spark = df.sparkSession
+    written = settle(with_date(df, ts), "load")
+    dates = [r[0] for r in written.select("pickup_date").distinct().collect()]
+    if spark.conf.get("spark.sql.adaptive.enabled") == "true":
+        spread = written.hint("rebalance", "pickup_date")
+    else:
+        spread = written.repartition("pickup_date", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
+    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("pickup_date").parquet(out)
+    files = (
+        spark.read.schema(written.schema).parquet(out).where(F.col("pickup_date").isin(dates))
+        .groupBy("pickup_date", F.input_file_name().alias("file")).agg(F.count("*").alias("rows"))
+    )
+    listed = files.select(F.lit(load).alias("load"), F.current_timestamp().alias("at"), "*")
+    listed.coalesce(1).write.mode("append").parquet(f"{out.rstrip('/')}_loads")
+
+
+def finished_files(spark: SparkSession, out: str) -> DataFrame:
+    """(load, at, pickup_date, file, rows) of the last finished load of every date."""
+    last = Window.partitionBy("pickup_date").orderBy(F.desc("at"), F.desc("load"))
+    listed = spark.read.parquet(f"{out.rstrip('/')}_loads")
+    return listed.withColumn("_place", F.dense_rank().over(last)).where(F.col("_place") == 1).drop("_place")
+
+
+def loaded(spark: SparkSession, out: str) -> DataFrame:
+    """The rows of all finished loads: of the files that the list names, no others."""
+    files = [r.file for r in finished_files(spark, out).select("file").collect()]
+    return spark.read.option("basePath", out).parquet(*files)
+
+
 def export_csv(
     df: DataFrame, out: str, pattern: str = ISO_MICROS_PATTERN, single_file: bool = False
 ) -> None:
