@@ -12,6 +12,7 @@ from tripflow.operators.filters import on_dates
 from tripflow.operators.joins import on_calendar
 from tripflow.schemas import GEO_FILE_SCHEMA
 from tripflow.sources.readers import read_csv_typed
+from tripflow.sources.single_file import export_one_csv
 from tripflow.sources.staging import written_once
 from tripflow.sources.writers import csv_to_parquet, export_csv, finished_files, load_by_date, loaded
 
@@ -143,3 +144,14 @@ def _pruned_count(t: Inputs):
     return df.where(
         on_dates(F.col("pickup_date"), DATES) & F.hour("pickup_ts").between(11, 14)
     ).agg(F.count("*").alias("trips"))
+
+
+@register("csv_one_file_roundtrip", "SELECT * FROM geo_file", ("geo_file",))
+def _one_file(t: Inputs):
+    """One file with one header, written by many tasks in the order of pickups, and read back."""
+    order = ["tpep_pickup_datetime", "tpep_dropoff_datetime", "total_amount"]
+    path = written_once(
+        t.spark, "geo_one_file.csv", t.sf_dir, lambda out: export_one_csv(t.spark.read.parquet(_converted(t)), out, order)
+    )
+    df = read_csv_typed(t.spark, path, GEO_FILE_SCHEMA)
+    return df.withColumns({name: normalise_iso(F.col(name)) for name in STAMPS})
