@@ -1,10 +1,10 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Training counts are summed per task in dense arrays and then over tasks by Spark, from all
-training rows. The model is one matrix of log probabilities, languages by buckets, sent to the
-workers once; its size depends on the number of languages and never on the number of documents
-(``MAX_MATRIX_BYTES``: more languages get fewer buckets). Scoring gathers the matrix at the
-buckets of a batch and sums per document in numpy.
+training rows. The model is one matrix of log probabilities, buckets by languages, sent to the
+workers once; it has 256 KB a language and never depends on the number of documents. Labels are
+names of languages, so there are thousands at most. Scoring takes many texts at a time: the buckets
+of all of them gather rows of the matrix, which are summed by text.
 """
 
 from __future__ import annotations
@@ -15,17 +15,20 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from tripflow.llm.common import restore
 
 BITS = 16
 SIZES = (1, 2, 3)
 ALPHA = 0.5
-#: Size up to which the matrix is sent; with more languages the number of buckets is halved.
-MAX_MATRIX_BYTES = 256 << 20
 #: Code points worked on at once.
 PIECE = 1 << 20
+#: Numbers of the matrix gathered at once.
+GATHERED = 1 << 20
+#: Posterior probability from which on a stage keeps a document: its likeliest language is then more
+#: probable than all others together.
+LEAST = 0.5
 UNKNOWN = "und"
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _state: dict[str, np.ndarray] = {}
@@ -76,33 +79,59 @@ def _count(batches: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.DataFrame]
 
 
 class Model:
-    """Languages in code-point order, their log probabilities by bucket, and their log priors."""
+    """Languages in code-point order, the log probabilities of every bucket in each, and their log priors."""
 
     def __init__(self, langs: list[str], counts: np.ndarray, documents: np.ndarray, alpha: float = ALPHA):
         self.langs, self.bits = langs, max(counts.shape[1].bit_length() - 1, 0)
         smooth = counts + alpha
-        self.matrix = np.log(smooth / smooth.sum(axis=1, keepdims=True)).astype(np.float32)
+        self.matrix = np.ascontiguousarray(np.log(smooth / smooth.sum(axis=1, keepdims=True)).astype(np.float32).T)
         self.prior = np.log(np.maximum(documents, 1) / max(documents.sum(), 1))
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The likeliest language (of equals the first) and its posterior probability."""
-        codes = normal(text)
-        if len(codes) < 2 or not self.langs:
-            return UNKNOWN, 0.0
-        score = self.prior.copy()
-        for piece in buckets(codes, self.bits):
-            for k, row in enumerate(self.matrix):
-                score[k] += row[piece].sum(dtype=np.float64)
-        best = int(score.argmax())
-        return self.langs[best], float(1.0 / np.exp(score - score[best]).sum())
+    def scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(log joint probability of every text and language, which texts have a letter)."""
+        score = np.tile(self.prior, (len(texts), 1))
+        lettered = np.zeros(len(texts), dtype=bool)
+        held, owners, size = [], [], 0
+
+        def add() -> None:
+            grams, owner = np.concatenate(held), np.concatenate(owners)
+            step = max(1, GATHERED // max(1, len(self.langs)))
+            for at in range(0, len(grams), step):
+                part = owner[at : at + step]
+                first = np.flatnonzero(np.diff(part, prepend=-1))
+                rows = self.matrix[grams[at : at + step]]
+                score[part[first]] += np.add.reduceat(rows, first, axis=0, dtype=np.float64)
+
+        for i, text in enumerate(texts):
+            codes = normal(text)
+            lettered[i] = len(codes) > 1
+            for piece in buckets(codes, self.bits) if lettered[i] and self.langs else ():
+                held.append(piece)
+                owners.append(np.full(len(piece), i))
+                size += len(piece)
+                if size >= PIECE:
+                    add()
+                    held, owners, size = [], [], 0
+        if held:
+            add()
+        return score, lettered
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """The likeliest language of every text (of equals the first) and its posterior probability;
+        ``und`` and 0 without a letter, or if no language was learned."""
+        score, lettered = self.scores(texts)
+        if not self.langs:
+            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+        best = score.argmax(axis=1)
+        top = 1.0 / np.exp(score - score.max(axis=1, keepdims=True)).sum(axis=1)
+        names = [self.langs[k] if known else UNKNOWN for k, known in zip(best.tolist(), lettered, strict=True)]
+        return names, np.where(lettered, top, 0.0)
 
 
 def train(rows: DataFrame, text: str = "text", lang: str = "lang", bits: int = BITS) -> Model:
     """Fit on all of ``rows`` with a non-null ``lang``; a null text counts as empty."""
     known = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null")
     languages = [r[0] for r in known.groupBy("lang").count().select("lang").collect()]
-    while bits > 8 and (len(languages) << bits) * 4 > MAX_MATRIX_BYTES:
-        bits -= 1
     counted = known.mapInPandas(lambda batches: _count(batches, bits), "lang string, bucket long, n long")
     table = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(languages)
@@ -123,17 +152,27 @@ def predict_column(docs: DataFrame, model: Model, text: str = "text") -> Column:
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = restore(Model, shared.value)
         for batch in batches:
-            yield pd.DataFrame([known.predict(t) for t in batch], columns=_RESULT.names)
+            langs, scores = known.predict(batch.tolist())
+            yield pd.DataFrame({"lang": langs, "score": scores}, index=batch.index)
 
     return predict(F.col(text))
 
 
-def keep_identified(docs: DataFrame, model: Model, langs: list[str] | None = None, least: float = 0.0,
+@F.pandas_udf(BooleanType())
+def _has_letter(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in batches:
+        yield pd.Series([len(normal(t)) > 1 for t in batch], index=batch.index)
+
+
+def keep_identified(docs: DataFrame, model: Model, langs: list[str] | None = None, least: float = LEAST,
                     text: str = "text") -> DataFrame:
     """The rows with an identified language, of those in ``langs`` if given, scored ``least`` or more.
 
-    Null texts and texts without a letter are rejected; all columns stay as they are.
+    Null texts and texts without a letter are rejected; all columns stay as they are. A model that has
+    learned no language can reject no text that has letters: then all of those stay.
     """
+    if not model.langs:
+        return docs.where(_has_letter(F.col(text)))
     found = predict_column(docs, model, text)
     keep = (found.getField("lang") != UNKNOWN) & (found.getField("score") >= least)
     if langs is not None:
