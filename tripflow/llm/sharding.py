@@ -27,6 +27,8 @@ SHARDS = 8
 BLOCK = 20_000
 #: Copies of a row that are written out together.
 COPIES = 10_000
+#: Names of the result.
+ADDED = ("number", "shard", "slot")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -95,12 +97,16 @@ def numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
 
     Rows are dealt to blocks by a hash of their keys and numbered inside a block by the keys'
     order. Equal rows are counted first and numbered as one, then written out again, so that a
-    row repeated very often is no large group.
+    row repeated very often is no large group. Keys named like a result of ``shard`` tell rows apart too,
+    but don't come out.
     """
     n = rows.count()
     blocks = n // BLOCK + 1
-    counted = rows.groupBy(*keys).agg(F.count("*").alias("times")).withColumn(
-        "block", F.pmod(F.xxhash64(*keys), F.lit(blocks))
+    # Names of our own inside, as keys may have any.
+    inner = [f"key_{i}" for i in range(len(keys))]
+    named = rows.select(*[F.col(k).alias(i) for k, i in zip(keys, inner, strict=True)])
+    counted = named.groupBy(*inner).agg(F.count("*").alias("times")).withColumn(
+        "block", F.pmod(F.xxhash64(*inner), F.lit(blocks))
     )
     counted = settle(counted, "counted")
     sizes = counted.groupBy("block").agg(F.sum("times").alias("rows"))
@@ -112,10 +118,10 @@ def numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
         ),
         "starts",
     )
-    inside = Window.partitionBy("block").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("block").orderBy(*inner).rowsBetween(Window.unboundedPreceding, -1)
     first = counted.withColumn("inside", F.coalesce(F.sum("times").over(inside), F.lit(0)))
     start = F.col("start") + F.col("inside")
-    runs = settle(first.join(starts, "block").select(*keys, start.alias("number"), "times"), "runs")
+    runs = settle(first.join(starts, "block").select(*inner, start.alias("number"), "times"), "runs")
     # A long run is cut first and its pieces are dealt to tasks, so that none writes all copies.
     ends = F.sequence(F.col("number"), F.col("number") + F.col("times") - 1, F.lit(COPIES).cast("long"))
     left = F.col("last") - F.col("number") + 1
@@ -129,7 +135,8 @@ def numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
     every = F.explode(F.sequence(F.col("number"), F.col("number") + F.col("times") - 1))
     whole = runs.where(F.col("times") <= COPIES).unionByName(pieces)
-    return whole.select(*keys, every.alias("number"))
+    kept = [F.col(i).alias(k) for k, i in zip(keys, inner, strict=True) if k not in ADDED]
+    return whole.select(*kept, every.alias("number"))
 
 
 def _places(n: int, seed: int):
@@ -145,12 +152,13 @@ def shard(rows: DataFrame, keys: list[str], shards: int = SHARDS, seed: int = SE
     """(keys, number, shard, slot) for every row of ``rows``, which should be a written table.
 
     ``keys`` are the columns that tell rows apart; nulls are values like any other. Rows equal in
-    all of them are interchangeable. No rows: no rows.
+    all of them are interchangeable. No rows: no rows. Keys named like a result are left out.
     """
     n = rows.count()
-    place = numbered(rows, keys).withColumn("place", _places(n, seed)(F.col("number")))
-    return place.select(
-        *keys,
+    place = _places(n, seed)(F.col("number"))
+    kept = [k for k in keys if k not in ADDED]
+    return numbered(rows, keys).select(F.struct(*kept).alias("key") if kept else F.lit(None).alias("key"), "number", place.alias("place")).select(
+        *[F.col("key").getField(k).alias(k) for k in kept],
         "number",
         F.pmod("place", F.lit(shards)).cast("int").alias("shard"),
         F.expr(f"place div {shards}").alias("slot"),
