@@ -56,9 +56,10 @@ def test_language_of_odd_rows(odd):
         letters = any(c.isalpha() for c in r.text or "")
         assert (r.p.lang == "und") == (not letters)
         assert 0 <= r.p.score <= 1
-    kept = langid.keep_identified(odd, model)
-    assert kept.count() == sum(any(c.isalpha() for c in t or "") for _, t, *_ in odd_rows())
-    assert langid.keep_identified(odd, langid.train(odd.where("lang = 'none'"))).count() == 0
+    lettered = sum(any(c.isalpha() for c in t or "") for _, t, *_ in odd_rows())
+    assert langid.keep_identified(odd, model, least=0.0).count() == lettered
+    assert langid.keep_identified(odd, model).count() == sum(r.p.score >= langid.LEAST for r in found)
+    assert langid.keep_identified(odd, langid.train(odd.where("lang = 'none'"))).count() == lettered
 
 
 def test_near_duplicates_of_odd_rows(odd):
@@ -110,6 +111,39 @@ def test_shards_of_odd_rows(odd):
     assert sorted((r.shard, r.slot) for r in placed) == sorted((i % 3, i // 3) for i in range(len(odd_rows())))
 
 
+def test_keys_of_any_name(spark, odd):
+    names = ["times", "number", "start", "block", "inside", "key_0", "text", "score", "n_tokens", "slot"]
+    wide = odd.select("doc_id", F.col("text").alias("body"), *[F.col("doc_id").alias(c) for c in names])
+    placed = sharding.shard(wide, ["times", "start", "number", "block", "key_0", "slot"], shards=3)
+    assert placed.columns == ["times", "start", "block", "key_0", "number", "shard", "slot"]
+    assert sorted(r.number for r in placed.collect()) == list(range(len(odd_rows())))
+    assert sharding.shard(wide, ["number"]).columns == ["number", "shard", "slot"]
+    model = kneser_ney.train(wide, text="body")
+    scored = kneser_ney.score(wide, model, ["doc_id", "text", "score", "n_tokens"], text="body")
+    assert scored.columns == ["doc_id", "text", "n_tokens", "n_known", "base_score", "score"]
+    assert all(r.text == r.doc_id and r.score <= 0 for r in scored.collect())
+
+
+def test_rows_with_maps(odd):
+    mapped = odd.withColumn("map", F.create_map(F.lit("a"), F.col("n_chars")))
+    kept = simhash.keep_one(mapped)
+    assert kept.columns == mapped.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id) == [1, 3, 6, 8, 9, 10]
+
+
+@pytest.mark.parametrize("counts", [(10, 5, 20, 40), (0, 0, 0, 0), (5, 0, 1, 1), (1000, 400, 200, 100), (3, 3, 90, 400)])
+def test_discounts_leave_mass(counts):
+    found = kneser_ney.discounts(*counts)
+    assert all(0 < d < k + 1 for k, d in enumerate(found))
+
+
+def test_no_text_is_impossible(spark):
+    """A left word that training saw only in pairs of two and more copies leaves mass for others."""
+    texts = ["a b"] * 2 + ["c d"] * 2 + ["a e"] * 3 + [f"s{i} t{i}" for i in range(10)] + ["u v"] * 4 + ["w x"] * 4 + ["y z"] * 3
+    model = kneser_ney.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    asked = spark.createDataFrame([(1, "a d"), (2, "c b"), (3, "u s1 t1 never seen"), (4, "w")], "doc_id long, text string")
+    assert all(-1000 < r.score < 0 for r in kneser_ney.score(asked, model, ["doc_id"]).collect())
+
+
 def test_scores_of_odd_rows(odd):
     model = kneser_ney.train(odd)
     rows = kneser_ney.score(odd, model, ["doc_id"]).collect()

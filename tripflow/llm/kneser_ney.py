@@ -1,7 +1,7 @@
 """Interpolated modified Kneser-Ney bigram model, counted in Spark, scored over mapped arrays.
 
 Tokens are the words between ASCII white space, A-Z lower-cased, and one end per text, each a
-48-bit number made from its bytes. Three passes:
+64-bit number made from its bytes. Three passes:
 
 1. words: every task sums its tokens and sends them by hash bucket; a bucket's task merges them.
 2. bigrams: likewise, as (left, right, count). A bucket's task merges its bigrams, writes their
@@ -23,6 +23,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ from tripflow.sources.staging import new_path, settle
 BUCKET_TOKENS = 4 << 20
 #: Tokens that a task sums before it sends them.
 HELD_TOKENS = 4 << 20
-#: Tokens, counted as six bytes each, that are scored at once.
+#: Tokens, counted as six bytes of text each, that are scored at once.
 SCORED_TOKENS = 2 << 20
 #: Bytes of text turned into words at once.
 PIECE_BYTES = 1 << 21
@@ -99,7 +100,7 @@ def _words(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_FOLD[data] * powers[: len(data)], out=sums[1:])
     value = (sums[stops] - sums[starts]) * inverse[starts]
-    number = _scramble(value + (stops - starts).astype(np.uint64) * _ODD) >> np.uint64(16)
+    number = _scramble(value + (stops - starts).astype(np.uint64) * _ODD)
     return np.maximum(number, np.uint64(2)), starts
 
 
@@ -270,10 +271,18 @@ def _files(rows: list[tuple[int, int, bytes | None, str | None, list[int] | None
     })
 
 
+def _narrow(column: np.ndarray) -> np.ndarray:
+    """The column in as few bytes a value as its largest needs."""
+    most = int(column.max(initial=0))
+    return column.astype(next(f"<u{n}" for n in (1, 2, 4, 8) if most < 1 << 8 * n))
+
+
 def _write_arrays(folder: str, name: str, *columns: np.ndarray) -> str:
-    """One file: the number of rows, then the columns one after the other. Fresh for each attempt."""
+    """One file: the number of rows, eight bytes for the width of each column, then the columns one
+    after the other. Fresh for each attempt."""
     path = f"{folder}/{name}-{uuid.uuid4().hex}.bin"
-    write_file(path, [len(columns[0]).to_bytes(8, "little"), *(c.tobytes() for c in columns)])
+    widths = [c.itemsize.to_bytes(8, "little") for c in columns]
+    write_file(path, [len(columns[0]).to_bytes(8, "little"), *widths, *(c.tobytes() for c in columns)])
     return path
 
 
@@ -296,7 +305,7 @@ def _merge_bigrams(folder: str, buckets: int) -> Callable:
         pairs, left, right, counts = pairs[order], left[order], right[order], counts[order]
         first = np.flatnonzero(np.diff(pairs, prepend=~pairs[:1]))
         pairs, left, right, counts = pairs[first], left[first], right[first], np.add.reduceat(counts, first)
-        path = _write_arrays(folder, f"bigrams-{bucket}", pairs, counts.astype(np.uint32))
+        path = _write_arrays(folder, f"bigrams-{bucket}", pairs, _narrow(counts))
         rows = [(_FILE, bucket, None, path, _of_counts(counts))]
         ones = [(counts == 1).astype(np.uint64), (counts == 2).astype(np.uint64), (counts > 2).astype(np.uint64)]
         lefts = _summed(left, *ones)
@@ -323,19 +332,24 @@ def _merge_vocabulary(folder: str) -> Callable:
                 columns.append(wide)
         words, *sums = _summed(np.concatenate(keys), *np.concatenate(columns, axis=1))
         count, one, two, more, follows = sums
-        small = [c.astype(np.uint32) for c in (one, two, more, follows)]
-        path = _write_arrays(folder, f"words-{bucket}", words, count, *small)
+        path = _write_arrays(folder, f"words-{bucket}", words, *map(_narrow, (count, one, two, more, follows)))
         return _files([(_WORD, bucket, None, path, [*_of_counts(follows), int(follows.sum()), int((follows > 2).sum())])])
 
     return run
 
 
 def discounts(ones: int, twos: int, threes: int, fours: int) -> tuple[float, float, float]:
-    """Modified Kneser-Ney discounts; a half for counts of which too few are seen to tell."""
+    """Modified Kneser-Ney discounts, each above 0 and below what it is taken from.
+
+    A half each where the counts of counts don't give such: where few words are seen once and many
+    often. A discount of 0 would leave no mass for what has not been seen, and probabilities of 0.
+    """
     n = (ones, twos, threes, fours)
-    share = ones / (ones + 2 * twos) if ones and twos else 0.0
-    found = [k + 1 - (k + 2) * share * n[k + 1] / n[k] if n[k] and share else 0.5 for k in range(3)]
-    return tuple(min(max(d, 0.0), k + 1.0) for k, d in enumerate(found))
+    if not all(n):
+        return 0.5, 0.5, 0.5
+    share = ones / (ones + 2 * twos)
+    found = tuple(k + 1 - (k + 2) * share * n[k + 1] / n[k] for k in range(3))
+    return found if all(0 < d < k + 1 for k, d in enumerate(found)) else (0.5, 0.5, 0.5)
 
 
 class Model:
@@ -356,8 +370,7 @@ class Model:
 class Scorer:
     """Look-ups in the mapped files of a model."""
 
-    WORDS = (np.uint64, np.uint64, np.uint32, np.uint32, np.uint32, np.uint32)
-    BIGRAMS = (np.uint64, np.uint32)
+    COLUMNS: ClassVar = {"words": 6, "bigrams": 2}
 
     def __init__(self, model: Model):
         self.model, self.open = model, {}
@@ -366,7 +379,7 @@ class Scorer:
     def _map(self, kind: str, bucket: int) -> list[np.ndarray] | None:
         if (kind, bucket) not in self.open:
             path = self.model.files[kind].get(bucket)
-            self.open[kind, bucket] = path and _mapped(path, getattr(self, kind.upper()))
+            self.open[kind, bucket] = path and _mapped(path, self.COLUMNS[kind])
         return self.open[kind, bucket]
 
     def _look_up(self, kind: str, keys: np.ndarray, buckets: np.ndarray, columns: int) -> np.ndarray:
@@ -409,7 +422,7 @@ class Scorer:
         return sizes, total((count[right_at] > 0).astype(np.int64)), total(base[right_at]), total(np.log10(p)[again])
 
 
-def _mapped(uri: str, kinds: tuple) -> list[np.ndarray]:
+def _mapped(uri: str, number: int) -> list[np.ndarray]:
     """The columns of an array file, mapped into memory."""
     system, path = store(uri)
     own = not isinstance(system, fs.LocalFileSystem)
@@ -422,10 +435,11 @@ def _mapped(uri: str, kinds: tuple) -> list[np.ndarray]:
     whole = np.memmap(path, dtype=np.uint8, mode="r")
     if own:
         os.unlink(path)  # the mapping holds what it needs
-    n, at, columns = int.from_bytes(whole[:8].tobytes(), "little"), 8, []
-    for kind in kinds:
-        stop = at + n * np.dtype(kind).itemsize
-        columns.append(whole[at:stop].view(kind))
+    n, *widths = np.frombuffer(whole[: 8 + 8 * number].tobytes(), dtype="<u8").tolist()
+    at, columns = 8 + 8 * number, []
+    for width in widths:
+        stop = at + n * width
+        columns.append(np.frombuffer(whole, dtype=f"<u{width}", count=n, offset=at))
         at = stop
     return columns
 
@@ -438,18 +452,21 @@ def train(texts: DataFrame, text: str = "text", bucket_tokens: int = BUCKET_TOKE
     # A word and its space take two bytes or more, six as a rule.
     buckets = int(((size[1] or 0) / 6 + size[0]) // bucket_tokens) + 1
     folder = new_path(spark, "model")
-    words = settle(
-        column.mapInArrow(_send_words(buckets), _SENT).groupBy("bucket").applyInArrow(_merge_words, _WORDS), "words"
-    )
+
+    def by_bucket(sent: DataFrame):
+        # Tasks follow the buckets, so that none grows with the corpus.
+        return sent.repartition(2 * buckets, "bucket").groupBy("bucket")
+
+    words = settle(by_bucket(column.mapInArrow(_send_words(buckets), _SENT)).applyInArrow(_merge_words, _WORDS), "words")
     parts = words.select("tokens", "words", "top", "top_count").collect()
     n = sum(r.tokens for r in parts)
     heavy = [t for r in parts for t, c in zip(r.top, r.top_count, strict=True) if c > n / buckets]
     routes = Routes(buckets, np.array([*heavy, int(BEGIN)], dtype=np.uint64))
-    sent = column.mapInArrow(_send_bigrams(routes), _SENT).groupBy("bucket")
+    sent = by_bucket(column.mapInArrow(_send_bigrams(routes), _SENT))
     bigrams = settle(sent.applyInArrow(_merge_bigrams(folder, buckets), _FILES), "bigrams")
     own = words.select(F.lit(_WORD).alias("kind"), "bucket", "blob")
     met = own.unionByName(bigrams.where("blob is not null").select("kind", "bucket", "blob"))
-    vocabulary = settle(met.groupBy("bucket").applyInArrow(_merge_vocabulary(folder), _FILES), "vocabulary")
+    vocabulary = settle(by_bucket(met).applyInArrow(_merge_vocabulary(folder), _FILES), "vocabulary")
     listed = {}
     for name, rows in (("bigrams", bigrams), ("words", vocabulary)):
         listed[name] = rows.where("path is not null").select("bucket", "path", "sums").collect()
@@ -466,15 +483,19 @@ def score(docs: DataFrame, model: Model, keys: list[str], text: str = "text") ->
 
     ``score`` is the model's log10 probability of the text with its end, ``base_score`` that of
     add-one smoothed single words; perplexity is 10 ** (-score / n_tokens). A null or empty text
-    is just an end. Without training texts every token has probability 1 / (V + 1) = 1.
+    is just an end. Without training texts every token has probability 1 / (V + 1) = 1. Keys named like
+    a result are left out.
     """
-    rows = docs.select(*keys, F.col(text).alias("text"))
-    state = vars(model)
-    added = "n_tokens long, n_known long, base_score double, score double"
+    added = {"n_tokens": "long", "n_known": "long", "base_score": "double", "score": "double"}
+    keys = [k for k in keys if k not in added]
+    inner = [f"key_{i}" for i in range(len(keys))]
+    rows = docs.select(*[F.col(k).alias(i) for k, i in zip(keys, inner, strict=True)], F.col(text).alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keys).schema)
+    schema = ", ".join([*([kinds] if kinds else []), *(f"{name} {kind}" for name, kind in added.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(restore(Model, state))
+        scorer = Scorer(restore(Model, shared.value))
         for batch in batches:
             # As many texts at once as hold about SCORED_TOKENS tokens.
             sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
@@ -485,9 +506,8 @@ def score(docs: DataFrame, model: Model, keys: list[str], text: str = "text") ->
                 part = batch.slice(at, stop - at)
                 found = scorer.score(*tokens(part.column("text")))
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(k) for k in keys), *(pa.array(c) for c in found)],
-                    names=[*keys, "n_tokens", "n_known", "base_score", "score"],
+                    [*(part.column(k) for k in inner), *(pa.array(c) for c in found)], names=[*keys, *added]
                 )
                 at = stop
 
-    return rows.mapInArrow(run, f"{kinds}, {added}")
+    return rows.mapInArrow(run, schema)
