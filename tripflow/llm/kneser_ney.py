@@ -454,14 +454,14 @@ def train(texts: DataFrame, text: str = "text", bucket_tokens: int = BUCKET_TOKE
     folder = new_path(spark, "model")
 
     def by_bucket(sent: DataFrame):
-        # Tasks follow the buckets, so that none grows with the corpus.
-        return sent.repartition(2 * buckets, "bucket").groupBy("bucket")
+        # A task a bucket, so that none grows with the corpus.
+        return sent.repartitionById(buckets, F.col("bucket")).groupBy("bucket")
 
     words = settle(by_bucket(column.mapInArrow(_send_words(buckets), _SENT)).applyInArrow(_merge_words, _WORDS), "words")
     parts = words.select("tokens", "words", "top", "top_count").collect()
     n = sum(r.tokens for r in parts)
     heavy = [t for r in parts for t, c in zip(r.top, r.top_count, strict=True) if c > n / buckets]
-    routes = Routes(buckets, np.array([*heavy, int(BEGIN)], dtype=np.uint64))
+    routes = Routes(buckets, np.array([*heavy, int(BEGIN)], dtype=np.int64).view(np.uint64))
     sent = by_bucket(column.mapInArrow(_send_bigrams(routes), _SENT))
     bigrams = settle(sent.applyInArrow(_merge_bigrams(folder, buckets), _FILES), "bigrams")
     own = words.select(F.lit(_WORD).alias("kind"), "bucket", "blob")

@@ -315,10 +315,11 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     pages = max(1, round(size / WORD_BYTES / PAGE_WINDOWS))
     sent = rows.where(F.col("text").isNotNull()).mapInArrow(_send(pages, width), _SENT)
-    # As many tasks as pages, so that none grows with the text. Written, so that the shuffled windows
-    # are gone before texts are joined.
-    marks = settle(sent.repartition(pages, "page").groupBy("page").applyInArrow(_meet(pages), _MARKS), "marks")
-    return marks.repartition(pages, "slice").groupBy("slice").applyInArrow(_merge(width), _SPANS)
+    # A task a page, so that none grows with the text. Written, so that the shuffled windows are gone
+    # before texts are joined.
+    paged = sent.repartitionById(pages, F.col("page")).groupBy("page")
+    marks = settle(paged.applyInArrow(_meet(pages), _MARKS), "marks")
+    return marks.repartitionById(pages, F.col("slice")).groupBy("slice").applyInArrow(_merge(width), _SPANS)
 
 
 def _key(key: str) -> Column:

@@ -269,10 +269,10 @@ def build_index(valid: DataFrame, k: int, shard: int = SHARD) -> DataFrame:
     before = F.sum("shards").over(Window.orderBy("dim", "band").rowsBetween(Window.unboundedPreceding, -1))
     sizes = settle(sizes.withColumn("before", F.coalesce(before, F.lit(0)).cast("int")), "bands")
     within = F.pmod(F.xxhash64("embedding"), F.col("shards")).cast("int")
-    dealt = nodes.join(broadcast_if_small(sizes), ["dim", "band"]).withColumn("number", F.col("before") + within)
+    dealt = nodes.join(broadcast_if_small(sizes), ["dim", "band"]).withColumn("number", (F.col("before") + within).cast("int"))
     total = sizes.agg(F.sum("shards")).first()[0] or 1
-    # By range of the number, with more ranges than numbers, so that every shard has a task of its own.
-    placed = dealt.select("number", "dim", "embedding", "members").repartitionByRange(2 * total, "number")
+    # Every shard has a task of its own.
+    placed = dealt.select("number", "dim", "embedding", "members").repartitionById(total, F.col("number"))
     return settle(placed.groupBy("number").applyInArrow(_build, "number int, dim int, graph binary"), "graphs")
 
 
@@ -295,7 +295,7 @@ def nearest(valid: DataFrame, queries: DataFrame, k: int, shard: int = SHARD, be
     both = everywhere.select("number", "block", "ids", "flat", F.lit(None).cast("binary").alias("graph")).unionByName(
         graphs.select("number", F.lit(-1).alias("block"), "graph"), allowMissingColumns=True
     )
-    placed = both.repartitionByRange(2 * total, "number").sortWithinPartitions("number", "block")
+    placed = both.repartitionById(total, F.col("number")).sortWithinPartitions("number", "block")
     width = max(beam, 2 * (k + 1))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
