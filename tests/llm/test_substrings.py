@@ -77,7 +77,8 @@ def test_words_and_hashes():
     edges = np.cumsum([0, *(len((t or "").encode()) for t in texts.to_pylist())])
     numbers, starts = substrings.word_numbers(data, edges)
     assert len(numbers) == 4 and numbers[1] == numbers[3] and len(set(numbers.tolist())) == 3
-    hashes, text, start = substrings.windows(pa.array(["x y z y z", "y z", "q"]), 2)
+    hashes, checks, text, start = substrings.windows(pa.array(["x y z y z", "y z", "q"]), 2)
+    assert checks[1] == checks[3] == checks[4] and len(set(checks.tolist())) == 3 and checks.max() < 1 << 24
     assert [*zip(text.tolist(), start.tolist(), strict=True)] == [(0, 0), (0, 1), (0, 2), (0, 3), (1, 0)]
     assert hashes[1] == hashes[3] == hashes[4] and len(set(hashes.tolist())) == 3
     for width in (1, 3, 7, 20):
@@ -87,6 +88,20 @@ def test_words_and_hashes():
         assert (substrings.window_hashes(words, width) == substrings._scramble(np.array(by_hand, dtype=np.uint64))).all()
 
 
+def test_equal_hashes_are_checked(spark, monkeypatch):
+    """With hashes of three values only the checks tell windows apart."""
+    plain = substrings.window_hashes
+    monkeypatch.setattr(substrings, "window_hashes", lambda n, w, b=substrings._BASE: plain(n, w, b) % np.uint64(3) if b == substrings._BASE else plain(n, w, b))
+    rng = random.Random(6)
+    rows = [(k, " ".join(rng.choice("abc") for _ in range(rng.randrange(30)))) for k in range(30)]
+    want = [(k, w) for (k, _), w in zip(rows, _plain(rows, 5), strict=True)]
+    keys, texts = (np.array(c) for c in ([k for k, _ in rows], [0] * len(rows)))
+    sent = [*substrings._send(1, 5)(iter([pa.RecordBatch.from_pydict({"key": keys, "text_key": texts, "text": [t for _, t in rows]})]))]
+    merged = substrings._merge(5)(substrings._meet(1)(pa.Table.from_batches(sent)))
+    spans = {k: [*zip(a, b, strict=True)] for k, a, b in zip(*(merged.column(c).to_pylist() for c in ("key", "starts", "stops")), strict=True)}
+    assert [(k, spans.get(k, [])) for k, _ in rows] == [(k, w[1]) for k, w in want]
+
+
 def test_planted_passage(spark):
     """A passage of 60 words in other documents goes from all but the first; all else stays."""
     rng = random.Random(9)

@@ -9,7 +9,7 @@ of a document merge into maximal runs of words.
 Windows travel in pages, which are ranges of the hash, about ``PAGE_WINDOWS`` windows each, so the
 number of pages follows the text and no page grows. A task holds ``HELD_WINDOWS`` windows, sorts
 them and sends for each page a blob with its hashes in order, as differences, and where each window
-starts: about 10 bytes a window, where a row of three columns would take 30. Of windows that are
+starts: about 13 bytes a window, where a row of four columns would take 40. Of windows that are
 equal within what a task holds only the earliest is sent; the others are known to be repeats and are
 marked at once. So a passage that a third of all documents share reaches its pages once for every
 ``HELD_WINDOWS`` windows of the corpus, not once a document.
@@ -17,9 +17,9 @@ marked at once. So a passage that a third of all documents share reaches its pag
 At very large sizes a blob holds few windows (with P pages, ``HELD_WINDOWS`` / P) and the cost a
 window grows towards that of a row of its own, about 60 bytes; results and memory stay the same.
 
-Two different windows are taken for equal only if all 64 bits of their hashes agree: for N windows
-about N^2 / 2^65 pairs, one in 7,000 for a corpus of 70 million windows, so that a wrong removal of
-one window is to be expected from some 6 thousand million windows on.
+Equal hashes are checked by 24 bits of a second polynomial that travels with each window. So two
+different windows are taken for equal only if 88 bits agree: for N windows about N^2 / 2^89 pairs, less
+than one for the 2 * 10^13 windows of 100 TB of text.
 """
 
 from __future__ import annotations
@@ -50,7 +50,7 @@ WORD_BYTES = 6
 SENT_MARKS = 1 << 16
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_BASE = 0xD1342543DE82EF95
+_BASE, _CHECK_BASE = 0xD1342543DE82EF95, 0xA0761D6478BD642F
 _SIGN = np.uint64(1 << 63)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -91,11 +91,11 @@ def word_numbers(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.nd
     return _scramble(numbers + (stops - starts).astype(np.uint64) * _ODD), starts
 
 
-def window_hashes(numbers: np.ndarray, width: int) -> np.ndarray:
+def window_hashes(numbers: np.ndarray, width: int, base: int = _BASE) -> np.ndarray:
     """The hash of the ``width`` numbers from every place on, as far as there are so many."""
 
     def power(n: int) -> np.uint64:
-        return np.uint64(pow(_BASE, n, 1 << 64))
+        return np.uint64(pow(base, n, 1 << 64))
 
     whole, size = None, 0
     part, n = numbers, 1
@@ -113,8 +113,8 @@ def window_hashes(numbers: np.ndarray, width: int) -> np.ndarray:
         n *= 2
 
 
-def windows(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, text, start) of every window of every text; start counts words from 0."""
+def windows(texts: pa.Array, width: int) -> tuple[np.ndarray, ...]:
+    """(hash, check, text, start) of every window of every text; start counts words from 0."""
     column = pc.fill_null(texts, "").cast(pa.large_binary())
     _, offsets, buffer = column.buffers()
     offsets = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
@@ -124,7 +124,8 @@ def windows(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.nda
     text = np.repeat(np.arange(len(column)), np.diff(before))
     hashes = window_hashes(numbers, width)
     inside = np.flatnonzero(np.arange(len(hashes)) + width <= before[1:][text[: len(hashes)]])
-    return hashes[inside], text[inside], inside - before[text[inside]]
+    checks = window_hashes(numbers, width, _CHECK_BASE)[inside] >> np.uint64(40)
+    return hashes[inside], checks.astype(np.uint32), text[inside], inside - before[text[inside]]
 
 
 def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -140,13 +141,12 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 _SENT = "page int, docs binary, entries binary, known boolean"
 
 
-def _blob(page: int, docs: tuple, hashes: np.ndarray | None, rows: np.ndarray, starts: np.ndarray) -> tuple:
-    """One row to send: the documents in ``rows``, and (hash, document, start) of each entry; entries
-    without hashes are marks."""
+def _blob(page: int, docs: tuple, windows: tuple, rows: np.ndarray, starts: np.ndarray) -> tuple:
+    """One row to send: the documents in ``rows``, and (hash, check, document, start) of each entry;
+    entries without hash and check are marks."""
     used, place = np.unique(rows, return_inverse=True)
-    columns = place.astype(np.uint64), starts.astype(np.uint64)
-    entries = _pack(*columns) if hashes is None else _pack(hashes, *columns)
-    return page, _pack(docs[0][used].view(np.uint64) ^ _SIGN, docs[1][used].view(np.uint64)), entries, hashes is None
+    entries = _pack(*windows, place.astype(np.uint64), starts.astype(np.uint64))
+    return page, _pack(docs[0][used].view(np.uint64) ^ _SIGN, docs[1][used].view(np.uint64)), entries, not windows
 
 
 def _send(pages: int, width: int):
@@ -154,7 +154,7 @@ def _send(pages: int, width: int):
 
     def flush(docs: list, found: list, turn: int) -> Iterator[tuple]:
         keys, texts = (np.concatenate(c) for c in zip(*docs, strict=True))
-        hashes, rows, starts = (np.concatenate(c) for c in zip(*found, strict=True))
+        hashes, checks, rows, starts = (np.concatenate(c) for c in zip(*found, strict=True))
         # Documents in order of key and text; rows that are alike in both are one.
         order = np.lexsort((texts, keys))
         fresh = np.ones(len(order), dtype=bool)
@@ -165,20 +165,20 @@ def _send(pages: int, width: int):
         single[order[fresh]] = True
         keys, texts = keys[order[fresh]], texts[order[fresh]]
         keep = single[rows]
-        hashes, rows, starts = hashes[keep], rank[rows[keep]], starts[keep]
-        by = np.lexsort((starts, rows, hashes))
-        hashes, rows, starts = hashes[by], rows[by], starts[by]
-        mark = repeats(hashes, keys[rows], starts)
+        hashes, checks, rows, starts = hashes[keep], checks[keep], rank[rows[keep]], starts[keep]
+        by = np.lexsort((starts, rows, checks, hashes))
+        hashes, checks, rows, starts = hashes[by], checks[by], rows[by], starts[by]
+        mark = repeats((hashes, checks), keys[rows], starts)
         known = np.flatnonzero(mark)
         known = known[np.argsort(rows[known], kind="stable")]
         for at in range(0, len(known), SENT_MARKS):
             some = known[at : at + SENT_MARKS]
-            yield _blob((turn + at // SENT_MARKS) % pages, (keys, texts), None, rows[some], starts[some])
-        hashes, rows, starts = hashes[~mark], rows[~mark], starts[~mark]
+            yield _blob((turn + at // SENT_MARKS) % pages, (keys, texts), (), rows[some], starts[some])
+        hashes, checks, rows, starts = hashes[~mark], checks[~mark], rows[~mark], starts[~mark]
         page = page_of(hashes, pages)
         edges = np.append(np.flatnonzero(np.diff(page, prepend=-1)), len(page))
         for a, b in zip(edges[:-1], edges[1:], strict=True):
-            yield _blob(int(page[a]), (keys, texts), hashes[a:b], rows[a:b], starts[a:b])
+            yield _blob(int(page[a]), (keys, texts), (hashes[a:b], checks[a:b]), rows[a:b], starts[a:b])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, found, held, at, turn = [], [], 0, 0, None
@@ -186,11 +186,11 @@ def _send(pages: int, width: int):
             for piece in _pieces(batch):
                 keys = piece.column("key").to_numpy(zero_copy_only=False)
                 texts = piece.column("text_key").to_numpy(zero_copy_only=False)
-                hashes, rows, starts = windows(piece.column("text"), width)
+                hashes, checks, rows, starts = windows(piece.column("text"), width)
                 if turn is None and len(texts):
                     turn = int(texts[0]) % pages  # marks of different tasks begin at different pages
                 docs.append((keys, texts))
-                found.append((hashes, rows + at, starts))
+                found.append((hashes, checks, rows + at, starts))
                 held, at = held + len(hashes), at + len(keys)
                 if held >= HELD_WINDOWS:
                     yield _sent([*flush(docs, found, turn)])
@@ -214,13 +214,12 @@ def page_of(hashes: np.ndarray, pages: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(pages) >> np.uint64(32)).astype(np.int64)
 
 
-def repeats(hashes: np.ndarray, keys: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Which entries, in order of (hash, key, start), have an earlier one of equal hash.
+def repeats(windows: tuple[np.ndarray, ...], keys: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Which entries, in order of (hash, check, key, start), have an earlier one of equal hash and check.
 
     Entries that share key and start with the earliest one (of rows with one key) have none.
     """
-    first = np.ones(len(hashes), dtype=bool)
-    first[1:] = hashes[1:] != hashes[:-1]
+    first = _changes(*windows)
     lead = np.flatnonzero(first)[np.cumsum(first) - 1] if len(first) else np.zeros(0, np.int64)
     return (keys != keys[lead]) | (starts != starts[lead])
 
@@ -229,15 +228,15 @@ _MARKS = "slice int, docs binary, entries binary"
 
 
 def _entries(table: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
-    """(hash, key, text key, start) of the entries of each blob, without the hash for marks."""
+    """(hash, check, key, text key, start) of the entries of each blob, without hash and check for marks."""
     names = table.column_names
     known = table.column("known").to_pylist() if "known" in names else [True] * table.num_rows
     for docs, entries, mark in zip(table.column("docs").to_pylist(), table.column("entries").to_pylist(), known, strict=True):
         keys, texts = _unpack(docs, 2)
         keys, texts = (keys ^ _SIGN).view(np.int64), texts.view(np.int64)
-        *hashes, rows, starts = _unpack(entries, 2 if mark else 3)
+        *windows, rows, starts = _unpack(entries, 2 if mark else 4)
         rows = rows.astype(np.int64)
-        yield *hashes, keys[rows], texts[rows], starts.astype(np.int64)
+        yield *windows, keys[rows], texts[rows], starts.astype(np.int64)
 
 
 def _changes(*columns: np.ndarray) -> np.ndarray:
@@ -255,19 +254,18 @@ def _meet(slices: int):
     def run(table: pa.Table) -> pa.Table:
         parts, marks = [], []
         for columns in _entries(table):
-            (parts if len(columns) == 4 else marks).append(columns)
+            (parts if len(columns) == 5 else marks).append(columns)
         if parts:
-            hashes, keys, texts, starts = (np.concatenate(c) for c in zip(*parts, strict=True))
+            hashes, checks, keys, texts, starts = (np.concatenate(c) for c in zip(*parts, strict=True))
             del parts
             by = np.argsort(hashes, kind="stable")
             again = np.zeros(len(by), dtype=bool)
             again[1:] = hashes[by[1:]] == hashes[by[:-1]]
             again[:-1] |= again[1:]
             by = by[again]  # most windows are alone
-            hashes, keys, texts, starts = hashes[by], keys[by], texts[by], starts[by]
-            by = np.lexsort((starts, keys, hashes))
-            hashes, keys, texts, starts = hashes[by], keys[by], texts[by], starts[by]
-            mark = repeats(hashes, keys, starts)
+            by = by[np.lexsort((starts[by], keys[by], checks[by], hashes[by]))]
+            keys, texts, starts = keys[by], texts[by], starts[by]
+            mark = repeats((hashes[by], checks[by]), keys, starts)
             marks.append((keys[mark], texts[mark], starts[mark]))
         keys, texts, starts = (np.concatenate(c) for c in zip(*marks, strict=True))
         part = page_of(_scramble(keys.view(np.uint64) ^ _scramble(texts.view(np.uint64))), slices)
@@ -277,7 +275,7 @@ def _meet(slices: int):
         at = np.flatnonzero(_changes(keys, texts, part))
         docs = keys[at], texts[at]
         edges = np.append(np.flatnonzero(_changes(part)), len(part))
-        rows = [_blob(int(part[a]), docs, None, rank[a:b], starts[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        rows = [_blob(int(part[a]), docs, (), rank[a:b], starts[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
         return pa.table({
             "slice": pa.array([r[0] for r in rows], pa.int32()), "docs": pa.array([r[1] for r in rows], pa.binary()),
             "entries": pa.array([r[2] for r in rows], pa.binary()),
