@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tripflow.catalog.bounds import within_rank_error
 from tripflow.catalog.inputs import (
+    by_date,
     geo_csv,
     geo_from_csv,
     geo_from_inferred_csv,
@@ -262,9 +263,14 @@ def _q4_zone_layout(t: Inputs):
     return _card(card_use(layout_by_day_hour(t, local.zone), t["zones"], local))
 
 
+def _dates_of_window(t: Inputs):
+    return t.spark.read.parquet(by_date(t)).where(F.dayofmonth("pickup_date").isin(W.days)).drop("pickup_date")
+
+
 @register("q4_card_use_partitioned", _CARD, _ZONE)
 def _q4_partitioned(t: Inputs):
-    return _card(card_use(layout_by_day_hour(t), t["zones"], W))
+    """From the layout by date: its folders are picked by their day of the month, hours by the time."""
+    return _card(card_use(_dates_of_window(t), t["zones"], W))
 
 
 @register("q4_card_use_csv", _CARD, _ZONE)
@@ -362,4 +368,5 @@ def _q6_unpruned(t: Inputs):
 
 @register("q6_revenue_share_partitioned", _REVENUE, _ZONE)
 def _q6_partitioned(t: Inputs):
-    return _revenue(revenue_share(layout_by_day_hour(t), t["zones"], W))
+    """From the layout by date."""
+    return _revenue(revenue_share(_dates_of_window(t), t["zones"], W))
