@@ -4,7 +4,12 @@ A window is ``width`` consecutive words of an item; a shorter item is one window
 as a sorted set of 64-bit hashes, broadcast to the workers when the benchmark is small enough
 (``MAX_BROADCAST_BYTES`` of text, measured first). Each document's words become numbers of the
 benchmark's vocabulary, rolling hashes of all its windows are looked up at once, and every hit is
-verified word by word. A larger benchmark takes ``scan_by_join``: windows are shuffled and joined.
+verified word by word.
+
+A larger benchmark takes ``scan_by_join``. A filter of ``FILTER_BITS`` bits is made of its windows' hashes,
+block by block in Spark, and broadcast; its size doesn't depend on the benchmark. Of a document's windows
+only those that pass it leave the task, and these are joined with the benchmark's by hash and compared
+word by word. A benchmark of so many windows that most bits are set lets more windows pass, no others.
 """
 
 from __future__ import annotations
@@ -16,15 +21,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from tripflow.llm.common import ascii_lower, others, restore
+from tripflow.llm.common import others, restore
+from tripflow.llm.substrings import window_hashes, word_numbers
 from tripflow.sources.staging import settle
 
 WIDTH = 10
+#: Bits of the filter of a large benchmark, a power of two, and those that a task puts together.
+FILTER_BITS, _BLOCK_BITS = 1 << 27, 1 << 13
 #: Benchmark text up to which its windows are broadcast: about 20 bytes a window and 150 a word.
 MAX_BROADCAST_BYTES = 32 << 20
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORD_ANY_CASE = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _NORMAL = bytes(
     ord(chr(b).lower()) if b < 128 and chr(b).isalnum() else b if b >= 128 else 32 for b in range(256)
@@ -169,46 +176,95 @@ def scan_by_broadcast(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH,
     return _scan_udf(shared)(F.col(text))
 
 
-def _extract(text):
-    """The words of a text, null as none."""
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(f"({_WORD})"), F.lit(1))
+def _hashes(words: list[bytes], sizes: list[int]) -> dict[int, np.ndarray]:
+    """The hashes of all windows of each size, by place."""
+    data = np.frombuffer(b" ".join(words), dtype=np.uint8)
+    numbers, _ = word_numbers(data, np.array([0, len(data)])) if words else (np.zeros(0, np.uint64), None)
+    return {size: window_hashes(numbers, size) for size in sizes if size <= len(words)}
 
 
-def _windows(words, size):
-    last = F.size(words) - size
-    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(
-        starts,
-        lambda i: F.struct(i.alias("at"), F.array_join(F.slice(words, i + 1, size), " ").alias("window")),
-    )
+_WINDOWS = ArrayType(
+    StructType()
+    .add("size", IntegerType()).add("at", IntegerType()).add("hash", LongType()).add("window", StringType())
+)
+
+
+@F.pandas_udf(_WINDOWS)
+def _item_windows(texts: pd.Series, widths: pd.Series) -> pd.Series:
+    """All windows of benchmark items, a shorter item being one."""
+    found = []
+    for text, width in zip(texts, widths, strict=True):
+        words = words_of(text) if text else []
+        size = min(len(words), int(width))
+        hashes = _hashes(words, [size]).get(size, ()) if size else ()
+        found.append([_window(words, size, at, h) for at, h in enumerate(hashes)])
+    return pd.Series(found, index=texts.index, dtype=object)
+
+
+def _window(words: list[bytes], size: int, at: int, value: np.uint64) -> dict:
+    text = b" ".join(words[at : at + size]).decode()
+    return {"size": size, "at": at, "hash": int(value.astype(np.int64)), "window": text}
+
+
+def _slots(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of a hash in the filter."""
+    bits = np.uint64(FILTER_BITS - 1)
+    return hashes & bits, (hashes >> np.uint64(32)) & bits
+
+
+def window_filter(item_windows: DataFrame) -> np.ndarray:
+    """The filter's bytes: blocks of bits are put together in tasks, and only blocks reach the driver."""
+
+    def block(rows: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(_BLOCK_BITS, dtype=np.uint8)
+        bits[rows["slot"].to_numpy() % _BLOCK_BITS] = 1
+        return pd.DataFrame({"block": [rows["block"].iloc[0]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    low, high = F.lit(FILTER_BITS - 1).cast("long"), F.shiftrightunsigned("hash", 32)
+    slots = F.explode(F.array(F.col("hash").bitwiseAND(low), high.bitwiseAND(low))).alias("slot")
+    placed = item_windows.select(slots).distinct().withColumn("block", F.floor(F.col("slot") / _BLOCK_BITS).cast("int"))
+    whole = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    for r in placed.groupBy("block").applyInPandas(block, "block int, bits binary").toLocalIterator():
+        at = r.block * _BLOCK_BITS // 8
+        whole[at : at + _BLOCK_BITS // 8] = np.frombuffer(r.bits, dtype=np.uint8)
+    return whole
+
+
+def _passing(shared, sizes: list[int]):
+    """(n_words, windows): the windows of a document that pass the filter."""
+
+    @F.pandas_udf(StructType().add("n_words", LongType()).add("windows", _WINDOWS))
+    def passing(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        whole = shared.value
+        for batch in batches:
+            rows = []
+            for text in batch:
+                words, found = words_of(text) if text else [], []
+                for size, hashes in _hashes(words, sizes).items():
+                    both = [whole[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1 for slot in _slots(hashes)]
+                    found += [_window(words, size, at, hashes[at]) for at in np.flatnonzero(both[0] & both[1]).tolist()]
+                rows.append((len(words), found))
+            yield pd.DataFrame(rows, columns=["n_words", "windows"], index=batch.index)
+
+    return passing
 
 
 def _join_windows(docs: DataFrame, benchmark: DataFrame, width: int, text: str) -> tuple[DataFrame, ...]:
-    """(row, doc), (row, words), (item_id, size, window) and the occurrences (row, size, at, window)."""
+    """(row, doc), (row, n_words), (item_id, size, window) and the occurrences (row, size, at, window)."""
     # Written with its row number, which a second run of the expression could give anew.
     rows = settle(
         docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "rows"
     )
-    words = settle(rows.select("row", _extract(F.col("doc").getField(text)).alias("words")), "words")
-    item_words = benchmark.select("item_id", _extract(F.col("text")).alias("words")).where(F.size("words") > 0)
-    item_words = item_words.withColumn("size", F.least(F.size("words"), F.lit(width)))
-    sizes = [r[0] for r in item_words.select("size").distinct().collect()]
-    item_windows = settle(
-        item_words.select("item_id", "size", F.explode(_windows(F.col("words"), F.col("size"))).alias("w"))
-        .select("item_id", "size", "w.window")
-        .distinct(),
-        "item_windows",
-    )
-    doc_windows = words.select(
-        "row", "words", F.explode(F.array(*[F.lit(s) for s in sizes]).cast("array<int>")).alias("size")
-    ).select("row", "size", F.explode(_windows(F.col("words"), F.col("size"))).alias("w"))
-    met = settle(
-        doc_windows.select("row", "size", "w.at", "w.window").join(
-            item_windows.select("size", "window").distinct(), ["size", "window"]
-        ),
-        "met",
-    )
-    return rows, words, item_windows, met
+    windows = benchmark.select("item_id", F.explode(_item_windows(F.col("text"), F.lit(width))).alias("w"))
+    item_windows = settle(windows.select("item_id", "w.size", "w.hash", "w.window").distinct(), "item_windows")
+    sizes = [r[0] for r in item_windows.select("size").distinct().collect()]
+    shared = docs.sparkSession.sparkContext.broadcast(window_filter(item_windows))
+    passing = _passing(shared, sizes)(F.col("doc").getField(text)).alias("p")
+    scanned = settle(rows.select("row", passing).select("row", "p.*"), "passing")
+    named = item_windows.select("size", "hash", "window").distinct()
+    seen = scanned.select("row", F.explode("windows").alias("w")).select("row", "w.*")
+    met = settle(seen.join(named, ["size", "hash", "window"]).select("row", "size", "at", "window"), "met")
+    return rows, scanned.select("row", "n_words"), item_windows.drop("hash"), met
 
 
 def _hit_words(met: DataFrame) -> DataFrame:
@@ -227,7 +283,7 @@ def scan_by_join(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, text
         .groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
     )
     return (
-        rows.join(words.select("row", F.size("words").cast("long").alias("n_words")), "row")
+        rows.join(words, "row")
         .join(n_hit, "row", "left").join(items, "row", "left")
         .select(*others(docs, ADDED), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
                 F.coalesce("items", F.array().cast("array<string>")).alias("items"))
