@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tripflow import TripWindow
+from tripflow import TripWindow, catalog
 from tripflow.operators import user_aggregates
 from tripflow.operators.mergeable import BottomK, Moments
 from tripflow.operators.sampling import seeded_hash
@@ -156,3 +156,19 @@ def test_late_trips_are_appended_to_the_sketches(spark, geo, tmp_path):
     assert [(r.pickup_hour, r.trips, round(r.avg_duration_min, 9), r.p90_km) for r in found] == [
         (r.pickup_hour, r.trips, round(r.avg_duration_min, 9), r.p90_km) for r in whole
     ]
+
+
+def test_sampled_profile_stands_on_every_row(spark, tmp_path):
+    """Of hours with more trips than any sample of the query ever had: the rows are those of the exact profile."""
+    start = F.expr("timestamp_ntz'2024-01-11 11:00:00'")
+    lineitem = spark.range(0, 40_000, 1, 4).select(
+        "id", (F.col("id") % 997 + 1).alias("l_orderkey"), (F.col("id") % 7919 + 1).alias("l_partkey"),
+        (F.col("id") % 89 + 1).alias("l_suppkey"), (F.col("id") % 7 + 1).cast("int").alias("l_linenumber"),
+        F.lit(10.0).alias("l_quantity"), F.lit(2000.0).alias("l_extendedprice"), F.lit(0.1).alias("l_discount"),
+        F.lit("R").alias("l_returnflag"), start.alias("l_shipdate"),
+    )
+    lineitem.write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = catalog.queries()["q1_hourly_profile_sampled"](spark, str(tmp_path)).collect()
+    exact = catalog.queries()["q1_hourly_profile"](spark, str(tmp_path)).collect()
+    assert len(exact) == 4 and min(r.trips for r in exact) > 1000
+    assert [tuple(r) for r in found] == [(r.pickup_hour, r.trips, r.avg_duration_min, r.trips, r.p90_km) for r in exact]

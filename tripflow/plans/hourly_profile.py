@@ -137,16 +137,24 @@ def p90_by_sample(rows: DataFrame, id: str = "trip_id", k: int = SAMPLE_ROWS) ->
 
 
 def hourly_profile_sampled(
-    trips: DataFrame, window: TripWindow, id: str = "trip_id", k: int = SAMPLE_ROWS, **row_options
+    trips: DataFrame, window: TripWindow, id: str = "trip_id", k: int | None = SAMPLE_ROWS, **row_options
 ) -> DataFrame:
     """Exact counts and means, joined on the hour with a percentile from a bounded sample of each hour.
 
-    Nothing is written and no rank is searched; the exact profile stays the default.
+    Nothing is written and no rank is searched; the exact profile stays the default. With ``k=None`` the
+    sample is every row of the hour: its rank is then searched over the written rows and has no error.
     """
     rows = profile_rows(trips, window, keep=(id,), **row_options)
+    if k is None:
+        rows = settle(rows.select("pickup_hour", "seconds", "km"), "profile_rows")
+        found = p90_by_hour(rows.select("pickup_hour", "km")).select(
+            "pickup_hour", F.col("trips").alias("sampled"), F.col("p90_km").alias("p90_sampled"), F.lit(0.0).alias("rank_error")
+        )
+    else:
+        found = p90_by_sample(rows.select("pickup_hour", id, "km"), id, k)
     full = rows.groupBy("pickup_hour").agg(F.count("*").alias("n"), F.sum("seconds").alias("seconds"))
     return (
-        full.join(p90_by_sample(rows.select("pickup_hour", id, "km"), id, k), "pickup_hour", "left")
+        full.join(found, "pickup_hour", "left")
         .select("pickup_hour", F.col("n").alias("trips"), _mean_minutes(F.col("seconds"), F.col("n")),
                 "sampled", "p90_sampled", "rank_error")
         .orderBy("pickup_hour")
