@@ -11,12 +11,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from tripflow import TripWindow, catalog
+from tripflow.catalog import mergeable as mergeable_queries
+from tripflow.catalog.views import Inputs
 from tripflow.operators import user_aggregates
 from tripflow.operators.mergeable import BottomK, Moments
 from tripflow.operators.sampling import seeded_hash
 from tripflow.operators.user_aggregates import aggregate_by_key, merge_states, partial_states
 from tripflow.plans import profile_sketches
 from tripflow.plans.hourly_profile import hourly_profile, hourly_profile_sampled
+from tripflow.sources import staging
 
 W = TripWindow()
 
@@ -172,3 +175,10 @@ def test_sampled_profile_stands_on_every_row(spark, tmp_path):
     exact = catalog.queries()["q1_hourly_profile"](spark, str(tmp_path)).collect()
     assert len(exact) == 4 and min(r.trips for r in exact) > 1000
     assert [tuple(r) for r in found] == [(r.pickup_hour, r.trips, r.avg_duration_min, r.trips, r.p90_km) for r in exact]
+
+
+def test_sketches_are_written_by_many_tasks(spark, sf_dir, monkeypatch):
+    """No single task merges the sketches of all dates and hours."""
+    monkeypatch.setattr(staging, "_written", {k: v for k, v in staging._written.items() if k[-1] != "profile_sketches"})
+    path = mergeable_queries.sketch_table(Inputs(spark, sf_dir))
+    assert spark.read.parquet(path).select(F.input_file_name()).distinct().count() > 1

@@ -103,7 +103,7 @@ def sketch_table(t: Inputs) -> str:
     """The sketches of all trips, kept as a table."""
 
     def write(out: str) -> None:
-        profile_sketches.sketch_trips(t["trips_geo"]).coalesce(1).write.parquet(out)
+        profile_sketches.sketch_trips(t["trips_geo"]).write.parquet(out)
 
     return written_once(t.spark, "profile_sketches", t.sf_dir, write)
 
