@@ -11,9 +11,11 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructType, TimestampNTZType
 
-from tripflow.catalog.inputs import by_date, calendar, geo_csv
+from tripflow.catalog import layouts
+from tripflow.catalog.inputs import by_date, calendar, geo_csv, zone_csv
+from tripflow.functions.times import normalise_iso
 from tripflow.operators.joins import on_calendar
-from tripflow.sources import readers
+from tripflow.sources import readers, staging, writers
 from tripflow.sources.writers import export_csv, finished_files, load_by_date, loaded
 
 SCHEMA = StructType().add("id", IntegerType()).add("at", TimestampNTZType()).add("fare", DoubleType()).add("note", StringType())
@@ -106,3 +108,27 @@ def test_calendar_prunes_folders_at_run_time(inputs, plan, weekday):
     days = {r.pickup_date for r in found.select("pickup_date").distinct().collect()}
     assert days and all(d.isoweekday() == weekday for d in days)
     assert found.count() == trips.where(F.weekday("pickup_date") + 1 == weekday).count()
+
+
+def test_compressed_exports_are_many_files(spark, monkeypatch, tmp_path):
+    """Files that one task must read are bounded in rows; what is written is a part of the plain text."""
+    monkeypatch.setattr(writers, "ROWS_A_FILE", 1000)
+    rows = spark.range(0, 5000, 1, 1).select("id", F.sqrt("id").alias("x"), F.lit("a,b").alias("note"))
+    export_csv(rows, str(tmp_path / "plain"))
+    export_csv(rows, str(tmp_path / "packed"), compression="gzip")
+    plain, packed = (list((tmp_path / name).glob("part-*")) for name in ("plain", "packed"))
+    assert len(plain) == 1 and len(packed) == 5 and all(p.name.endswith(".csv.gz") for p in packed)
+    assert sum(p.stat().st_size for p in packed) < 0.7 * plain[0].stat().st_size
+    back = readers.read_csv_typed(spark, str(tmp_path / "packed"), rows.schema)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_inputs_and_round_trip_are_written_compressed(spark, inputs, monkeypatch):
+    monkeypatch.setattr(staging, "_written", {k: v for k, v in staging._written.items() if k[0] == "folder"})
+    layouts._roundtrip(inputs)
+    written = spark.read.format("binaryFile").load([geo_csv(inputs), zone_csv(inputs), staging._written[_key(spark, inputs, "geo_export")]])
+    assert {r.path.rpartition(".")[2] for r in written.select("path").collect()} == {"gz"}
+
+
+def _key(spark, inputs, name):
+    return spark.conf.get("spark.app.id"), inputs.sf_dir, name

@@ -1,7 +1,7 @@
 """CSV, text and partitioned inputs, written from the derived views on first use.
 
 The files stand for what the jobs would find on a cluster. Each is written by Spark to the shared
-folder once per application and scale, with all rows of its view.
+folder once per application and scale, with all rows of its view. Large ones are compressed.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ STAMPS = ("tpep_pickup_datetime", "tpep_dropoff_datetime")
 def geo_csv(t: Inputs) -> str:
     """The coordinates layout as CSV, times as plain text."""
     return written_once(
-        t.spark, "geo_csv", t.sf_dir, lambda out: export_csv(t["geo_file"], out, PLAIN_MICROS_PATTERN)
+        t.spark, "geo_csv", t.sf_dir, lambda out: export_csv(t["geo_file"], out, PLAIN_MICROS_PATTERN, compression="gzip")
     )
 
 
@@ -55,7 +55,7 @@ def zone_csv(t: Inputs) -> str:
         t.spark,
         "zone_csv",
         t.sf_dir,
-        lambda out: export_csv(t["zone_file"], out, ISO_MICROS_PATTERN),
+        lambda out: export_csv(t["zone_file"], out, ISO_MICROS_PATTERN, compression="gzip"),
     )
 
 
@@ -163,7 +163,7 @@ def geo_from_inferred_csv(t: Inputs) -> DataFrame:
     """Coordinates trips from a CSV with inferred types and ISO text times."""
     path = written_once(
         t.spark, "geo_iso_csv", t.sf_dir,
-        lambda out: export_csv(t["geo_file"], out, ISO_MICROS_PATTERN),
+        lambda out: export_csv(t["geo_file"], out, ISO_MICROS_PATTERN, compression="gzip"),
     )
     # The inferred type would follow the session zone; the text is normalised instead.
     df = read_csv_inferred(t.spark, path, inferTimestamp="false", prefersDate="false")

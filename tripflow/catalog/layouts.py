@@ -127,7 +127,7 @@ def _roundtrip(t: Inputs):
         t.spark,
         "geo_export",
         t.sf_dir,
-        lambda out: export_csv(t.spark.read.parquet(_converted(t)), out, ISO_MICROS_PATTERN),
+        lambda out: export_csv(t.spark.read.parquet(_converted(t)), out, ISO_MICROS_PATTERN, compression="gzip"),
     )
     df = read_csv_typed(t.spark, path, GEO_FILE_SCHEMA)
     return df.withColumns({name: normalise_iso(F.col(name)) for name in STAMPS})
