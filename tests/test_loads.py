@@ -132,3 +132,27 @@ def test_inputs_and_round_trip_are_written_compressed(spark, inputs, monkeypatch
 
 def _key(spark, inputs, name):
     return spark.conf.get("spark.app.id"), inputs.sf_dir, name
+
+
+def test_every_value_is_tested_by_one_expression(spark):
+    """Types are inferred from (column, value) rows, so the test is compiled once however many columns there are."""
+    wide = spark.createDataFrame([tuple(str(i) for i in range(60))], [f"c{i}" for i in range(60)])
+    seen = []
+    plain = readers._kind
+
+    def counting(value):
+        seen.append(value)
+        return plain(value)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(readers, "_kind", counting)
+        assert {f.dataType for f in readers.infer_types(wide)} == {IntegerType()}
+    assert len(seen) == 1
+
+
+def test_kinds_of_odd_values(spark):
+    values = ["1", "-2147483648", "2147483648", "9" * 30, "1.", ".5", "1e3", "1E3", " 7\t", "+ 7", "1d", "NaN", "", "e", ".", "1e", "2024-02-30",
+              "2024-02-29", "2024-02-29T10:00", "TRUE", None]
+    frame = spark.createDataFrame([(v,) for v in values], "v string").coalesce(1)
+    kinds = [r[0] for r in frame.select(readers._kind(F.col("v"))).collect()]
+    assert kinds == [1, 1, 2, 4, 4, 4, 4, 4, 1, 64, 64, 64, 64, 64, 64, 64, 64, 8, 16, 32, None]

@@ -53,12 +53,14 @@ def read_csv_inferred(spark: SparkSession, path: str, **options: str) -> DataFra
     )
 
 
-_INTEGER, _NUMBER = r"^\s*[+-]?\d+\s*$", r"^\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*$"
+#: Possessive, so that a value of another form is given up without going back. What matches and has neither
+#: point nor exponent is a whole number.
+_NUMBER = r"^\s*+[+-]?+(?:\d++\.?+\d*+|\.\d++)(?:[eE][+-]?+\d++)?+\s*+$"
 _DATE = r"^\d{4}-\d{2}-\d{2}$"
 _TIME = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?$"
 #: What a value can be, with its form: casts alone accept more, such as "1" for a date.
 _KINDS = (
-    (IntegerType(), _INTEGER), (LongType(), _INTEGER), (DoubleType(), _NUMBER), (DateType(), _DATE),
+    (IntegerType(), _NUMBER), (LongType(), _NUMBER), (DoubleType(), _NUMBER), (DateType(), _DATE),
     (TimestampNTZType(), _TIME), (BooleanType(), r"^(?i:true|false)$"),
 )
 #: A column's type by the kinds of its values, as bits in the order above: the first that covers them.
@@ -70,26 +72,32 @@ _TYPES = (
 
 def _kind(value: Column) -> Column:
     """The bit of the narrowest kind that a value is of; that of text if of none."""
-    found = F.when(value.isNull(), None)
+    text, number, other = 1 << len(_KINDS), F, F
+    whole = ~(value.contains(".") | value.contains("e") | value.contains("E"))
     for i, (kind, form) in enumerate(_KINDS):
-        found = found.when(value.rlike(form) & value.try_cast(kind).isNotNull(), 1 << i)
-    return found.otherwise(1 << len(_KINDS))
+        fits = value.try_cast(kind).isNotNull()
+        if form == _NUMBER:
+            number = number.when(whole & fits if isinstance(kind, IntegralType) else fits, 1 << i)
+        else:
+            other = other.when(value.rlike(form) & fits, 1 << i)
+    return F.when(value.isNull(), None).when(value.rlike(_NUMBER), number.otherwise(text)).otherwise(other.otherwise(text))
 
 
 def infer_types(texts: DataFrame) -> StructType:
     """The narrowest type of every text column, from all rows in one pass.
 
     The kinds that a column's values are of are a set, and sets of any split of the rows merge by union:
-    tasks send one row of bits. Whole numbers widen to longs and doubles, dates to times; any other
+    tasks send one row of bits a column. Whole numbers widen to longs and doubles, dates to times; any other
     mixture is text, and so is a column without values. Dates and times are in ISO form.
     """
-    merged = [F.bit_or(_kind(F.col(f"`{name}`"))).alias(str(i)) for i, name in enumerate(texts.columns)]
-    found = texts.agg(*merged).first()
+    # One value a row: the test of a value is compiled once, not once a column into a method too long to compile.
+    values = texts.select(F.posexplode(F.array(*[F.col(f"`{name}`") for name in texts.columns])).alias("at", "value"))
+    found = dict(values.groupBy("at").agg(F.bit_or(_kind(F.col("value")))).collect())
 
     def resolved(bits: int | None) -> DataType:
         return next((kind for cover, kind in _TYPES if bits and not bits & ~cover), StringType())
 
-    return StructType([StructField(name, resolved(found[i])) for i, name in enumerate(texts.columns)])
+    return StructType([StructField(name, resolved(found.get(i))) for i, name in enumerate(texts.columns)])
 
 
 def read_csv_remembered(spark: SparkSession, path: str) -> DataFrame:
