@@ -156,3 +156,13 @@ def test_kinds_of_odd_values(spark):
     frame = spark.createDataFrame([(v,) for v in values], "v string").coalesce(1)
     kinds = [r[0] for r in frame.select(readers._kind(F.col("v"))).collect()]
     assert kinds == [1, 1, 2, 4, 4, 4, 4, 4, 1, 64, 64, 64, 64, 64, 64, 64, 64, 8, 16, 32, None]
+
+
+@pytest.mark.parametrize(
+    ("text", "at"),
+    [("2015-01-15 19:05:39", dt.datetime(2015, 1, 15, 19, 5, 39)), ("2015-01-15T19:05:39.123456789", dt.datetime(2015, 1, 15, 19, 5, 39, 123456)),
+     ("2015-01-15T19:05:39-05:00", dt.datetime(2015, 1, 16, 0, 5, 39)), ("2015-01-15T19:05:39Z", dt.datetime(2015, 1, 15, 19, 5, 39)),
+     ("2015-02-30 19:05:39", None), ("2015-01-15 25:05:39", None), ("2015-01-15", None), (" 2015-01-15 19:05:39", None), (None, None)],
+)
+def test_times_with_and_without_an_offset(spark, text, at):
+    assert spark.createDataFrame([(text,)], "t string").select(normalise_iso(F.col("t"))).first()[0] == at

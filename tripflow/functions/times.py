@@ -10,6 +10,7 @@ ISO_MILLIS_PATTERN = "yyyy-MM-dd'T'HH:mm:ss.SSS"
 ISO_MICROS_PATTERN = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 PLAIN_MICROS_PATTERN = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
+_PLAIN = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d{1,9})?$"
 _STAMP = r"^(\d{4}-\d{2}-\d{2})[T ](\d{2}:\d{2}:\d{2}(?:\.\d{1,9})?)(?:Z|([+-])(\d{2}):?(\d{2}))?$"
 
 
@@ -34,7 +35,8 @@ def normalise_iso(text: Column, zone: str = "UTC", wall_clock: bool = False) ->
     Date and time are parted by ``T`` or a blank; a fraction is kept to the microsecond. A text
     with an offset (or ``Z``) names an instant, which is shown in ``zone``; with ``wall_clock`` the
     offset is ignored instead. A text without one is wall-clock time already. The session zone
-    is never used, so no daylight-saving gap can move a value.
+    is never used, so no daylight-saving gap can move a value. Texts without an offset, as in most
+    files, are cast as they are; only others are taken apart.
     """
 
     def part(group: int) -> Column:
@@ -48,7 +50,7 @@ def normalise_iso(text: Column, zone: str = "UTC", wall_clock: bool = False) ->
         shown = F.convert_timezone(F.lit("UTC"), F.lit(zone), stamp - offset)
         named = (part(3) != "") | text.endswith("Z")
         stamp = F.when(named, shown).otherwise(stamp)
-    return F.when(text.rlike(_STAMP), stamp)
+    return F.when(text.rlike(_PLAIN), text.try_cast("timestamp_ntz")).when(text.rlike(_STAMP), stamp)
 
 
 def hour_in_zone(utc_wall_clock: Column, zone: str) -> Column:
